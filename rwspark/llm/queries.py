@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, secret_scan, token_records, warc
+from . import decontam, html_extract, mixing, quality, secret_scan, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents")).select("doc_id", *quality.NAMES, "base_failed", "kept")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,4 +52,4 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op6_warc, op7_decontamination, op8_token_records)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op6_warc, op7_decontamination, op8_token_records)}

@@ -29,4 +29,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE = {"op6_warc": OP6, "op7_decontamination": OP7}
+OP4 = """
+WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS source, count(*) AS docs FROM documents GROUP BY 1),
+s AS (SELECT source, docs, greatest(1, round(pow(docs::DOUBLE, 0.7e0) / (SELECT sum(pow(docs::DOUBLE, 0.7e0)) FROM sizes) * 1024)::INT) AS turns,
+        row_number() OVER (ORDER BY source) AS i FROM sizes),
+k AS (SELECT list(turns ORDER BY i) AS a, sum(turns)::BIGINT AS period FROM s),
+edf(t, given, pick) AS (
+  SELECT -1::BIGINT, list_transform(a, lambda x: 0::BIGINT), NULL::BIGINT FROM k
+  UNION ALL
+  SELECT t + 1, list_transform(given, lambda n, i: n + (i = p)::INT), p
+  FROM (SELECT t, given, list_position(due, list_min(due)) AS p
+        FROM (SELECT t, given, list_transform(given, lambda n, i: CASE WHEN n * period // a[i] <= t + 1 THEN ((n + 1) * period + a[i] - 1) // a[i] ELSE 1000000000 END) AS due
+              FROM edf, k WHERE t + 1 < period))),
+plan AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE t >= 0),
+src AS (SELECT source, i, turns, (docs + 15) // 16 AS blocks, turns * (SELECT max(((docs + 15) // 16 + turns - 1) // turns) FROM s) AS given FROM s),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents),
+e AS (SELECT doc_id, r.source, rank, i, turns, blocks, unnest(range(0, (given - 1 - rank // 16) // blocks + 1)) AS epoch FROM r JOIN src ON coalesce(r.source, '') = src.source),
+n AS (SELECT *, rank // 16 + epoch * blocks AS n FROM e)
+SELECT doc_id, source, (n // turns) * period + slot AS slot, ((n // turns) * period + slot) * 16 + rank % 16 AS position, epoch
+FROM n JOIN plan ON n.i = plan.i AND n.n % turns = plan.turn, (SELECT period FROM k)
+"""
+
+ORACLE = {"op4_mixing": OP4, "op6_warc": OP6, "op7_decontamination": OP7}

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,52 +40,93 @@ def frame(payload: bytes) -> bytes:
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
+# The bytes that byte-level vocabularies show as they are; the others are numbered from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class Encoder:
     """Ids of texts as little-endian bytes.
 
     The tokenizer's pattern never joins a character that is no white space with the white space after it, so a text is cut at
-    single spaces and each piece is encoded by the library once and kept. Where a piece is empty or begins or ends in white
-    space, the library encodes the whole text.
+    single spaces and line feeds, and each piece is encoded by the library once and kept. Where a piece is empty, holds other
+    white space or can't be printed, the library encodes the whole text.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 400_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if max(self.library.get_vocab_size(), (end_id or 0) + 1) <= 65536 else 4
+        self.model = self.library.model
+        kind = repr(self.library.pre_tokenizer)
+        self.by_piece = self.library.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.first, self.later, self.most = Pieces(self, ""), Pieces(self, " "), most
-
-    def whole(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.library.encode(text, add_special_tokens=False).ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
+        self.marks, self.feed = dict(zip(".,", self.ids([".", ","]))), self.ids(["\n"])[0]
+        self.most = most
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece: the library's own steps, without what an encoding of a whole text brings along."""
+        if text.lstrip(" ").isalpha() and max(text) < "ɐ":  # one word of Latin letters
+            split = [text.encode().decode("latin-1").translate(_SHOWN)]
+        else:
+            split = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return array("H" if self.width == 2 else "I", [x.id for part in split for x in self.model.tokenize(part)]).tobytes()
+
+    def learn(self, known: dict[str, bytes | None], pieces: set[str], before: str) -> None:
+        """Encode pieces that aren't known; None where only the whole text settles the ids."""
+        new, marked = set(), []
+        for piece in pieces:
+            if not piece or piece[0].isspace() or piece[-1].isspace() or not piece.isprintable():
+                known[piece] = None
+            elif piece[-1] in ".," and piece[-2:-1].isalpha() and piece[-2:-1] < "ɐ":  # the mark is a token of its own
+                marked.append(piece)
+                if piece[:-1] not in known:
+                    new.add(piece[:-1])
+            else:
+                new.add(piece)
+        known.update((piece, self.piece(before + piece)) for piece in new)
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + self.marks[piece[-1]]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text its ids, then the end id."""
+        if not self.by_piece:
+            return [x + self.end for x in self.ids([text or "" for text in texts])]
         if len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        head, *rest = text.split(" ")
-        try:
-            return b"".join((self.first[head], *map(self.later.__getitem__, rest), self.end))
-        except TypeError:  # a piece that only the whole text settles
-            return self.whole(text) + self.end
-
-
-class Pieces(dict):
-    def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, piece: str) -> bytes | None:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            ids = None
-        elif piece[-1] in ".," and piece[-2:-1].isalpha() and piece[-2:-1] < "ɐ":  # the mark is a token of its own
-            ids = self[piece[:-1]] + self.encoder.first[piece[-1]]
-        else:
-            ids = self.encoder.whole(self.before + piece)
-        self[piece] = ids
-        return ids
+        split = [text.replace("\n", " \n").split(" ") if text else [] for text in texts]
+        later = set(chain.from_iterable(islice(x, 1, None) for x in split)) - self.later.keys()
+        lines = {piece for piece in later if piece and piece[0] == "\n"}
+        self.learn(self.first, ({x[0] for x in split if x} | {piece[1:] for piece in lines}) - self.first.keys(), "")
+        self.learn(self.later, later - lines, " ")
+        self.later.update((piece, self.first[piece[1:]] and self.feed + self.first[piece[1:]]) for piece in lines)
+        out = []
+        for text, pieces in zip(texts, split):
+            try:
+                out.append(b"".join((*map(self.first.__getitem__, pieces[:1]), *map(self.later.__getitem__, islice(pieces, 1, None)), self.end)))
+            except TypeError:  # a piece is None
+                out.append(self.ids([text])[0] + self.end)
+        return out
+
+    def stream(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+        """As batch, by bounded pieces of the list."""
+        at = 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to] or "") <= chars):
+                held += len(texts[to] or "")
+                to += 1
+            yield from self.batch(texts[at:to])
+            at = to
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -112,8 +154,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end_
         with committed(folder, f"tokens-{part:06d}.bin") as out, committed(folder, f"tokens-{part:06d}.idx") as index:
             out.write(MAGIC + struct.pack("<II", VERSION, encode.width))
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    payload = encode(text)
+                for doc_id, payload in zip(batch.column(0).to_pylist(), encode.stream(batch.column(1).to_pylist())):
                     out.write(framed := frame(payload))
                     index.write(struct.pack("<qqq", NULL_ID if doc_id is None else doc_id, at, len(payload) // encode.width))
                     at, n, total = at + len(framed), n + 1, total + len(payload) // encode.width
