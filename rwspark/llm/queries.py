@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mixing, quality, secret_scan, token_records, warc
+from . import decontam, html_extract, jaccard, mixing, quality, secret_scan, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,4 +56,4 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op6_warc, op7_decontamination, op8_token_records)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op5_ngram_jaccard, op6_warc, op7_decontamination, op8_token_records)}
