@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application: their Python may not have the driver's path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="rwspark-")) / f"{top.name}.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(path, "w") as out:
+            for file in top.rglob("*.py"):
+                out.write(file, file.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(app)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no one has used."""
     return f"{shared_dir(spark)}/rwspark-{name}-{uuid.uuid4().hex}"
@@ -58,6 +76,9 @@ def per_batch(df: DataFrame, schema: str, make: Callable[..., list], setup: Call
     return df.mapInArrow(run, schema)
 
 
-def document_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; others may be there and are not read."""
-    return docs.select(*names)
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 20_000, salts: int = 32) -> DataFrame:
+    """Rows with their group's columns: a broadcast of at most ``most`` groups, else a join on salted keys, which splits large groups."""
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), keys)
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")

@@ -74,8 +74,8 @@ def windows(items: list[tuple[str, bytes]], size: int = 13) -> dict[tuple[bytes,
     return {p: list(ids) for p, ids in found.items()}
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 32 << 20) -> DataFrame:
-    """Of each document: id, n_words, n_hit (words within an occurrence), items (sorted, distinct) and spans (word positions).
+def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), most_bytes: int = 32 << 20) -> DataFrame:
+    """Of each document: id, ``keep`` columns, n_words, n_hit (words within an occurrence), items (sorted, distinct) and spans (word positions).
 
     The tables travel with the tasks. A benchmark of over ``most_bytes`` is searched in parts of about that size, one map
     after another over the same rows; there is no shuffle in either case.
@@ -84,23 +84,24 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: s
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8("text").alias("text")).filter("item IS NOT NULL")
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // most_bytes))
-    kind = dict(docs.dtypes)[id_col]
+    types = dict(docs.dtypes)
+    kept = "".join(f"`{c}` {types[c]}, " for c in (id_col, *keep))
     state = "items array<string>, spans array<bigint>"
-    frame = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<bigint>").alias("spans"))
+    frame = docs.select(id_col, *keep, utf8(text_col).alias("_searched"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<bigint>").alias("spans"))
     for k in range(parts):
         rows = bench.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()  # about most_bytes by the check above
         table = spark.sparkContext.broadcast(windows([(r.item, bytes(r.text)) for r in rows], size))
         last = k == parts - 1
-        frame = per_batch(frame, f"id {kind}, " + ("n_words bigint, n_hit bigint, " if last else "text binary, ") + state, _pass(last), lambda table=table: WuManber(table.value))
-    return frame.withColumnRenamed("id", id_col)
+        frame = per_batch(frame, kept + ("n_words bigint, n_hit bigint, " if last else "_searched binary, ") + state, _pass(last, 1 + len(keep)), lambda table=table: WuManber(table.value))
+    return frame
 
 
-def _pass(last: bool):
+def _pass(last: bool, kept: int):
     """One search over a batch; the last one counts."""
 
     def make(batch: pa.RecordBatch, search: WuManber) -> list:
         items, spans, n_words, n_hit = [], [], [], []
-        for text, had, at in zip(*(c.to_pylist() for c in batch.columns[1:])):
+        for text, had, at in zip(*(c.to_pylist() for c in batch.columns[kept:])):
             w = words(text)
             found = search.search(w)
             items.append(sorted({*(had or ()), *(x for _, _, own in found for x in own)}))
@@ -111,7 +112,7 @@ def _pass(last: bool):
                     hit[a:b] = b"\1" * (b - a)
                 n_words.append(len(w))
                 n_hit.append(hit.count(1))
-        return [batch.column(0), *([n_words, n_hit] if last else [batch.column(1)]), items, spans]
+        return [*batch.columns[:kept], *([n_words, n_hit] if last else [batch.column(kept)]), items, spans]
 
     return make
 

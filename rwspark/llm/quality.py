@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, attach, written
 
 P = 4
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,14 +82,6 @@ def vector() -> list[Column]:
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 20_000, salts: int = 32) -> DataFrame:
-    """Rows with their group's columns: a broadcast of at most ``most`` groups, else a join on salted keys, which splits large groups."""
-    if groups.count() <= most:
-        return rows.join(F.broadcast(groups), keys)
-    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
-
-
 def labelled(rows: DataFrame, least: int) -> DataFrame:
     """Rows with group ``g``: language and source, or pooled where these have under ``least`` rows."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))

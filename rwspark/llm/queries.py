@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard, mixing, quality, secret_scan, token_records, warc
+from . import decontam, html_extract, jaccard, langid, mixing, quality, secret_scan, token_counts, token_records, warc
+from .common import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +57,27 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op5_ngram_jaccard, op6_warc, op7_decontamination, op8_token_records)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identified(table(spark, sf_dir, "pages"), langid.fitted(table(spark, sf_dir, "documents")))
+    return found.select("page_id", "url", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), pieces_path)
+
+
+def shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op5_ngram_jaccard, op6_warc, op7_decontamination, op8_token_records, op9_language_id, op10_token_counts)}
