@@ -1,4 +1,10 @@
 """Registered queries and their SQL."""
 
+from . import committing
+
+_PARTS = (committing,)
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE

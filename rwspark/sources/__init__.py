@@ -1,0 +1,156 @@
+"""Sources and sinks: parallel pairs, line-aligned text, JSON documents and lines, index sets, scored cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+CORPUS = T.StructType.fromDDL("index bigint, source string, target string, src_lang string, tgt_lang string, latency string, source_chunks array<string>, target_chunks array<string>, direction string")
+MATRICES = T.StructType.fromDDL(
+    "index bigint, latency string, n_src_tok int, n_tgt_tok int, gpt4_source_chunks array<string>, gpt4_target_chunks array<string>, matrix array<array<double>>, dt_sec double, entropy_matrix array<array<double>>, entropy_full array<double>"
+)
+META = "struct<tau_used: double, fell_back_from_primary_tau: boolean, inherited_latency: string, reassigned_latency: boolean, augmented_from_base: boolean, base_n_chunks: int, merged_to_n_chunks: int, merge_tag: string, chunks_source: string>"
+TRACE = T.StructType.fromDDL("idx int, src_words int, y_len_g int, y_len_hyp int, chunks int, al double, laal double, g_words array<int>")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType = CORPUS) -> DataFrame:
+    """Documents that are one JSON array each. They can't be split: convert them to Parquet once."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType = MATRICES, tolerant: bool = False) -> DataFrame:
+    """One record a line, of one or more files; ``tolerant`` leaves out lines that can't be parsed."""
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
+
+
+def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """pos (from 0) and line of a text file; one task reads one file, as its lines are numbered."""
+    whole = spark.read.text(path, wholetext=True) if encoding == "utf-8" else spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
+    body = F.regexp_replace("value", "\r?\n$", "")
+    return whole.filter(F.length("value") > 0).select(F.posexplode(F.split(body, "\r?\n")).alias("pos", "line"))
+
+
+def parallel(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Line-aligned files; a difference in their numbers of lines is an error."""
+    a, b = lines(spark, source), lines(spark, target)
+    both = a.withColumnRenamed("line", "source").join(b.withColumnRenamed("line", "target"), "pos", "full_outer")
+    odd = F.raise_error(F.concat(F.lit("no partner for line "), F.col("pos").cast("string"))).cast("string")
+    return both.select("pos", F.coalesce("source", odd).alias("source"), F.coalesce("target", odd).alias("target"))
+
+
+def parallel_lenient(spark: SparkSession, source: str, target: str, limit: int | None = None) -> DataFrame:
+    """Line-aligned files, stripped, without pairs of which a side is empty; the first ``limit`` of these."""
+    both = lines(spark, source).withColumnRenamed("line", "source").join(lines(spark, target).withColumnRenamed("line", "target"), "pos")
+    both = both.select("pos", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' AND target <> ''")
+    return both if limit is None else both.orderBy("pos").limit(limit)
+
+
+def head_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    return lines(spark, path).filter(F.col("pos") < n).select("pos", F.trim("line").alias("line"))
+
+
+def index_set(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of an index document, each once."""
+    return spark.read.schema("indices array<bigint>").json(path, multiLine=True).select(F.explode("indices").alias("index")).distinct()
+
+
+def per_sentence(spark: SparkSession, path: str) -> DataFrame:
+    """A document's map of sentences as rows, the key a number again."""
+    kind = "per_sentence map<string, struct<pearson: double, gpt4_chunks: int, latency: string, n_src_tok_ours: int, n_src_tok_gpt4: int, n_tgt_tok_gpt4: int, bin: string>>"
+    rows = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("per_sentence").alias("key", "v"))
+    return rows.select(F.col("key").cast("bigint").alias("index"), "v.*")
+
+
+def results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Result documents with latency and direction from their names: ..._<latency>_<direction>_n<N>.json."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    part = lambda k: F.regexp_extract(name, r"_([^_]+)_([^_]+)_n\d+\.json$", k)
+    return spark.read.schema(schema).json(pattern, multiLine=True).select("*", part(1).alias("latency"), part(2).alias("direction"))
+
+
+def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A source that may be missing: then it has no rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return json_lines(spark, path, schema) if there else spark.createDataFrame([], schema)
+
+
+def alignments(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """Word alignments, a sentence a line: ``i-j`` sure, ``ipj`` possible, counted from 1."""
+    pair = F.explode(F.regexp_extract_all("line", F.lit(r"\d+[-p]\d+"), F.lit(0))).alias("a")
+    part = lambda k: F.regexp_extract("a", r"(\d+)([-p])(\d+)", k)
+    return lines(spark, path, encoding).select(F.col("pos").alias("sentence"), pair).select("sentence", part(1).cast("int").alias("src_pos"), part(3).cast("int").alias("tgt_pos"), F.when(part(2) == "-", "sure").otherwise("possible").alias("kind"))
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One document with all rows, for tools that want it: for small results, since one task writes it."""
+    df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_partitioned(df: DataFrame, path: str, by: str = "direction") -> None:
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def append_new(df: DataFrame, path: str, key: str = "index") -> DataFrame:
+    """Append the rows whose key is not there yet, so that a run that broke off can be started again; returns what is left to do before this call."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    todo = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti") if there else df
+    todo.write.mode("append").parquet(path)
+    return todo
+
+
+def completion(wanted: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:
+    """One row: status DONE or NEEDS_RESUME, and how many are missing."""
+    missing = wanted.select(key).distinct().join(done.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
+    return missing.select(F.when(F.col("missing") == 0, "DONE").otherwise("NEEDS_RESUME").alias("status"), "missing")
+
+
+def write_parallel(df: DataFrame, path: str) -> None:
+    """Line-aligned ``path``.src and ``path``.ref, in the order of pos."""
+    for side, name in (("source", "src"), ("target", "ref")):
+        df.orderBy("pos").select(F.regexp_replace(side, "\r?\n", " ").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.{name}")
+
+
+# Pairs and scores from the tables.
+
+
+def words(text: str | Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's turn and the assistant's that follows it: id, conv_id, turn, source, target."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, folder, "conversations").select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("target"))
+    return rows.filter("role = 'user' AND next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.col("text").alias("source"), "target")
+
+
+def token_pairs(spark: SparkSession, folder: str, most: int = 80, targets: int = 60) -> DataFrame:
+    """Pairs with words s, t (the first ``targets``) and their numbers n, m; 1 <= n <= ``most``, m > 0."""
+    rows = pairs(spark, folder).select("id", words("source").alias("s"), F.slice(words("target"), 1, targets).alias("t"))
+    return rows.select("id", "s", "t", F.size("s").alias("n"), F.size("t").alias("m")).filter(F.col("n").between(1, most) & (F.col("m") > 0))
+
+
+def hashed(*parts: Column | str) -> Column:
+    """A number in [0, 1) from an MD5 of the parts: a stand-in for a model's score, the same in any SQL engine."""
+    text = F.concat_ws("|", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def cells(tokens: DataFrame) -> DataFrame:
+    """Divergence cells of pairs by the hash scorer: id, n, m, i (prefix, from 1), j (target word, from 0), d. The whole source has divergence 0."""
+    grid = tokens.select("id", "n", "m", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    return grid.withColumn("d", (1.0 - F.col("i").cast("double") / F.col("n")) * (0.2 + 0.8 * hashed("id", "i", "j")))
+
+
+def from_matrices(records: DataFrame, field: str = "matrix") -> DataFrame:
+    """Cells of recorded matrices."""
+    rows = records.select(F.col("index").alias("id"), F.col("n_src_tok").alias("n"), F.col("n_tgt_tok").alias("m"), F.posexplode(field).alias("i", "row"))
+    return rows.select("id", "n", "m", (F.col("i") + 1).alias("i"), F.posexplode("row").alias("j", "d"))
