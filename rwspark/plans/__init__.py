@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from . import committing
+from . import committing, corpus
 
-_PARTS = (committing,)
+_PARTS = (committing, corpus)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in _PARTS:
