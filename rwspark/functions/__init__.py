@@ -157,10 +157,14 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also within the lambdas of ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(xs: Column) -> Column:
-    top = F.array_max(xs)
-    raised = F.transform(xs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / total(raised))
+    shared = lambda raised: bound(total(raised), lambda all: F.transform(raised, lambda x: x / all))
+    return bound(F.array_max(xs), lambda top: bound(F.transform(xs, lambda x: F.exp(x - top)), shared))
 
 
 def clamped(xs: Column) -> Column:
