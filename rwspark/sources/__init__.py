@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CORPUS = T.StructType.fromDDL("index bigint, source string, target string, src_lang string, tgt_lang string, latency string, source_chunks array<string>, target_chunks array<string>, direction string")
-MATRICES = T.StructType.fromDDL(
+# Explicit schemas, as DDL: nothing is inferred.
+CORPUS = "index bigint, source string, target string, src_lang string, tgt_lang string, latency string, source_chunks array<string>, target_chunks array<string>, direction string"
+MATRICES = (
     "index bigint, latency string, n_src_tok int, n_tgt_tok int, gpt4_source_chunks array<string>, gpt4_target_chunks array<string>, matrix array<array<double>>, dt_sec double, entropy_matrix array<array<double>>, entropy_full array<double>"
 )
 META = "struct<tau_used: double, fell_back_from_primary_tau: boolean, inherited_latency: string, reassigned_latency: boolean, augmented_from_base: boolean, base_n_chunks: int, merged_to_n_chunks: int, merge_tag: string, chunks_source: string>"
-TRACE = T.StructType.fromDDL("idx int, src_words int, y_len_g int, y_len_hyp int, chunks int, al double, laal double, g_words array<int>")
+TRACE = "idx int, src_words int, y_len_g int, y_len_hyp int, chunks int, al double, laal double, g_words array<int>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType = CORPUS) -> DataFrame:
+def json_array(spark: SparkSession, path: str | list[str], schema: str = CORPUS) -> DataFrame:
     """Documents that are one JSON array each. They can't be split: convert them to Parquet once."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType = MATRICES, tolerant: bool = False) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str = MATRICES, tolerant: bool = False) -> DataFrame:
     """One record a line, of one or more files; ``tolerant`` leaves out lines that can't be parsed."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
 
@@ -73,7 +73,7 @@ def results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(pattern, multiLine=True).select("*", part(1).alias("latency"), part(2).alias("direction"))
 
 
-def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A source that may be missing: then it has no rows."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
