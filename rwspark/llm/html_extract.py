@@ -158,13 +158,15 @@ def extract(html: str | None) -> str:
     marked = any(article and not dropped for _, _, dropped, _, article in lines)
     if marked:  # what stands outside the marked article counts as no content; several articles are one region
         lines = [(text, tags, dropped or not article, 0, article) for text, tags, dropped, _, article in lines]
-    best: dict[int, float] = {}
-    ratio = smoothed([0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _, _ in lines])
-    for (_, _, dropped, region, _), r in zip(lines, ratio):
-        if not dropped:
-            best[region] = max(best.get(region, 0.0), r)
+    own = [0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _, _ in lines]
+    ratio = smoothed(own)
     cut = threshold(ratio) if ratio else 0.0
-    content = {region for region, r in best.items() if r >= cut}
+    best: dict[int, tuple[float, float]] = {}  # a region's best smoothed ratio, and its best own one: neighbours alone make no content
+    for (_, _, dropped, region, _), r, x in zip(lines, ratio, own):
+        if not dropped:
+            was = best.get(region, (0.0, 0.0))
+            best[region] = max(was[0], r), max(was[1], x)
+    content = {region for region, (r, x) in best.items() if r >= cut and 2 * x >= cut}
     return "\n".join(text for text, _, dropped, region, _ in lines if not dropped and region in content)
 
 
