@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Special tokens, their ids, latencies, language names and instructions of the data format.
 END_OF_READ, END_OF_WRITE = "<|end-of-read|>", "<|end-of-write|>"
-LATENCY_TOKENS = {"low": "<low-latency>", "medium": "<medium-latency>", "high": "<high-latency>"}
+LATENCY_TOKENS = {"low": "<|low-latency|>", "medium": "<|medium-latency|>", "high": "<|high-latency|>"}
 SPECIAL_IDS = {"bos": 2, "eor": 262144, "eow": 262145, "low": 262146, "medium": 262147, "high": 262148}
-LANGUAGES = {"ar": "Arabic", "cs": "Czech", "de": "German", "en": "English", "es": "Spanish", "fr": "French", "ja": "Japanese", "ru": "Russian", "vi": "Vietnamese", "zh": "Chinese"}
+LANGUAGES = {"ar": "Arabic", "cs": "Czech", "de": "German", "en": "English", "es": "Spanish", "fr": "French", "ja": "Japanese", "ko": "Korean", "ru": "Russian", "vi": "Vietnamese", "zh": "Chinese"}
 CJK = ("zh", "ja", "ko", "th", "km", "chinese", "japanese", "korean", "thai", "khmer")
-LADDER = ("low", "medium-low", "medium", "medium-high", "high")
+LADDER = ("low", "low-medium", "medium", "medium-high", "high")
+INSTRUCTION = "Translate the following text from %s into %s with %s latency."
+CHAT_PROMPT = "Translate the following %s text to %s.\n\n%s: %s\n\n%s:"
 
 
 def squeezed(text: Column) -> Column:
@@ -47,28 +49,38 @@ def by_latency(latency: Column, values: dict[str, object]) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown latency "), F.coalesce(latency, F.lit("null")))))
 
 
+def paired(source: Column, target: Column, out: Column) -> Column:
+    """``out``, or an error where the sides have different numbers of chunks."""
+    odd = F.raise_error(F.concat(F.lit("chunk counts differ: "), F.size(source).cast("string"), F.lit(" and "), F.size(target).cast("string")))
+    return F.when(F.size(source) == F.size(target), out).otherwise(odd)
+
+
 def interleaved(latency: Column, source: Column, target: Column) -> Column:
     """Latency token and chunks with end marks, all joined by spaces."""
     parts = F.zip_with(source, target, lambda s, t: F.concat_ws(" ", s, F.lit(END_OF_READ), t, F.lit(END_OF_WRITE)))
-    return F.concat_ws(" ", by_latency(latency, LATENCY_TOKENS), F.array_join(parts, " "))
+    return paired(source, target, F.concat_ws(" ", by_latency(latency, LATENCY_TOKENS), F.array_join(parts, " ")))
+
+
+def marked(source: Column, target: Column, before_source: Column, before_target: Column) -> Column:
+    """Chunks, stripped and with a separator before each, with end marks."""
+    parts = F.zip_with(source, target, lambda s, t: F.concat(before_source, F.trim(s), F.lit(END_OF_READ), before_target, F.trim(t), F.lit(END_OF_WRITE)))
+    return F.array_join(parts, "")
 
 
 def interleaved_fixed(latency: Column, source: Column, target: Column) -> Column:
     """As interleaved, but a space stands before each chunk only, so that words keep their tokens."""
-    parts = F.zip_with(source, target, lambda s, t: F.concat(F.lit(" "), s, F.lit(END_OF_READ + " "), t, F.lit(END_OF_WRITE)))
-    return F.concat(by_latency(latency, LATENCY_TOKENS), F.array_join(parts, ""))
+    return paired(source, target, F.concat(by_latency(latency, LATENCY_TOKENS), marked(source, target, F.lit(" "), F.lit(" "))))
 
 
 def assistant_body(source: Column, target: Column, src_lang: Column, tgt_lang: Column) -> Column:
-    """Chunks with end marks; a space before each chunk but the first of a side, none for languages without spaces."""
-    gap = lambda lang, i: F.when(is_cjk(lang) | (i == 0), "").otherwise(" ")
-    parts = F.transform(F.arrays_zip(source.alias("s"), target.alias("t")), lambda x, i: F.concat(gap(src_lang, i), x["s"], F.lit(END_OF_READ), gap(tgt_lang, i), x["t"], F.lit(END_OF_WRITE)))
-    return F.array_join(parts, "")
+    """Chunks with end marks; a space before each chunk, none for languages without spaces."""
+    gap = lambda lang: F.when(is_cjk(lang), "").otherwise(" ")
+    return marked(source, target, gap(src_lang), gap(tgt_lang))
 
 
 def user_instruction(latency: Column, src_lang: Column, tgt_lang: Column) -> Column:
     known = F.when(latency.isin(*LADDER), latency).otherwise(F.raise_error(F.concat(F.lit("unknown latency "), F.coalesce(latency, F.lit("null")))))
-    return F.format_string("Translate the following %s text into %s simultaneously, with %s latency.", language_name(src_lang), language_name(tgt_lang), known)
+    return F.format_string(INSTRUCTION, language_name(src_lang), language_name(tgt_lang), known)
 
 
 def chat(user: Column, assistant: Column, system: Column | None = None) -> Column:
@@ -77,8 +89,13 @@ def chat(user: Column, assistant: Column, system: Column | None = None) -> Colum
     return F.concat(F.lit("<start_of_turn>user\n"), said, F.lit("<end_of_turn>\n<start_of_turn>model\n"), assistant, F.lit("<end_of_turn>\n"))
 
 
-def annotator_prompt(source: Column, src_lang: Column, tgt_lang: Column) -> Column:
-    return F.concat(F.lit("Translate from "), language_name(src_lang), F.lit(" to "), language_name(tgt_lang), F.lit(".\nSource: "), source, F.lit("\nTranslation:"))
+def annotator_prompt(source: Column, src_lang: Column, tgt_lang: Column, mode: str = "chat") -> Column:
+    """What a model reads before the target: the source alone (raw), or an instruction with the names of the languages (chat)."""
+    if mode == "raw":
+        return F.concat(source, F.lit("\n"))
+    if mode != "chat":
+        raise ValueError(f"unknown prompt mode {mode}; there are chat, raw")
+    return F.format_string(CHAT_PROMPT, src_lang, tgt_lang, src_lang, source, tgt_lang)
 
 
 def latency_for(chunks: Column) -> Column:

@@ -131,7 +131,7 @@ def flip_table(spark: SparkSession, d: str) -> DataFrame:
 # Templates and id sequences, over the chunks.
 
 _WITH_LATENCY = _SNAP + f", rows AS (SELECT *, {_LABEL.format(k='k')} AS latency FROM texts)"
-_LAT = "'<' || latency || '-latency>'"
+_LAT = "'<|' || latency || '-latency|>'"
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +148,8 @@ def interleave_fixed(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("id", R.interleaved_fixed(F.col("latency"), F.col("source_chunks"), F.col("target_chunks")).alias("text"))
 
 
-_BODY = """array_to_string(list_transform(src, lambda x, i: CASE WHEN i = 1 THEN '' ELSE ' ' END || x || '<|end-of-read|>' || CASE WHEN i = 1 OR id % 2 = 0 THEN '' ELSE ' ' END || tgt[i] || '<|end-of-write|>'), '')"""
-_INSTRUCTION = "'Translate the following German text into ' || CASE WHEN id % 2 = 0 THEN 'Chinese' ELSE 'English' END || ' simultaneously, with ' || latency || ' latency.'"
+_BODY = """array_to_string(list_transform(src, lambda x, i: ' ' || x || '<|end-of-read|>' || CASE WHEN id % 2 = 0 THEN '' ELSE ' ' END || tgt[i] || '<|end-of-write|>'), '')"""
+_INSTRUCTION = "'Translate the following text from German into ' || CASE WHEN id % 2 = 0 THEN 'Chinese' ELSE 'English' END || ' with ' || latency || ' latency.'"
 _TGT = "CASE WHEN id % 2 = 0 THEN 'zh' ELSE 'en' END"
 
 
@@ -170,9 +170,10 @@ def chat_prompt(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("id", R.chat(R.user_instruction(F.col("latency"), F.lit("de"), tgt), body, F.lit("Be brief.")).alias("text"))
 
 
-@query(o.PAIRS + " SELECT id, 'Translate from German to English.' || chr(10) || 'Source: ' || source || chr(10) || 'Translation:' AS text FROM pairs")
+@query(o.PAIRS + " SELECT id, 'Translate the following German text to English.' || chr(10) || chr(10) || 'German: ' || source || chr(10) || chr(10) || 'English:' AS chat, source || chr(10) AS raw FROM pairs")
 def annotator_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return sources.pairs(spark, d).select("id", R.annotator_prompt(F.col("source"), F.lit("de"), F.lit("en")).alias("text"))
+    prompt = lambda mode: R.annotator_prompt(F.col("source"), F.lit("German"), F.lit("English"), mode).alias(mode)
+    return sources.pairs(spark, d).select("id", prompt("chat"), prompt("raw"))
 
 
 _WID = "(('0x' || substr(md5({w}), 1, 8))::BIGINT % 50000 + 10)::INT"
