@@ -96,25 +96,37 @@ def _softmax(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
-def evidence(pages: DataFrame, model: tuple, trust: float = 30.0) -> DataFrame:
-    """page_id, url, logs (text log likelihoods by language), declared, host, domain, suffix."""
+def _scored(rows: DataFrame, model: tuple, trust: float, read) -> DataFrame:
+    """The last column, a text that ``read`` makes plain, becomes logs: text log likelihoods by language."""
     langs, grams, other = model
-    grams = pages.sparkSession.sparkContext.broadcast(grams)  # bounded by the model's features
+    grams = rows.sparkSession.sparkContext.broadcast(grams)  # bounded by the model's features
+    *keep, _ = rows.dtypes
 
     def make(batch: pa.RecordBatch, score: Likelihoods) -> list:
-        return [*batch.columns[:3], [score(extract(html), trust) for html in batch.column(3).to_pylist()]]
+        return [*batch.columns[:-1], [score(read(text), trust) for text in batch.columns[-1].to_pylist()]]
+
+    return per_batch(rows, "".join(f"`{c}` {kind}, " for c, kind in keep) + "logs array<double>", make, lambda: Likelihoods(grams.value, other))
+
+
+def page_evidence(pages: DataFrame, model: tuple, trust: float = 30.0) -> DataFrame:
+    """page_id, url, logs, declared, host, domain, suffix."""
 
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    rows = per_batch(pages.select("page_id", "url", declared.alias("declared"), "html"), f"page_id {dict(pages.dtypes)['page_id']}, url string, declared string, logs array<double>", make, lambda: Likelihoods(grams.value, other))
+    rows = _scored(pages.select("page_id", "url", declared.alias("declared"), "html"), model, trust, extract)
     names = F.split("host", r"\.")
     return rows.withColumn("host", host).withColumn("suffix", F.element_at(names, -1)).withColumn("domain", F.array_join(F.slice(names, -F.least(F.size(names), F.lit(2)), 2), "."))
 
 
-def identified(pages: DataFrame, model: tuple, strength: float = 5.0, trust: float = 30.0) -> DataFrame:
-    """page_id, url, lang, confidence, text_lang, declared and host of each page."""
-    langs, every = model[0], range(len(model[0]))
-    rows = evidence(pages, model, trust)
+def document_evidence(docs: DataFrame, model: tuple, trust: float = 30.0) -> DataFrame:
+    """doc_id, logs, and the source as host; documents declare nothing and have no address. Their ``lang`` isn't read."""
+    rows = _scored(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text"), model, trust, lambda text: text or "")
+    return rows.withColumn("domain", F.col("host")).withColumn("declared", F.lit("")).withColumn("suffix", F.lit(""))
+
+
+def identified(rows: DataFrame, langs: list[str], strength: float = 5.0) -> DataFrame:
+    """Rows of evidence with lang, confidence and text_lang, without logs, domain and suffix."""
+    every, keep = range(len(langs)), [c for c in rows.columns if c not in ("logs", "domain", "suffix")]
     rows = written(rows.withColumn("soft", _softmax(F.col("logs"))), "evidence")
     sums = lambda by: written(rows.groupBy(*by).agg(*(F.sum(F.get("soft", F.lit(i))).alias(f"s{i}") for i in every)), "soft")
     vector = lambda name: F.array(*(F.col(f"s{i}") for i in every)).alias(name)
@@ -135,4 +147,4 @@ def identified(pages: DataFrame, model: tuple, strength: float = 5.0, trust: flo
     names = F.array(*map(F.lit, langs))
     first = lambda p: F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
     out = out.withColumn("p", _softmax(logs))
-    return out.select("page_id", "url", first(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), first(F.col("soft")).alias("text_lang"), "declared", "host")
+    return out.select(*keep, first(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), first(F.col("soft")).alias("text_lang"))

@@ -58,8 +58,12 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.identified(table(spark, sf_dir, "pages"), langid.fitted(table(spark, sf_dir, "documents")))
-    return found.select("page_id", "url", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
+    """All pages, and all documents by their text and source."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fitted(docs)
+    pages = langid.identified(langid.page_evidence(table(spark, sf_dir, "pages"), model), model[0])
+    found = pages.unionByName(langid.identified(langid.document_evidence(docs, model), model[0]), allowMissingColumns=True)
+    return found.select("page_id", "doc_id", "url", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host")
 
 
 def pieces_path() -> str:

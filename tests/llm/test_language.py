@@ -15,9 +15,12 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 60")
     train, rest = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
     pages = rest.select(F.col("doc_id").alias("page_id"), F.lit("http://x.example/").alias("url"), F.concat(F.lit("<article><p>"), "text").alias("html"), "lang")
-    got = {r.page_id: r.lang for r in L.identified(pages, L.fitted(train, 300)).collect()}
+    model = L.fitted(train, 300)
+    got = {r.page_id: r.lang for r in L.identified(L.page_evidence(pages, model), model[0]).collect()}
     want = {r.page_id: r.lang for r in pages.select("page_id", "lang").collect()}
     assert sum(got[i] == lang for i, lang in want.items()) / len(want) > 0.95
+    got = {r.doc_id: r.lang for r in L.identified(L.document_evidence(rest, model), model[0]).collect()}
+    assert sum(got[i] == lang for i, lang in want.items()) / len(want) > 0.95
 
 
 @pytest.fixture(scope="module")
@@ -30,14 +33,17 @@ def test_evidence_is_fused(spark, model):
     """A page without text is judged by its host, another by its text against a wrong declaration."""
     rows = [(i, f"http://a.example.fr/{i}", "<html lang=fr><p>" + "bonjour " * 20) for i in range(30)] + [(50 + i, f"http://b.example.com/{i}", "<html lang=en><p>" + "hello " * 20) for i in range(30)]
     rows += [(100, "http://a.example.fr/x", ""), (101, "http://b.example.com/x", None), (102, "http://a.example.fr/y", "<html lang=fr><p>" + "hello " * 50), (103, None, None)]
-    got = {r.page_id: r for r in L.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    got = {r.page_id: r for r in L.identified(L.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"), model), model[0]).collect()}
     assert len(got) == len(rows)
     assert got[100].lang == "fr" and got[101].lang == "en" and got[0].lang == "fr" and got[50].lang == "en"
     assert got[102].text_lang == "en" and all(0 < r.confidence <= 1 for r in got.values())
 
 
 def test_no_pages_and_no_labels(spark, docs, model):
-    assert L.identified(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+    assert L.identified(L.page_evidence(spark.createDataFrame([], "page_id long, url string, html string"), model), model[0]).count() == 0
+    assert L.identified(L.document_evidence(docs([]), model), model[0]).count() == 0
+    odd = L.identified(L.document_evidence(docs([(None, None, None, None), (1, "", "en", "s"), (1, "hello", "en", "s")], extra=True), model), model[0]).collect()
+    assert len(odd) == 3 and all(r.lang for r in odd)
     with pytest.raises(ValueError):
         L.fitted(docs([(1, "text", None, "s"), (2, None, "en", "s")]))
 
