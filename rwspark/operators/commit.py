@@ -83,22 +83,35 @@ def matched(sweep: DataFrame, target: DataFrame) -> DataFrame:
     return sweep.join(target, "id").groupBy("id", "want").agg(best.alias("b"), F.min(delta).alias("delta")).select("id", "want", F.col("b.tau").alias("tau"), F.col("b.chunks").alias("chunks"), F.col("b.pearson").alias("pearson"), "delta")
 
 
-def upper_median(value: Column) -> Column:
-    """sorted[n div 2] of the finite values."""
-    rows = F.sort_array(F.collect_list(F.when(~F.isnan(value), value)))
-    return F.get(rows, F.floor(F.size(rows) / 2).cast("int"))
+#: Ranks (from 0) among ``n`` sorted values: the upper median, the value at int(n * p), that at round(p * (n - 1)) with halves to even.
+def upper_median(n: Column) -> Column:
+    return F.floor(n / 2)
 
 
-def index_quantile(value: Column, p: float) -> Column:
-    """sorted[int(n * p)]."""
-    rows = F.sort_array(F.collect_list(value))
-    return F.get(rows, F.floor(F.size(rows) * F.lit(p)).cast("int"))
+def lower_median(n: Column) -> Column:
+    return F.floor((n - 1) / 2)
 
 
-def rounded_quantile(value: Column, p: float) -> Column:
-    """sorted[round(p * (n - 1))], halves to even."""
-    rows = F.sort_array(F.collect_list(value))
-    return F.get(rows, F.bround(F.lit(p) * (F.size(rows) - 1)).cast("int"))
+def index_quantile(p: float):
+    return lambda n: F.floor(n * F.lit(p))
+
+
+def rounded_quantile(p: float):
+    return lambda n: F.bround(F.lit(p) * (n - 1))
+
+
+def order_statistics(rows: DataFrame, by: list[str], value: str, **ranks) -> DataFrame:
+    """``by`` and, under each name, the finite value at a rank: a function of the group's count, as those above.
+
+    Equal values are counted before the shuffle, and a running count in sorted order finds the ranks: no group is collected.
+    """
+    some = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = some.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(w))
+    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col(value)))
+    return counts.groupBy(*by).agg(*(at(rank(F.col("_n"))).alias(name) for name, rank in ranks.items()))
 
 
 def bin_for(pearson: Column, high: float = 0.90, low: float = 0.70) -> Column:

@@ -80,16 +80,17 @@ def _median(x: str) -> str:
     round(avg(chunks), 6) AS mean_chunks, {_median('chunks')} AS median_chunks, round({_median('pearson')}, 6) AS median_pearson, count(*) FILTER (pearson IS NULL) AS undefined FROM sums GROUP BY tau"""
 )
 def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows = commit.swept(_cells(spark, d), TAUS)
-    return rows.groupBy("tau").agg(
+    rows = commit.swept(_cells(spark, d), TAUS).persist()  # a row for each pair and threshold
+    out = rows.groupBy("tau").agg(
         F.count("*").alias("sentences"),
         F.round(F.sum("fired") / F.sum("m"), 6).alias("fire_fraction"),
         F.round(F.avg(F.col("early") / F.col("m")), 6).alias("committed_fraction"),
         F.round(F.avg("chunks"), 6).alias("mean_chunks"),
-        commit.upper_median(F.col("chunks")).alias("median_chunks"),
-        F.round(commit.upper_median(F.col("pearson")), 6).alias("median_pearson"),
         F.count_if(F.col("pearson").isNull()).alias("undefined"),
     )
+    out = out.join(commit.order_statistics(rows, ["tau"], "chunks", median_chunks=commit.upper_median), "tau")
+    out = out.join(commit.order_statistics(rows, ["tau"], "pearson", median_pearson=commit.upper_median), "tau", "left")
+    return out.withColumn("median_pearson", F.round("median_pearson", 6))
 
 
 @query(
@@ -100,18 +101,18 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     FROM sums GROUP BY tau"""
 )
 def tau_operating_curve(spark: SparkSession, d: str) -> DataFrame:
-    rows = commit.swept(_cells(spark, d), TAUS)
+    rows = commit.swept(_cells(spark, d), TAUS).persist()
     some = F.when(F.col("chunks") > 1, F.col("chunks"))
-    return rows.groupBy("tau").agg(
+    out = rows.groupBy("tau").agg(
         F.count("*").alias("sentences"),
         F.round(F.avg((F.col("chunks") <= 1).cast("int")), 6).alias("collapsed"),
         F.round(F.avg((F.col("chunks") <= 3).cast("int")), 6).alias("at_most_3"),
         F.round(F.avg(some), 6).alias("mean_chunks"),
-        F.round(F.median(some), 6).alias("median_chunks"),
         F.round(F.avg(F.col("chunks") / F.col("n")), 6).alias("chunks_per_src_token"),
-        commit.index_quantile(F.col("chunks"), 0.1).alias("p10"),
-        commit.index_quantile(F.col("chunks"), 0.9).alias("p90"),
     )
+    split = commit.order_statistics(rows.filter("chunks > 1"), ["tau"], "chunks", lo=commit.lower_median, hi=commit.upper_median)
+    out = out.join(split.select("tau", F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("median_chunks")), "tau", "left")
+    return out.join(commit.order_statistics(rows, ["tau"], "chunks", p10=commit.index_quantile(0.1), p90=commit.index_quantile(0.9)), "tau")
 
 
 _LADDER = (
@@ -193,17 +194,19 @@ def gate_report(spark: SparkSession, d: str) -> DataFrame:
     best = commit.matched(commit.swept(sources.cells(tokens), TAUS), _want(tokens))
     bins = commit.summaries(reference(tokens)).select("id", commit.bin_for(F.col("pearson")).alias("bin"))
     hit, many = F.col("delta") == 0, F.col("chunks") > 1
-    return best.join(bins, "id").groupBy("bin").agg(
+    rows = best.join(bins, "id").persist()
+    out = rows.groupBy("bin").agg(
         F.count("*").alias("n"),
         F.count_if(many).alias("covered"),
         F.count_if(~many).alias("single_chunk_n"),
         F.round(F.avg(F.when(many, hit.cast("int"))), 6).alias("match_cond"),
         F.round(F.avg((hit & many).cast("int")), 6).alias("match_eff"),
         F.round(F.avg("pearson"), 6).alias("pearson_mean"),
-        F.round(commit.upper_median(F.col("pearson")), 6).alias("pearson_median"),
         F.round(F.min("pearson"), 6).alias("pearson_min"),
         F.round(F.max("pearson"), 6).alias("pearson_max"),
     )
+    middle = commit.order_statistics(rows, ["bin"], "pearson", pearson_median=commit.upper_median)
+    return out.join(middle, "bin", "left").withColumn("pearson_median", F.round("pearson_median", 6))
 
 
 @query(o.CELLS + o.commits("0.3e0") + o.summaries() + " SELECT id, round(pearson, 6) AS pearson, chunks FROM sums WHERE pearson IS NOT NULL ORDER BY round(pearson, 6), id LIMIT 10")

@@ -86,7 +86,9 @@ def al_ca(spark: SparkSession, d: str) -> DataFrame:
 @query(_WAIT + _LAGS + _AL + ", lat AS (SELECT id, al, 'medium' AS latency FROM al) SELECT count(*) AS n, round(avg(al), 6) AS mean, round(median(al), 6) AS median, round(avg((c > 1.05)::INT), 6) AS smoke FROM lat JOIN (SELECT DISTINCT id, c FROM g) USING (id)")
 def eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
     rows = _waitk(spark, d).withColumn("al", latency.average_lagging(F.col("g"), F.col("n"), F.col("m")))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg("al"), 6).alias("mean"), F.round(F.median("al"), 6).alias("median"), F.round(F.avg((F.col("chunks") > 1.05).cast("int")), 6).alias("smoke"))
+    out = rows.agg(F.count("*").alias("n"), F.round(F.avg("al"), 6).alias("mean"), F.round(F.avg((F.col("chunks") > 1.05).cast("int")), 6).alias("smoke"))
+    middle = commit.order_statistics(rows.withColumn("run", F.lit(1)), ["run"], "al", lo=commit.lower_median, hi=commit.upper_median)
+    return out.crossJoin(middle.select(F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("median")))  # two single rows
 
 
 # Policies over hashed scores.
@@ -177,7 +179,10 @@ def _losses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LOSS + " SELECT special, count(*) AS n, round(avg(loss), 6) AS mean, round(list_sort(list(loss))[1 + count(*) // 2], 6) AS upper_median FROM loss GROUP BY special")
 def special_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, d).groupBy("special").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean"), F.round(commit.upper_median(F.col("loss")), 6).alias("upper_median"))
+    rows = _losses(spark, d)
+    out = rows.groupBy("special").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean"))
+    middle = commit.order_statistics(rows, ["special"], "loss", upper_median=commit.upper_median)
+    return out.join(middle, "special").withColumn("upper_median", F.round("upper_median", 6))
 
 
 @query(_LOSS + " SELECT id, round(sum(loss * CASE WHEN special THEN 5 ELSE 1 END) / sum(CASE WHEN special THEN 5 ELSE 1 END), 6) AS by_weights, round(sum(loss * CASE WHEN special THEN 5 ELSE 1 END) / count(*), 6) AS by_mask FROM loss GROUP BY id")
@@ -387,14 +392,15 @@ def ppl_by_group(spark: SparkSession, d: str) -> DataFrame:
     return sources.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(ppl, 6).alias("ppl"), verdict.alias("verdict"))
 
 
-@query("""SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, median(n_chars)::DOUBLE AS median, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + count(n_chars) // 2] AS upper_median, min(n_chars) AS lo, max(n_chars) AS hi,
-list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + floor(count(n_chars) * 0.9e0)::INT] AS p90, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + round_even(0.9e0 * (count(n_chars) - 1), 0)::INT] AS p90_rounded FROM documents GROUP BY lang""")
+@query("""SELECT coalesce(lang, '?') AS lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, median(n_chars)::DOUBLE AS median, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + count(n_chars) // 2] AS upper_median, min(n_chars) AS lo, max(n_chars) AS hi,
+list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + floor(count(n_chars) * 0.9e0)::INT] AS p90, list_sort(list(n_chars) FILTER (n_chars IS NOT NULL))[1 + round_even(0.9e0 * (count(n_chars) - 1), 0)::INT] AS p90_rounded FROM documents GROUP BY coalesce(lang, '?')""")
 def summary_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = sources.table(spark, d, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), "n_chars")
     x = F.col("n_chars")
-    return sources.table(spark, d, "documents").groupBy("lang").agg(
-        F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.median(x).alias("median"), commit.upper_median(x).alias("upper_median"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-        commit.index_quantile(x, 0.9).alias("p90"), commit.rounded_quantile(x, 0.9).alias("p90_rounded"),
-    )
+    out = rows.groupBy("lang").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    ranks = dict(upper_median=commit.upper_median, lower=commit.lower_median, p90=commit.index_quantile(0.9), p90_rounded=commit.rounded_quantile(0.9))
+    out = out.join(commit.order_statistics(rows, ["lang"], "n_chars", **ranks), "lang", "left")
+    return out.withColumn("median", (F.col("lower") + F.col("upper_median")) / 2).drop("lower")
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")

@@ -59,9 +59,9 @@ def test_bins(spark):
 
 
 def test_medians_and_quantiles(spark):
-    rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
-    x = F.col("x")
-    assert tuple(rows.agg(commit.upper_median(x), F.median(x), commit.index_quantile(x, 0.9), commit.rounded_quantile(x, 0.5)).first()) == (3.0, 2.5, 4.0, 3.0)
+    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 4.0), (1, 3.0), (2, NAN), (2, 5.0), (2, 5.0), (3, None)], "g int, x double")
+    got = commit.order_statistics(rows, ["g"], "x", up=commit.upper_median, lo=commit.lower_median, p90=commit.index_quantile(0.9), half=commit.rounded_quantile(0.5))
+    assert sorted(map(tuple, got.collect())) == [(1, 3.0, 2.0, 4.0, 3.0), (2, 5.0, 5.0, 5.0, 5.0)]
 
 
 def one(spark, column):
