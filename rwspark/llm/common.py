@@ -26,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application: their Python may not have the driver's path."""
+    """Give the executors this package, once for each application: their Python may not have the driver's path.
+
+    Batches of rows for Python are made smaller than Spark's default of 10,000, unless the session says otherwise: a row may
+    hold a long text, and memory goes with the batch.
+    """
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         top = Path(__file__).resolve().parents[1]
