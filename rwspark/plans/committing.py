@@ -163,7 +163,7 @@ def reference(tokens: DataFrame) -> DataFrame:
     return rows.select("id", "n", "m", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("j"), "commit", F.lit(True).alias("fired"), (F.col("k") + 1).alias("chunk"))
 
 
-@query(o.TOKENS + _REF + " SELECT id, j::INT AS j, commit, chunk FROM rtrace")
+@query(o.TOKENS + _REF + " SELECT id, j::INT AS j, commit::INT AS commit, chunk::INT AS chunk FROM rtrace")
 def reference_trace(spark: SparkSession, d: str) -> DataFrame:
     return reference(sources.token_pairs(spark, d)).select("id", "j", "commit", "chunk")
 
