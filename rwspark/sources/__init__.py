@@ -132,9 +132,9 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter("role = 'user' AND next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.col("text").alias("source"), "target")
 
 
-def token_pairs(spark: SparkSession, folder: str, most: int = 80, targets: int = 60) -> DataFrame:
-    """Pairs with words s, t (the first ``targets``) and their numbers n, m; 1 <= n <= ``most``, m > 0."""
-    rows = pairs(spark, folder).select("id", words("source").alias("s"), F.slice(words("target"), 1, targets).alias("t"))
+def token_pairs(spark: SparkSession, folder: str, most: int = 80) -> DataFrame:
+    """Pairs with words s, t and their numbers n, m; 1 <= n <= ``most``, m > 0. Targets are whole."""
+    rows = pairs(spark, folder).select("id", words("source").alias("s"), words("target").alias("t"))
     return rows.select("id", "s", "t", F.size("s").alias("n"), F.size("t").alias("m")).filter(F.col("n").between(1, most) & (F.col("m") > 0))
 
 
