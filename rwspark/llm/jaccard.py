@@ -54,7 +54,7 @@ def layout(k: int) -> tuple[int, int, int, int]:
 @cache
 def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
     """(lowest, largest size, k) of the bands up to those that hold sizes of ``largest``. Smaller sets link with equal ones only."""
-    found, low = [], -(-(100 + percent) // (2 * (100 - percent)))  # the least size with k >= 1
+    found, low = [], -(-percent // (100 - percent))  # the least size n that can link with n + 1; k >= 1 as the band holds n + 1
     while low <= largest:
         after = int(low * STEP) + 1
         high = (after - 1) * 100 // percent

@@ -66,6 +66,29 @@ def test_linked_sets_share_a_signature(percent):
             assert np.intersect1d(J.signatures(s, percent), J.signatures(t, percent)).size
 
 
+@pytest.mark.parametrize("percent", [50, 67, 70, 80, 85, 90, 95])
+def test_small_sets_at_the_threshold_share_a_signature(percent):
+    """All sizes from 1 to 40, with as few elements shared as a link allows."""
+    rng = np.random.default_rng(percent)
+    for n in range(1, 41):
+        for m in range(n, 41):
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared > n or shared == n == m:
+                continue
+            assert 100 * shared >= percent * (n + m - shared)
+            x = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+            s, t = np.unique(x[:n]), np.unique(x[n - shared :])
+            assert np.intersect1d(J.signatures(s, percent), J.signatures(t, percent)).size, (n, m)
+
+
+@pytest.mark.parametrize("size, percent, words", [(4, 85, 9), (5, 80, 8)])
+def test_one_word_more_in_a_short_text(docs, size, percent, words):
+    text = " ".join(f"w{i}" for i in range(words))
+    texts = [text, f"{text} x", f"y {text}", "other words " + text[:5]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.classes(docs(texts), size, percent).collect()}
+    assert got == brute(texts, size, percent) and got[1][1] == got[2][1] == 0
+
+
 def test_one_large_group(docs):
     """Copies and near copies of one text: no pairs within the group but those with its representative."""
     base = [f"w{i}" for i in range(60)]
