@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: quality rules, near copies, benchmark passages, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-``documents``. Near copies share 80 % of their five-word shingles or more, and the least id of a group stays. Mixing drops
+``documents``, and the mix its ``position`` too, by which the token files are ordered. Near copies share 80 % of their five-word shingles or more, and the least id of a group stays. Mixing drops
 nothing: a document of a source whose weight exceeds its size is given once in each epoch.
 """
 
@@ -43,14 +43,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, in its order within and between files."""
-    return mixing.mixed(docs.select(*COLUMNS)).repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
+    """The mix, in its order within and between files, which ``position`` holds."""
+    return mixing.mixed(docs.select(*COLUMNS)).repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS, "position")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the token files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the token files, which are in the order of the mix."""
     ship(spark)
-    return token_records.round_trip(docs, tokenizer_path)
+    return token_records.round_trip(docs, tokenizer_path, order_col="position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
