@@ -193,8 +193,17 @@ def splice_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_IDS + " SELECT id, array_to_string(list_transform(ids[1:96], lambda x, i: CASE WHEN i <= 2 THEN -100 ELSE x END), ' ') AS labels, least(len(ids), 96)::BIGINT AS attended FROM ids")
 def label_mask(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.slice("ids", 1, 96)
-    return _ids(spark, d).select("id", F.array_join(R.labels(cut, F.lit(2)), " ").alias("labels"), F.size(cut).cast("long").alias("attended"))
+    return masked(_ids(spark, d))
+
+
+#: Of the reference's training.
+MAX_LENGTH = 1024
+
+
+def masked(rows: DataFrame) -> DataFrame:
+    """Labels of the first MAX_LENGTH ids, and how many these are."""
+    cut = F.slice("ids", 1, MAX_LENGTH)
+    return rows.select("id", F.array_join(R.labels(cut, F.lit(2)), " ").alias("labels"), F.size(cut).cast("long").alias("attended"))
 
 
 @query(
