@@ -244,7 +244,7 @@ SELECT id, round(random, 6) AS random_floor, round(pearson, 6) AS pearson, 'hash
 @query(_FLOOR)
 def random_floor(spark: SparkSession, d: str) -> DataFrame:
     rows = commit.summaries(commit.traces(_cells(spark, d), TAU))
-    reps = rows.select("id", "n", "m", "chunks", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("r"))
+    reps = rows.select("id", "n", "m", "chunks", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("r"))
     at = reps.filter("n > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"))
     w = Window.partitionBy("id", "r")
     at = at.withColumn("k", F.row_number().over(w.orderBy(sources.hashed("id", "r", "i", F.lit("floor")), "i"))).filter("k < chunks").drop("k")

@@ -265,7 +265,7 @@ def embedding_average(spark: SparkSession, d: str) -> DataFrame:
 def ot_sinkhorn(spark: SparkSession, d: str) -> DataFrame:
     """Ground cost: 64 fixed vectors on a circle; distributions are the softmaxed embeddings."""
     angle = 2 * np.pi * np.arange(64) / 64
-    return transport.costs(_distributions(spark, d).select("id", "p", "q"), np.stack((np.cos(angle), np.sin(angle)), 1), k=16, rounds=100).withColumn("ot", F.round("ot", 5))
+    return transport.costs(_distributions(spark, d).select("id", "p", "q"), np.stack((np.cos(angle), np.sin(angle)), 1), k=128, rounds=200).withColumn("ot", F.round("ot", 5))
 
 
 # Sampling and splits of documents.

@@ -54,8 +54,8 @@ def prefix_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def annotate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Prefix word distributions as the scorer, every second prefix."""
-    rows = annotation.annotate(sources.token_pairs(spark, d), "prefix", tau=0.05, stride=2)
+    """Prefix word distributions as the scorer, every prefix."""
+    rows = annotation.annotate(sources.token_pairs(spark, d), "prefix", tau=0.05)
     return rows.select("id", "n", "m", "chunks", "sum_commit", F.array_join("source_chunks", "|").alias("source_chunks"))
 
 
