@@ -24,10 +24,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that make what follows them sensitive.
+#: Words that make what is near them sensitive.
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|credential|bearer|authoriz|private.?key|access.?key|signature|client.?id", re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.ASCII)
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+", re.ASCII)
+#: Between tokens on consecutive lines; line breaks may be escaped.
+NEXT_LINE = re.compile(r"""["',;+>#*\x20\t]*(?:\r?\n|\\)["',;+>#*\x20\t]*""")
 
 # Identifiers common in code and configuration, for the dictionary.
 IDENTIFIERS = """access account action address admin algorithm amazonaws api apikey application args array async auth authorization await aws
@@ -82,18 +83,37 @@ def mixed(token: str) -> bool:
     return digits and (small or large) or small and any("A" <= b <= "Z" and "a" <= a <= "z" for a, b in zip(token, token[1:]))
 
 
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, block) of long tokens; those on consecutive lines are one block. A sensitive word divides its token."""
+    words, found, block, last = [m.span() for m in SENSITIVE.finditer(text)], [], 0, 0
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while k < len(words) and words[k][1] <= a:
+            k += 1
+        parts = [(a, words[k][0]), (words[k][1], b)] if k < len(words) and words[k][0] < b else [(a, b)]
+        if not NEXT_LINE.fullmatch(text, last, a):
+            block += 1
+        found += [(x, y, block) for x, y in parts if y - x >= 12]
+        last = b
+    return found
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int = 80, ratio: float = 0.6, least: int = 10) -> list[tuple[int, int, int, int]]:
-    """(start, 3, end, marginal bytes) of incompressible tokens within ``reach`` characters after a sensitive word."""
-    found, at = [], 0
-    for word in SENSITIVE.finditer(text):
-        at, limit = max(at, word.end()), word.end() + reach
-        while m := CANDIDATE.search(text, at, limit + 12):
-            start, at = m.start(), RUN.match(text, m.start()).end()
-            if any(a < at and start < b for a, _, b in taken) or not mixed(text[start:at]):
-                continue
-            size = novelty.marginal(text, start, at)
-            if size >= max(least, ratio * (at - start)):
-                found.append((start, 3, at, size))
+    """(start, 3, end, marginal bytes) of incompressible tokens within ``reach`` characters of a sensitive word, on either side, and on the lines that such tokens run on to."""
+    words, tokens, k, near = [m.span() for m in SENSITIVE.finditer(text)], candidates(text), 0, set()
+    for a, b, block in tokens:
+        while k < len(words) and words[k][1] + reach < a:
+            k += 1
+        if k < len(words) and words[k][0] - reach <= b:
+            near.add(block)
+    found = []
+    for start, end, block in tokens:
+        if block not in near or not mixed(text[start:end]) or any(a < end and start < b for a, _, b in taken):
+            continue
+        size = novelty.marginal(text, start, end)
+        if size >= max(least, ratio * (end - start)):
+            found.append((start, 3, end, size))
     return found
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +37,24 @@ def test_novel_spans():
     assert S.find(again, n) == []  # the text around explains it
 
 
+def test_novel_spans_before_the_word():
+    key = "Zx9QmT4vLw8RbN2cYd7H"
+    for text in (f"{key} # api token", f"{key}, client_id of the service", "x " * 200 + f"{key}\tpassword"):
+        assert [text[a:b] for a, k, b, _ in S.find(text, S.Novelty()) if k == 3] == [key]
+    assert S.find(f"{key} " + "word " * 40 + "secret", S.Novelty()) == []  # too far before it
+
+
+def test_novel_spans_run_on_over_lines():
+    draw = random.Random(5)
+    lines = ["".join(draw.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(26)]
+    for end in ("\n", "\r\n", "\n    "):
+        text = end.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----", "plain words", lines[0][::-1]])
+        found = [text[a:b] for a, k, b, _ in S.find(text, S.Novelty()) if k == 3]
+        assert found[:26] == lines
+    text = "\n".join(["a private key", "word " * 30, lines[0]])
+    assert S.find(text, S.Novelty()) == []  # no lines of candidates lead there
+
+
 def test_marginal_size():
     n = S.Novelty()
     assert n.marginal("secret configuration", 7, 20) < n.marginal("secret Zx9QmT4vLw8Rb", 7, 20)
