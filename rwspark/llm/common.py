@@ -17,9 +17,11 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset (tests, one machine), a local one of our own."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset (tests, one machine), a local one of our own. On a cluster its absence is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rwspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,7 +60,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(col: str | Column) -> Column:
@@ -89,3 +101,20 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 20_0
         return rows.join(F.broadcast(groups), keys)
     dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = 500, most: int = 100_000) -> tuple[DataFrame, int]:
+    """Keys of many rows with ``_salts``, over how many parts each is to be dealt, and the rows that make a part.
+
+    A part has ``least`` rows, or a ``most``-th of all where that is more: so there are under ``most`` such keys at any size.
+    """
+    per = max(least, rows.count() // most)
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > per).select(key, F.ceil(F.col("_n") / F.lit(per)).cast("int").alias("_salts")), per
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, own: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key. The rows of a hot key (of ``hot_keys``) are dealt over tasks by a hash of ``own``; its row in the table is sent to each."""
+    hot = F.broadcast(hot)
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(own), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

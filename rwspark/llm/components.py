@@ -1,11 +1,14 @@
-"""Connected components of links by alternating large-star and small-star steps, each a grouped minimum and a join."""
+"""Connected components of links by alternating large-star and small-star steps, each a grouped minimum and a join.
+
+The neighbours of a node with very many of them (a star's centre) are dealt over tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt_join, discard, hot_keys, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs: (a, b). Each a's neighbours are linked to the least of them and a; of a large star the larger neighbours, of a small star the smaller ones and a."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = pairs.join(least, "a")
+    joined = dealt_join(pairs, least, "a", "b", hot_keys(pairs, "a")[0])
     found = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return found.filter("a <> b").distinct()
 
@@ -29,7 +32,9 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         big = written(_star(both, True), "links")
-        links = written(_star(big.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "links")
+        now_links = written(_star(big.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "links")
+        discard(links, big)
+        links = now_links
         now = _state(links)
         if now == before:
             break

@@ -10,13 +10,18 @@ Signatures of few elements say little. There are m + 1 good partitions at least.
 those under q elements, with the largest q for which at most m partitions have a weaker subset: of the good partitions
 one is at least as strong as the larger q of both sets, so its common signature is given by both, and no link is lost.
 
-Equal sets are one class before anything is joined. Each set is compared with the one it shares most signatures with among
-the least ones of its signatures, which links most near copies. Of a signature whose rows are still in different components,
-each is compared with the row that has most links so far (the original of copies), and last those of different components
-with each other. All comparisons are exact, on 64-bit hashes of whole shingles. There is no cap on rows, partners or candidates.
+Equal sets are one node, numbered by a hash; two sets of one number (seen by a second hash) make all begin again with another
+seed. Each node is first compared with the one it shares most signatures with among the least ones of its signatures, which
+links most near copies. Of signatures whose rows are still in different components, all rows of different components are
+held against each other by sketches: a bit for each class of elements says whether the set has an odd number of them, and two sets differ
+in as many elements as their sketches do in bits at least, so a sketch rules out pairs but never a link. What the sketches
+let through is compared as whole sets of 64-bit hashes. Rows of a signature with very many of them are dealt to tasks in
+blocks, each with each. There is no cap on rows, partners or candidates.
 
 Nulls and empty texts have no shingles and are linked with nothing; so are rows without an id, whose component is null. A
-text with fewer words than a shingle is one shingle. Repeated rows are copies. Rows that share an id are one document.
+text with fewer words than a shingle is one shingle, and texts of any length are read as a whole. Repeated rows are copies.
+Rows that share an id are one document, except those without words. An empty table gives no rows. Only the two columns named
+are read: others, of any name, are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import per_batch, utf8, written
+from .common import dealt_join, discard, hot_keys, per_batch, utf8, written
 from .components import components
 
 STEP = 1.3
@@ -132,129 +137,199 @@ def signatures(s, percent: int):
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def features(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), print (128-bit hash of the set, null for none), signatures (null where this task has given them for an equal set), spread (elements in each of 64 parts of the domain, 255 at most)."""
+def sketch(s) -> bytes:
+    """Parities: of each of 2^j classes of elements (more than elements, 256 at least) whether the set has an odd number."""
+    import numpy as np
+
+    bits = max(256, 1 << len(s).bit_length())
+    classes = (_mixed(s + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes]):
+    """Sketches as rows of 64-bit words, those with more classes folded to the fewest: parities of joined classes."""
+    import numpy as np
+
+    width = min(map(len, sketches))
+    if width == max(map(len, sketches)):
+        return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for row, x in zip(out, sketches):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > len(row):
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        row[:] = v
+    return out
+
+
+def near(apart, sizes, percent: int):
+    """Whether sets that differ in ``apart`` elements at least, with ``sizes`` elements in both together, may be linked."""
+    return apart * (100 + percent) <= (100 - percent) * sizes
+
+
+def _number(s, seed: int) -> tuple[int, int]:
+    """A set's node and a second hash."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest(s.tobytes(), seed)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def features(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """id, n (set size), node and check (hashes of the set; null without id or words) and sketch of rows (id, text)."""
+
+    def make(batch: pa.RecordBatch, seen: dict) -> list:
+        n, node, check, marks = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = shingles(text, size, seen)
+            n.append(len(s))
+            a, b = _number(s, seed) if len(s) and doc_id is not None else (None, None)
+            node.append(a)
+            check.append(b)
+            marks.append(None if a is None else sketch(s))
+        return [batch.column(0), n, node, check, marks]
+
+    return per_batch(docs, "id long, n long, node long, check long, sketch binary", make, hashed_words)
+
+
+def signed(docs: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """sig and node, a row for each signature of rows (id, text); a task gives those of equal sets once."""
 
     def make(batch: pa.RecordBatch, state: tuple) -> list:
         import numpy as np
-        import xxhash
 
         seen, given = state
-        n, prints, out, spread = [], [], [], []
+        sigs, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(text, size, seen)
-            mark = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            n.append(len(s))
-            prints.append(mark)
-            if doc_id is None or mark is None or mark in given:
-                out.append(None)
-                spread.append(None)
+            if doc_id is None or not len(s) or (node := _number(s, seed)[0]) in given:
                 continue
             if len(given) > 100_000:
                 given.clear()
-            given.add(mark)
-            signed = signatures(s, percent)
-            out.append(signed.view("int64") if len(signed) else None)
-            spread.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
-        return [batch.column(0), n, prints, out, spread]
-
-    return per_batch(docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")), "id long, n long, print binary, signatures array<long>, spread binary", make, lambda: (hashed_words(), set()))
-
+            given.add(node)
+            sigs.append(signatures(s, percent))
+            nodes.append(np.full(len(sigs[-1]), node, np.int64))
+        return [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))]
 
-def _spreads(found: DataFrame) -> DataFrame:
-    return found.filter("spread IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("n", "spread"), "n").alias("x"))
+    return per_batch(docs, "sig long, node long", make, lambda: (hashed_words(), set()))
 
 
-def possible(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) that sizes and spreads don't rule out: sets differ at least by the differences of their parts' counts."""
-    of = _spreads(found)
-    both = pairs.join(of.select(F.col("id").alias("a"), F.col("x").alias("s")), "a").join(of.select(F.col("id").alias("b"), F.col("x").alias("t")), "b")
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) that sizes and sketches don't rule out."""
+    own = lambda key, x: sets.select(F.col("node").alias(key), F.struct("n", "sketch").alias(x))
+    both = dealt_join(pairs.join(own("a", "s"), "a"), own("b", "t"), "b", "a", hot_keys(pairs, "b")[0])
 
     def make(batch: pa.RecordBatch) -> list:
         import numpy as np
 
         n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-        s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for i in (3, 5))
-        apart = np.maximum(np.abs(s - t).sum(axis=1), np.abs(n - m))  # of n + m, (100 - percent) / (100 + percent) may differ
-        return [batch.column(0), batch.column(1), apart * (100 + percent) <= (100 - percent) * (n + m)]
+        apart = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
+        return [batch.column(0), batch.column(1), near(np.maximum(apart, np.abs(n - m)), n + m, percent)]
 
-    rows = both.select("a", "b", F.col("s.n").alias("n"), F.col("s.spread").alias("s"), F.col("t.n").alias("m"), F.col("t.spread").alias("t"))
+    rows = both.select("a", "b", F.col("s.n").alias("n"), F.col("s.sketch").alias("s"), F.col("t.n").alias("m"), F.col("t.sketch").alias("t"))
     return per_batch(rows, "a long, b long, may boolean", make).filter("may").select("a", "b")
 
 
-def neighbours(rows: DataFrame, percent: int, hubs: bool) -> DataFrame:
-    """Pairs (a, b) of rows (sig, id, component, links, n, spread) of one signature and different components that sizes and spreads don't rule out.
+def runs(batches, keys: int):
+    """Tables of the rows that share the first ``keys`` columns, of batches in which these stand side by side."""
+    import numpy as np
 
-    The rows of a signature come one after another, by size; each is held against the later ones that are not too large, and
-    only pairs that may be linked leave the task. With ``hubs``, rows are held against that of their signature which has most
-    links so far, only.
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        edges = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(edges[-1])
+    if held is not None:
+        yield held
+
+
+def neighbours(rows: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out.
+
+    rows: sig, node, component, of (the rows of the signature), n, sketch. The rows of a signature come one after another, by
+    size; each is held against the later ones that are not too large, and only pairs that may be linked leave the task. A
+    signature of over ``block`` rows is cut into blocks by hash, and each two blocks are a task's work.
     """
 
-    def pairs(held: list) -> tuple[list, list]:
+    def pairs(group: pa.Table) -> tuple[list, list]:
         import numpy as np
 
-        ids, group, links, n = (np.array([r[i] for r in held], np.int64) for i in (0, 1, 2, 3))
-        spread = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, 64).astype(np.int16)
-        if hubs:
-            i = np.lexsort((ids, -links))[0]
-            apart = np.maximum(np.abs(spread - spread[i]).sum(axis=1), np.abs(n - n[i]))
-            hit = ids[(apart * (100 + percent) <= (100 - percent) * (n[i] + n)) & (group != group[i])].tolist()
-            return [int(ids[i])] * len(hit), hit
+        node, component, part, n = (group.column(c).to_numpy() for c in ("node", "component", "part", "n"))
+        marks, across = folded(group.column("sketch").to_pylist()), group.column("x")[0].as_py() != group.column("y")[0].as_py()
         a, b = [], []
-        for i in range(len(held) - 1):
-            to = np.searchsorted(n, n[i] * 100 // percent, "right")
-            if to <= i + 1:
-                continue
-            apart = np.maximum(np.abs(spread[i + 1 : to] - spread[i]).sum(axis=1), n[i + 1 : to] - n[i])
-            may = (apart * (100 + percent) <= (100 - percent) * (n[i] + n[i + 1 : to])) & (group[i + 1 : to] != group[i])
-            hit = ids[i + 1 : to][may].tolist()
-            a += [int(ids[i])] * len(hit)
-            b += hit
+        for i in range(len(n) - 1):
+            to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+            other = component[i + 1 : to] != component[i]
+            if across:
+                other &= part[i + 1 : to] != part[i]
+            at = np.flatnonzero(other) + i + 1
+            if len(at):
+                apart = np.maximum(np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64), n[at] - n[i])
+                hit = node[at[near(apart, n[at] + n[i], percent)]].tolist()
+                a += [int(node[i])] * len(hit)
+                b += hit
         return a, b
 
     def run(batches):
-        sig, held, a, b = None, [], [], []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(a, b)], pa.int64()), pa.array([max(x) for x in zip(a, b)], pa.int64())], names=["a", "b"])
-        for batch in batches:
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != sig:
-                    found = pairs(held) if len(held) > 1 else ([], [])
-                    a += found[0]
-                    b += found[1]
-                    sig, held = s, []
-                    if len(a) > 10_000:
-                        yield out()
-                        a, b = [], []
-                held.append(row)
-        found = pairs(held) if len(held) > 1 else ([], [])
-        a += found[0]
-        b += found[1]
-        yield out()
-
-    return rows.select("sig", "id", "component", "links", "n", "spread").repartition("sig").sortWithinPartitions("sig", "n").mapInArrow(run, "a long, b long").distinct()
-
-
-def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, most: int = 500_000, group: int = 500) -> DataFrame:
-    """Of ``pairs`` (a, b), a written table, those whose sets are linked.
-
-    Each b is compared with its a's: the sets are made again from the texts, and each is sent once for every b. The a's of
-    one b go in groups of about ``group``, so that a b with many of them is dealt over tasks.
+        known: set = set()  # pairs often share many signatures
+        for group in runs(batches, 3):
+            found = {(min(x), max(x)) for x in zip(*pairs(group))} - known
+            if found:
+                known = known if len(known) < 100_000 else set()
+                known |= found
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    blocks = F.ceil(F.col("of") / F.lit(block)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "part", "n", "sketch")
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def towards_hubs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) turned so that b is the node with more partners."""
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    own = lambda key, name: degrees.select(F.col("node").alias(key), F.struct("d", "node").alias(name))
+    both = dealt_join(dealt_join(pairs, own("a", "x"), "a", "b", hot_keys(pairs, "a")[0]), own("b", "y"), "b", "a", hot_keys(pairs, "b")[0])
+    return both.select(F.least("x", "y")["node"].alias("a"), F.greatest("x", "y")["node"].alias("b"))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int, seed: int, most: int = 500_000) -> DataFrame:
+    """Of ``pairs`` (a, b), a written table, those whose sets are linked, as a written table.
+
+    Each b, a hub, is compared with its a's: the sets are made again from the texts, and each is sent once for every b. The
+    a's of a b with many of them are dealt over tasks, each of which gets the set of b once.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("groups"))
-    ends = sizes.select(F.col("b").alias("id"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("member"))
-    starts = pairs.join(sizes, "b").select(F.col("a").alias("id"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("member"))
-    wanted = written(ends.unionByName(starts).groupBy("id").agg(F.collect_list(F.struct("key", "part", "member")).alias("places")), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id")
+    hot = F.broadcast(hot_keys(pairs, "b")[0])
+    dealt = pairs.join(hot, "b", "left")
+    starts = dealt.select(F.col("a").alias("node"), F.col("b").alias("key"), F.coalesce(F.pmod(F.xxhash64("a"), F.col("_salts")).cast("int"), F.lit(0)).alias("part"), F.lit(1).alias("member"))
+    ends = dealt.select("b", "_salts").distinct().select(F.col("b").alias("node"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("member"))
+    places = starts.unionByName(ends).groupBy("node").agg(F.collect_list(F.struct("key", "part", "member")).alias("places"))
+    wanted = written(places.join(sets.select("node", F.col("first").alias("id")), "node"), "wanted")
+    few = wanted.agg((F.count("*") <= most) & (F.coalesce(F.sum(F.size("places")), F.lit(0)) <= 2 * most)).first()[0]
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "id")
 
     def make(batch: pa.RecordBatch, seen: dict) -> list:
-        out: list[tuple] = []
-        for doc_id, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-            s = shingles(text, size, seen).tobytes()
-            out += [(x["key"], x["part"], x["member"], doc_id, s) for x in places]
-        return [list(c) for c in zip(*out)]
-
-    rows = per_batch(texts.select("id", "text", "places"), "key long, part int, member int, id long, s binary", make, hashed_words)
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for text, node, at in zip(*(c.to_pylist() for c in batch.columns)):
+            s = shingles(text, size, seen)
+            if len(s) and _number(s, seed)[0] == node:  # rows that share an id may differ
+                data = s.tobytes()
+                for x in at:
+                    for column, value in zip(out, (x["key"], x["part"], x["member"], node, data)):
+                        column.append(value)
+        return list(out)
+
+    rows = per_batch(texts.select("text", "node", "places"), "key long, part int, member int, node long, s binary", make, hashed_words)
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "member")
 
     def run(batches):
@@ -263,58 +338,75 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: s
         key, other = None, None
         for batch in batches:
             a, b = [], []
-            for k, part, member, doc_id, s in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+            for k, part, member, node, s in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
                 own = np.frombuffer(s.as_buffer(), np.uint64)
                 if not member:
                     key, other = (k, part), own.copy()
                 elif (k, part) == key:
                     shared = len(np.intersect1d(own, other, assume_unique=True))
                     if 100 * shared >= percent * (len(own) + len(other) - shared):
-                        a.append(doc_id)
+                        a.append(node)
                         b.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    found = written(rows.mapInArrow(run, "a long, b long").distinct(), "edges")
+    discard(wanted)
+    return found
+
+
+def numbered(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Written features, written sets (node, n, sketch, first: the least id, rows), and the seed by which no two sets share a node."""
+    for seed in range(100):
+        found = written(features(docs, size, seed), "features")
+        least = lambda c: F.min(c).alias(c)
+        sets = found.filter("node IS NOT NULL").groupBy("node").agg(least("n"), F.first("sketch").alias("sketch"), F.min("id").alias("first"), F.count("*").alias("rows"), least("check"), F.max("check").alias("other"))
+        sets = written(sets, "sets")
+        if sets.filter("check <> other").isEmpty():
+            return found, sets, seed
+        discard(found, sets)
+    raise RuntimeError("no seed tells all sets apart")
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id of each row."""
-    found = written(features(docs, size, percent, id_col, text_col), "features")
-    alike = written(found.filter("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    nodes = found.select("id", "print", "n").filter("id IS NOT NULL AND print IS NOT NULL").join(alike, "print")
-    nodes = written(nodes.select("id", "n", "rep"), "nodes")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    found, sets, seed = numbered(docs, size)
 
-    rows = found.filter("signatures IS NOT NULL").select(F.explode("signatures").alias("sig"), "id")
     w = Window.partitionBy("sig")
-    shared = rows.withColumn("pivot", F.min("id").over(w)).withColumn("last", F.max("id").over(w)).filter("pivot <> last").select("sig", "id", "pivot")
-    shared = written(shared, "shared")
-
-    # First each row with the pivot it shares most signatures with.
-    votes = shared.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("id").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("id").alias("a"), "b")
-    copies = nodes.filter("id <> rep").join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    first = written(first, "pairs")
-    edges = written(linked(written(possible(first, found, percent), "pairs"), docs, size, percent, id_col, text_col).unionByName(copies), "edges")
+    shared = signed(docs, size, percent, seed).withColumn("pivot", F.min("node").over(w)).withColumn("last", F.max("node").over(w))
+    shared = written(shared.filter("pivot <> last").select("sig", "node", "pivot").distinct(), "shared")
+
+    # First each node with the pivot it shares most signatures with.
+    votes = shared.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
+    first = written(votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
+    likely = written(possible(first, sets, percent), "pairs")
+    edges = linked(likely, docs, sets, size, percent, seed)
+    twice = found.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("id", "b")
+    edges = edges.unionByName(found.join(twice, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
     groups = components(edges)
 
-    # Then what still shares a signature across components: first with the row that has most links, last with each other.
+    # Then what shares a signature across components, with each other.
+    named = shared.select("sig", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = named.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("of", F.count("*").over(w))
+    split = written(split.filter("lo <> hi").select("sig", "node", "component", "of"), "split")
+    discard(shared)
+    rest = neighbours(split.join(sets.select("node", "n", "sketch"), "node"), percent)
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for hubs in (True, False):
-        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-        known = groups.withColumnRenamed("node", "id").join(ends, "id", "left")
-        named = shared.select("sig", "id").join(known, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-        split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-        shared = written(named.join(split, "sig", "left_semi"), "split")  # what is in one component now stays so
-        rows = shared.join(_spreads(found), "id").select("sig", "id", "component", "links", F.col("x.n").alias("n"), F.col("x.spread").alias("spread"))
-        rest = written(neighbours(rows, percent, hubs).join(done, ["a", "b"], "left_anti"), "pairs")
-        more = written(linked(rest, docs, size, percent, id_col, text_col), "edges")
+    rest = written(rest.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(split)
+    if not rest.isEmpty():
+        turned = written(towards_hubs(rest), "pairs")
+        more = linked(turned, docs, sets, size, percent, seed)
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            groups = components(edges)
-        done = done.unionByName(rest)
-
-    # Copies that gave no signatures follow the first of their class.
-    ends = alike.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    result = found.select("id", "n", "print").join(ends, "print", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+            groups = components(edges.unionByName(more))
+        discard(turned)
+    discard(first, likely, rest)
+
+    # The least id of each component, and each row its set's.
+    ends = sets.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_id = ends.groupBy("component").agg(F.min("first").alias("component_id"))
+    ends = written(dealt_join(ends, least_id, "component", "node", hot_keys(ends, "component")[0]).select("node", "component_id"), "ends")
+    rows = found.select("id", "n", "node")
+    result = dealt_join(rows.filter("node IS NOT NULL"), ends, "node", "id", hot_keys(rows.filter("node IS NOT NULL"), "node")[0]).select("id", "n", "component_id")
+    result = result.unionByName(rows.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id")))
+    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -111,3 +111,40 @@ def test_components(spark):
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        t = np.unique(np.concatenate((s[int(rng.integers(0, n // 3 + 1)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 3 + 1)), dtype=np.uint64))))
+        x, y = J.folded([J.sketch(s), J.sketch(t)])
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(s, t))
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_neighbours_in_blocks(spark, block):
+    """All near pairs of a signature across components, however its rows are dealt."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[i % 5 :], rng.integers(0, 2**64, i % 3, dtype=np.uint64)))) for i in range(20)]
+    rows = [(sig, i, i // 2, 20, len(s), J.sketch(s)) for sig in (1, 2) for i, s in enumerate(sets)]
+    found = J.neighbours(spark.createDataFrame(rows, "sig long, node long, component long, of long, n long, sketch binary"), 85, block).collect()
+    linked = {(i, j) for j in range(20) for i in range(j) if i // 2 != j // 2 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= {(r.a, r.b) for r in found} and len(found) == len({(r.a, r.b) for r in found})
+
+
+def test_sets_that_share_a_number_begin_again(docs, monkeypatch):
+    number = J._number
+    monkeypatch.setattr(J, "_number", lambda s, seed: (number(s, seed)[0] % 3 if seed == 0 else number(s, seed)[0], number(s, seed)[1]))
+    texts = near_texts(5, 20)
+    found, sets, seed = J.numbered(docs(texts).selectExpr("doc_id AS id", "cast(text AS binary) AS text"), 4)
+    assert seed == 1 and found.count() == 20
+
+
+def test_rows_that_share_an_id(docs):
+    """One document: what either text links to is in its component."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    got = J.classes(docs([(1, a, "en", "s"), (4, a, "en", "s"), (4, b, "en", "s"), (9, b, "en", "s"), (7, "x y", "en", "s")]), 4, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (4, 1), (4, 1), (7, 7), (9, 1)]
