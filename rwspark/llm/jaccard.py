@@ -12,11 +12,12 @@ one is at least as strong as the larger q of both sets, so its common signature
 
 Equal sets are one node, numbered by a hash; two sets of one number (seen by a second hash) make all begin again with another
 seed. Each node is first compared with the one it shares most signatures with among the least ones of its signatures, which
-links most near copies. Of signatures whose rows are still in different components, all rows of different components are
-held against each other by sketches: a bit for each class of elements says whether the set has an odd number of them, and two sets differ
-in as many elements as their sketches do in bits at least, so a sketch rules out pairs but never a link. What the sketches
-let through is compared as whole sets of 64-bit hashes. Rows of a signature with very many of them are dealt to tasks in
-blocks, each with each. There is no cap on rows, partners or candidates.
+links most near copies. Of signatures whose rows are still in different components, each is compared with the one that has
+most links (the original of copies), then those nearest to each other that would join their components, and last all that
+are still apart. Before sets are compared as a whole, sketches rule pairs out: a bit for each class of elements says whether
+the set has an odd number of them, and two sets differ in as many elements as their sketches do in bits at least, so no
+link is ruled out. Rows of a signature with very many of them are dealt to tasks in blocks. There is no cap on rows,
+partners or candidates.
 
 Nulls and empty texts have no shingles and are linked with nothing; so are rows without an id, whose component is null. A
 text with fewer words than a shingle is one shingle, and texts of any length are read as a whole. Repeated rows are copies.
@@ -252,49 +253,96 @@ def runs(batches, keys: int):
         yield held
 
 
-def neighbours(rows: DataFrame, percent: int, block: int = 4096) -> DataFrame:
-    """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out.
+def spanning(pairs: list[tuple], component: dict) -> set:
+    """Of (weight, a, b), by weight, those that join components that the ones before have not joined."""
+    root: dict = {}
 
-    rows: sig, node, component, of (the rows of the signature), n, sketch. The rows of a signature come one after another, by
-    size; each is held against the later ones that are not too large, and only pairs that may be linked leave the task. A
-    signature of over ``block`` rows is cut into blocks by hash, and each two blocks are a task's work.
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    kept = set()
+    for _, a, b in sorted(pairs):
+        x, y = find(component[a]), find(component[b])
+        if x != y:
+            root[x] = y
+            kept.add((min(a, b), max(a, b)))
+    return kept
+
+
+def neighbours(rows: DataFrame, percent: int, forest: bool, block: int = 4096) -> DataFrame:
+    """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out; with ``forest``, of each signature only as many as join the components, the nearest first.
+
+    rows: sig, node, component, major (it is the signature's largest component), majors and minors (how many rows are in it
+    and outside), n, sketch. The rows of a signature come one after another, by size; those outside the largest component are
+    held against all others that are not too large or small. Only pairs that may be linked leave the task. A signature of over
+    ``block`` rows is cut into blocks by hash, and every two blocks that have work to do are a task's.
     """
 
-    def pairs(group: pa.Table) -> tuple[list, list]:
+    def pairs(group: pa.Table) -> list[tuple]:
         import numpy as np
 
-        node, component, part, n = (group.column(c).to_numpy() for c in ("node", "component", "part", "n"))
-        marks, across = folded(group.column("sketch").to_pylist()), group.column("x")[0].as_py() != group.column("y")[0].as_py()
-        a, b = [], []
-        for i in range(len(n) - 1):
-            to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            other = component[i + 1 : to] != component[i]
-            if across:
-                other &= part[i + 1 : to] != part[i]
-            at = np.flatnonzero(other) + i + 1
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        node, component, major, part, n = (group.column(c).to_numpy() for c in ("node", "component", "major", "part", "n"))
+        marks, large, found = folded(group.column("sketch").to_pylist()), int(group.column("blocks")[0].as_py()) > 1, []
+        for i in np.flatnonzero(~major.astype(bool)).tolist():
+            lo, hi = int(np.searchsorted(n, -(-n[i] * percent // 100), "left")), int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+            at = np.arange(lo, hi)
+            other, own = component[lo:hi] != component[i], major[lo:hi].astype(bool)
+            if not large:
+                other &= own | (at > i)
+            elif x >= 0:
+                other &= own
+            else:
+                other &= (at > i) if -1 - x == y else (at > i) & (part[lo:hi] != part[i])
+            at = at[other]
             if len(at):
-                apart = np.maximum(np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64), n[at] - n[i])
-                hit = node[at[near(apart, n[at] + n[i], percent)]].tolist()
-                a += [int(node[i])] * len(hit)
-                b += hit
-        return a, b
+                apart = np.maximum(np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64), np.abs(n[at] - n[i]))
+                may = near(apart, n[at] + n[i], percent)
+                found += [(w, int(node[i]), b) for w, b in zip((apart[may] / (n[at][may] + n[i])).tolist(), node[at[may]].tolist())]
+        if forest:
+            return spanning(found, dict(zip(node.tolist(), component.tolist())))
+        return {(min(a, b), max(a, b)) for _, a, b in found}
 
     def run(batches):
         known: set = set()  # pairs often share many signatures
         for group in runs(batches, 3):
-            found = {(min(x), max(x)) for x in zip(*pairs(group))} - known
+            found = pairs(group) - known
             if found:
                 known = known if len(known) < 100_000 else set()
                 known |= found
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    blocks = F.ceil(F.col("of") / F.lit(block)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "component", "part", "n", "sketch")
+    count = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(block)), F.lit(1)).cast("int")
+    rows = rows.withColumn("blocks", F.ceil((F.col("majors") + F.col("minors")) / F.lit(block)).cast("int")).withColumn("ys", count("minors")).withColumn("xs", count("majors"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("xs")).otherwise(F.col("ys"))).cast("int"))
+    upto = lambda c, cell: F.transform(F.sequence(F.lit(0), F.col(c) - 1), cell)
+    place = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    part = F.col("part")
+    with_major, with_minor = upto("xs", lambda k: place(k, part)), upto("ys", lambda k: place(-1 - F.least(k, part), F.greatest(k, part)))
+    cells = F.when(F.col("blocks") <= 1, F.array(place(F.lit(0), F.lit(0)))).when(F.col("major"), upto("ys", lambda k: place(part, k))).otherwise(F.concat(with_major, with_minor))
+    rows = rows.withColumn("cell", F.explode(cells)).select("sig", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "node", "component", F.col("major").cast("int").alias("major"), "part", "blocks", "n", "sketch")
     return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "n").mapInArrow(run, "a long, b long").distinct()
 
 
+def still_split(shared: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Written: the rows (sig, node) of signatures whose rows are in different components, with component, major, majors, minors, hub (the row with most links) and apart (it is in another component)."""
+    w = Window.partitionBy("sig")
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    named = shared.select("sig", "node").join(groups.join(links, "node", "left"), "node", "left")
+    named = named.select("sig", "node", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.withColumn("own", F.count("*").over(Window.partitionBy("sig", "component"))).withColumn("of", F.count("*").over(w)).filter("own < of")
+    named = named.withColumn("top", F.max(F.struct("own", "component")).over(w)).withColumn("hub", F.max(F.struct("links", "node", "component")).over(w))
+    return written(
+        named.select(
+            "sig", "node", "component", (F.col("component") == F.col("top.component")).alias("major"), F.col("top.own").alias("majors"), (F.col("of") - F.col("top.own")).alias("minors"),
+            F.col("hub.node").alias("hub"), (F.col("component") != F.col("hub.component")).alias("apart"),
+        ),
+        "split",
+    )
+
+
 def towards_hubs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) turned so that b is the node with more partners."""
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
@@ -354,6 +402,14 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percen
     return found
 
 
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
+    """As ``linked``, of pairs that sketches have not yet judged."""
+    likely = written(possible(pairs, sets, percent), "pairs")
+    found = linked(likely, docs, sets, size, percent, seed)
+    discard(likely)
+    return found
+
+
 def numbered(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
     """Written features, written sets (node, n, sketch, first: the least id, rows), and the seed by which no two sets share a node."""
     for seed in range(100):
@@ -378,29 +434,35 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
 
     # First each node with the pivot it shares most signatures with.
     votes = shared.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
-    first = written(votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
-    likely = written(possible(first, sets, percent), "pairs")
-    edges = linked(likely, docs, sets, size, percent, seed)
+    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
     twice = found.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("id", "b")
-    edges = edges.unionByName(found.join(twice, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    edges = found.join(twice, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()  # rows that share an id
+    tested = written(first, "pairs")
+    edges = edges.unionByName(verified(tested, docs, sets, size, percent, seed))
     groups = components(edges)
 
-    # Then what shares a signature across components, with each other.
-    named = shared.select("sig", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("of", F.count("*").over(w))
-    split = written(split.filter("lo <> hi").select("sig", "node", "component", "of"), "split")
-    discard(shared)
-    rest = neighbours(split.join(sets.select("node", "n", "sketch"), "node"), percent)
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    discard(split)
-    if not rest.isEmpty():
-        turned = written(towards_hubs(rest), "pairs")
-        more = linked(turned, docs, sets, size, percent, seed)
+    # Then, of signatures that are still split, each row with that of most links; rows that join components; all that is left.
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for step in ("hubs", "forest", "all"):
+        split = still_split(shared, groups, edges)
+        discard(shared)
+        shared = split
+        if step == "hubs":
+            rest = split.filter("apart").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        else:
+            rest = neighbours(split.drop("hub", "apart").join(sets.select("node", "n", "sketch"), "node"), percent, step == "forest")
+        done = ordered(tested).distinct()
+        rest = written(ordered(rest).distinct().join(done, ["a", "b"], "left_anti") if step == "all" else rest, "pairs")
+        if rest.isEmpty():
+            if step == "hubs":
+                continue
+            break
+        turned = rest if step == "hubs" else written(towards_hubs(rest), "pairs")
+        more = verified(turned, docs, sets, size, percent, seed) if step == "hubs" else linked(turned, docs, sets, size, percent, seed)
         if not more.isEmpty():
-            groups = components(edges.unionByName(more))
-        discard(turned)
-    discard(first, likely, rest)
+            edges = edges.unionByName(more)
+            groups = components(edges)
+        tested = tested.unionByName(rest)
 
     # The least id of each component, and each row its set's.
     ends = sets.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

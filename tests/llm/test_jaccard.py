@@ -124,15 +124,28 @@ def test_sketches_rule_out_no_link():
 
 
 @pytest.mark.parametrize("block", [3, 4096])
-def test_neighbours_in_blocks(spark, block):
-    """All near pairs of a signature across components, however its rows are dealt."""
+@pytest.mark.parametrize("forest", [False, True])
+def test_neighbours_in_blocks(spark, block, forest):
+    """All near pairs of a signature across components, or as many as join them, however its rows are dealt."""
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
     sets = [np.unique(np.concatenate((base[i % 5 :], rng.integers(0, 2**64, i % 3, dtype=np.uint64)))) for i in range(20)]
-    rows = [(sig, i, i // 2, 20, len(s), J.sketch(s)) for sig in (1, 2) for i, s in enumerate(sets)]
-    found = J.neighbours(spark.createDataFrame(rows, "sig long, node long, component long, of long, n long, sketch binary"), 85, block).collect()
-    linked = {(i, j) for j in range(20) for i in range(j) if i // 2 != j // 2 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    assert linked and linked <= {(r.a, r.b) for r in found} and len(found) == len({(r.a, r.b) for r in found})
+    groups = spark.createDataFrame([(i, 0 if i < 6 else i // 2) for i in range(20)], "node long, component long")
+    rows = spark.createDataFrame([(sig, i) for sig in (1, 2) for i in range(20)], "sig long, node long")
+    marks = spark.createDataFrame([(i, len(s), J.sketch(s)) for i, s in enumerate(sets)], "node long, n long, sketch binary")
+    split = J.still_split(rows, groups, spark.createDataFrame([(0, 1)], "a long, b long")).drop("hub", "apart")
+    found = [(r.a, r.b) for r in J.neighbours(split.join(marks, "node"), 85, forest, block).collect()]
+    group = lambda i: 0 if i < 6 else i // 2
+    linked = {(i, j) for j in range(20) for i in range(j) if group(i) != group(j) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and len(found) == len(set(found)) and all(group(a) != group(b) for a, b in found)
+    if forest:
+        at = {i: group(i) for i in range(20)}
+        for a, b in found:
+            at = {k: at[a] if v == at[b] else v for k, v in at.items()}
+        assert all(at[a] == at[b] for a, b in linked)
+        assert block == 3 or len(found) <= 2 * 7
+    else:
+        assert linked <= set(found)
 
 
 def test_sets_that_share_a_number_begin_again(docs, monkeypatch):
