@@ -31,23 +31,35 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 
 OP4 = """
 WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS source, count(*) AS docs FROM documents GROUP BY 1),
-s AS (SELECT source, docs, greatest(1, round(pow(docs::DOUBLE, 0.7e0) / (SELECT sum(pow(docs::DOUBLE, 0.7e0)) FROM sizes) * 1024)::INT) AS turns,
-        row_number() OVER (ORDER BY source) AS i FROM sizes),
-k AS (SELECT list(turns ORDER BY i) AS a, sum(turns)::BIGINT AS period FROM s),
-edf(t, given, pick) AS (
-  SELECT -1::BIGINT, list_transform(a, lambda x: 0::BIGINT), NULL::BIGINT FROM k
+w AS (SELECT source, docs, greatest(1, round(pow(docs::DOUBLE, 0.7e0) / (SELECT sum(pow(docs::DOUBLE, 0.7e0)) FROM sizes) * 1000000000000)::BIGINT) AS q FROM sizes),
+l AS (SELECT *, least(4096, ceil(length)::BIGINT) AS slots, ceil(length / least(4096, ceil(length)::BIGINT))::BIGINT AS block
+  FROM (SELECT sum(q)::BIGINT AS total, max(docs * ((SELECT sum(q)::DOUBLE FROM w) / q)) AS length FROM w)),
+g AS (SELECT source, docs, q, greatest(docs, floor(length * (q / total::DOUBLE))::BIGINT) AS due, q * slots >= total AS big FROM w, l),
+s AS (SELECT *, ceil(docs / (SELECT block FROM l))::BIGINT AS need, row_number() OVER (ORDER BY stream) AS i FROM (
+  SELECT CASE WHEN big THEN '=' || source ELSE 'small' END AS stream, sum(q)::BIGINT AS q, sum(CASE WHEN big THEN docs ELSE due END)::BIGINT AS docs FROM g GROUP BY 1)),
+k AS (SELECT list(q ORDER BY i) AS q, list(CASE WHEN stream = 'small' THEN need ELSE 0 END ORDER BY i) AS clip, any_value(total) AS total, any_value(slots) AS slots,
+  max(CASE WHEN stream = 'small' THEN least(slots, (need * total + q - 1) // q) ELSE (need * total + q - 1) // q END) AS length FROM s, l),
+edf(t, had, pick) AS (
+  SELECT -1::BIGINT, list_transform(q, lambda x: 0::BIGINT), NULL::BIGINT FROM k
   UNION ALL
-  SELECT t + 1, list_transform(given, lambda n, i: n + (i = p)::INT), p
-  FROM (SELECT t, given, list_position(due, list_min(due)) AS p
-        FROM (SELECT t, given, list_transform(given, lambda n, i: CASE WHEN n * period // a[i] <= t + 1 THEN ((n + 1) * period + a[i] - 1) // a[i] ELSE 1000000000 END) AS due
-              FROM edf, k WHERE t + 1 < period))),
-plan AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE t >= 0),
-src AS (SELECT source, i, turns, (docs + 15) // 16 AS blocks, turns * (SELECT max(((docs + 15) // 16 + turns - 1) // turns) FROM s) AS given FROM s),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents),
-e AS (SELECT doc_id, r.source, rank, i, turns, blocks, unnest(range(0, (given - 1 - rank // 16) // blocks + 1)) AS epoch FROM r JOIN src ON coalesce(r.source, '') = src.source),
-n AS (SELECT *, rank // 16 + epoch * blocks AS n FROM e)
-SELECT doc_id, source, (n // turns) * period + slot AS slot, ((n // turns) * period + slot) * 16 + rank % 16 AS position, epoch
-FROM n JOIN plan ON n.i = plan.i AND n.n % turns = plan.turn, (SELECT period FROM k)
+  SELECT t + 1, list_transform(had, lambda n, i: n + (i = p)::INT), p
+  FROM (SELECT t, had, list_position(due, list_min(due)) AS p
+        FROM (SELECT t, had, list_transform(had, lambda n, i: (n * total // q[i] > t + 1)::BIGINT * 1000000000
+                + CASE WHEN n < clip[i] THEN least(slots, ((n + 1) * total + q[i] - 1) // q[i]) ELSE ((n + 1) * total + q[i] - 1) // q[i] END) AS due
+              FROM edf, k WHERE t + 1 < length))),
+numbered AS (SELECT pick, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE t >= 0),
+plan AS (SELECT stream, t AS slot, turn FROM numbered JOIN s ON pick = i WHERE t <= (SELECT max(t) FROM numbered JOIN s ON pick = i AND turn = need - 1)),
+turns AS (SELECT stream, count(*) * any_value(block) AS given FROM plan, l GROUP BY 1),
+r AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents),
+e AS (SELECT doc_id, r.source, h, rank, docs, due, big FROM r JOIN g ON coalesce(r.source, '') = g.source),
+b AS (SELECT doc_id, source, '=' || coalesce(source, '') AS stream, docs, rank, unnest(range(0, (given - 1 - rank) // docs + 1)) AS epoch FROM e JOIN turns ON stream = '=' || coalesce(source, '') WHERE big),
+c AS (SELECT *, row_number() OVER (ORDER BY md5(h || ':' || epoch), doc_id) - 1 AS place, (due - 1 - rank) // docs + 1 AS times
+  FROM (SELECT *, unnest(range(0, (due - 1 - rank) // docs + 1)) AS epoch FROM e WHERE NOT big)),
+d AS (SELECT *, (SELECT docs FROM s WHERE stream = 'small') AS every, unnest(range(0, (given - 1 - place) // (SELECT docs FROM s WHERE stream = 'small') + 1)) AS cycle FROM c JOIN turns ON stream = 'small'),
+x AS (SELECT doc_id, source, epoch, stream, rank + epoch * docs AS x FROM b UNION ALL SELECT doc_id, source, epoch + cycle * times, 'small', place + cycle * every FROM d),
+o AS (SELECT doc_id, source, epoch, slot, x % block AS o, block, slot // 256 * 256 AS start, least(256, (SELECT count(*) FROM plan) - slot // 256 * 256) AS width
+  FROM x, l JOIN plan ON plan.stream = x.stream AND plan.turn = x // block)
+SELECT doc_id, source, slot, start * block + o * width + slot - start AS position, epoch FROM o
 """
 
 ORACLE = {"op4_mixing": OP4, "op6_warc": OP6, "op7_decontamination": OP7}

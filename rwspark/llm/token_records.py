@@ -142,13 +142,12 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> list[tuple[str, int, int]]:
-    """Write all documents in ascending order of ``order_col``, or of their ids without one; the files in order, each with its documents and ids. tokenizer: a file's path, the same on all executors, or what gives it."""
+def write(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", order_cols: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
+    """Write all documents in ascending order of ``order_cols``, or of their ids without these; the files in order, each with its documents and ids. tokenizer: a file's path, the same on all executors, or what gives it."""
     own = (F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if order_col is None:
-        ordered = docs.select(*own).repartitionByRange("id").sortWithinPartitions("id", "text")
-    else:
-        ordered = docs.select(*own, F.col(order_col).alias("at")).repartitionByRange("at").sortWithinPartitions("at", "id", "text").select("id", "text")
+    at = [f"at{k}" for k in range(len(order_cols))]
+    ordered = docs.select(*own, *(F.col(c).alias(name) for c, name in zip(order_cols, at)))
+    ordered = ordered.repartitionByRange(*(at or ["id"])).sortWithinPartitions(*at, "id", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -231,6 +230,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int | None = 2, order_col: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int | None = 2, order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Written to the shared folder, then read."""
-    return read(docs.sparkSession, write(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id, order_col=order_col))
+    return read(docs.sparkSession, write(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id, order_cols=order_cols))
