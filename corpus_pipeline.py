@@ -1,8 +1,13 @@
 """A training corpus from ``documents``: quality rules, near copies, benchmark passages, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-``documents``, and the mix its ``position`` too, by which the token files are ordered. Near copies share 80 % of their five-word shingles or more, and the least id of a group stays. Mixing drops
-nothing: a document of a source whose weight exceeds its size is given once in each epoch.
+``documents``, and other columns are left out. Near copies share 80 % of their five-word shingles or more, and the least id
+of a group stays. Mixing drops nothing: a document of a source whose weight exceeds its size is given once in each epoch. Its
+order is that of the rows in its Parquet files, and the token files keep it.
+
+Texts that are null, empty or short are rejected by the quality rules; a null language or source is a group of its own; rows
+without an id are kept, but are never copies of others; rows that share an id are one document, and one of them stays. Texts
+are read as a whole at any length. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -44,13 +49,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in its order within and between files, which ``position`` holds."""
-    return mixing.mixed(docs.select(*COLUMNS)).repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS, "position")
+    return mixing.mixed(docs.select(*COLUMNS)).repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the token files, which are in the order of the mix."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the token files, which are in the order of the mix: that of ``docs``' Parquet files and of the rows in them."""
     ship(spark)
-    return token_records.round_trip(docs, tokenizer_path, order_col="position")
+    name = F.col("_metadata.file_name")
+    place = (F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return token_records.round_trip(docs.select("doc_id", "text", *place), tokenizer_path, order_cols=("_part", "_file", "_row"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
