@@ -13,8 +13,8 @@ one is at least as strong as the larger q of both sets, so its common signature
 Equal sets are one node, numbered by a hash; two sets of one number (seen by a second hash) make all begin again with another
 seed. Each node is first compared with the one it shares most signatures with among the least ones of its signatures, which
 links most near copies. Of signatures whose rows are still in different components, each is compared with the one that has
-most links (the original of copies), then those nearest to each other that would join their components, and last all that
-are still apart. Before sets are compared as a whole, sketches rule pairs out: a bit for each class of elements says whether
+most links (the original of copies), then those nearest to each other that would join their components (in the largest
+signature of each, then in all), and last all that are still apart. Before sets are compared as a whole, sketches rule pairs out: a bit for each class of elements says whether
 the set has an odd number of them, and two sets differ in as many elements as their sketches do in bits at least, so no
 link is ruled out. Rows of a signature with very many of them are dealt to tasks in blocks. There is no cap on rows,
 partners or candidates.
@@ -271,8 +271,11 @@ def spanning(pairs: list[tuple], component: dict) -> set:
     return kept
 
 
-def neighbours(rows: DataFrame, percent: int, forest: bool, block: int = 4096) -> DataFrame:
-    """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out; with ``forest``, of each signature only as many as join the components, the nearest first.
+def neighbours(rows: DataFrame, percent: int, each: int | None, block: int = 4096) -> DataFrame:
+    """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out.
+
+    A signature with over ``each`` such pairs for each of its rows gives only as many as join the components, the nearest
+    first; a row without a says that it is not done. With None, every signature gives all.
 
     rows: sig, node, component, major (it is the signature's largest component), majors and minors (how many rows are in it
     and outside), n, sketch. The rows of a signature come one after another, by size; those outside the largest component are
@@ -301,8 +304,8 @@ def neighbours(rows: DataFrame, percent: int, forest: bool, block: int = 4096) -
                 apart = np.maximum(np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64), np.abs(n[at] - n[i]))
                 may = near(apart, n[at] + n[i], percent)
                 found += [(w, int(node[i]), b) for w, b in zip((apart[may] / (n[at][may] + n[i])).tolist(), node[at[may]].tolist())]
-        if forest:
-            return spanning(found, dict(zip(node.tolist(), component.tolist())))
+        if each is not None and len(found) > each * len(n):
+            return spanning(found, dict(zip(node.tolist(), component.tolist()))) | {(None, x)}
         return {(min(a, b), max(a, b)) for _, a, b in found}
 
     def run(batches):
@@ -441,28 +444,32 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     edges = edges.unionByName(verified(tested, docs, sets, size, percent, seed))
     groups = components(edges)
 
-    # Then, of signatures that are still split, each row with that of most links; rows that join components; all that is left.
+    # Then, of signatures that are still split, each row with that of most links; rows that join components in the largest
+    # signatures; all pairs but of signatures with very many, of which as many as join components; all pairs, of what is left.
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for step in ("hubs", "forest", "all"):
+    for step in ("hubs", "largest", "each", "all"):
         split = still_split(shared, groups, edges)
         discard(shared)
-        shared = split
+        shared, done = split, True
         if step == "hubs":
             rest = split.filter("apart").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+            more = verified(rest := written(rest, "pairs"), docs, sets, size, percent, seed)
         else:
-            rest = neighbours(split.drop("hub", "apart").join(sets.select("node", "n", "sketch"), "node"), percent, step == "forest")
-        done = ordered(tested).distinct()
-        rest = written(ordered(rest).distinct().join(done, ["a", "b"], "left_anti") if step == "all" else rest, "pairs")
-        if rest.isEmpty():
-            if step == "hubs":
-                continue
-            break
-        turned = rest if step == "hubs" else written(towards_hubs(rest), "pairs")
-        more = verified(turned, docs, sets, size, percent, seed) if step == "hubs" else linked(turned, docs, sets, size, percent, seed)
+            rows = split.drop("hub", "apart")
+            if step == "largest":  # a row for each node: of its signatures, that with most rows
+                best = rows.groupBy("node").agg(F.max(F.struct(F.col("majors") + F.col("minors"), "sig"))["sig"].alias("sig"))
+                rows = rows.join(best, ["node", "sig"], "left_semi")
+            nearest = written(neighbours(rows.join(sets.select("node", "n", "sketch"), "node"), percent, {"largest": 0, "each": 4, "all": None}[step]), "pairs")
+            done = step == "all" or step == "each" and nearest.filter("a IS NULL").isEmpty()
+            rest = written(towards_hubs(nearest.filter("a IS NOT NULL").join(ordered(tested).distinct(), ["a", "b"], "left_anti")), "pairs")
+            more = linked(rest, docs, sets, size, percent, seed)
+            discard(nearest)
+        tested = tested.unionByName(rest)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             groups = components(edges)
-        tested = tested.unionByName(rest)
+        if step == "each" and done:
+            break
 
     # The least id of each component, and each row its set's.
     ends = sets.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
