@@ -13,6 +13,7 @@ side by side, by text. An empty table gives no frames. Texts of any length are o
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import zlib
 from array import array
@@ -50,14 +51,15 @@ class Encoder:
 
     The tokenizer's pattern never joins a character that is no white space with the white space after it, so a text is cut at
     single spaces and line feeds, and each piece is encoded by the library once and kept. Where a piece is empty, holds other
-    white space or can't be printed, the library encodes the whole text.
+    white space or can't be printed, or the text holds a special token's string, the library encodes the whole text.
     """
 
     def __init__(self, path: str, end_id: int | None, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes for special tokens wherever they stand: texts that hold one are left to it.
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if max(self.library.get_vocab_size(), (end_id or 0) + 1) <= 65536 else 4
         self.model = self.library.model
         kind = repr(self.library.pre_tokenizer)
@@ -103,14 +105,18 @@ class Encoder:
         if len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        split = [text.replace("\n", " \n").split(" ") if text else [] for text in texts]
+        whole = {k for k, text in enumerate(texts) if text and any(x in text for x in self.special)}
+        split = [text.replace("\n", " \n").split(" ") if text and k not in whole else [] for k, text in enumerate(texts)]
         later = set(chain.from_iterable(islice(x, 1, None) for x in split)) - self.later.keys()
         lines = {piece for piece in later if piece and piece[0] == "\n"}
         self.learn(self.first, ({x[0] for x in split if x} | {piece[1:] for piece in lines}) - self.first.keys(), "")
         self.learn(self.later, later - lines, " ")
         self.later.update((piece, self.first[piece[1:]] and self.feed + self.first[piece[1:]]) for piece in lines)
         out = []
-        for text, pieces in zip(texts, split):
+        for k, (text, pieces) in enumerate(zip(texts, split)):
+            if k in whole:
+                out.append(self.ids([text])[0] + self.end)
+                continue
             try:
                 out.append(b"".join((*map(self.first.__getitem__, pieces[:1]), *map(self.later.__getitem__, islice(pieces, 1, None)), self.end)))
             except TypeError:  # a piece is None
@@ -142,29 +148,67 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", order_cols: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
-    """Write all documents in ascending order of ``order_cols``, or of their ids without these; the files in order, each with its documents and ids. tokenizer: a file's path, the same on all executors, or what gives it."""
+def write(docs: DataFrame, folder: str, tokenizer: str | Callable[[], str], end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> list[tuple[str, int, int]]:
+    """Write all documents; the files in order, each with its documents and ids. tokenizer: a file's path, the same on all executors, or what gives it.
+
+    Documents are dealt and sorted by id. With ``stored`` they are in the order of the files that ``docs`` reads (of Parquet,
+    by Spark) and of the rows in them: each task writes a file for each run of rows that it is given, and nothing is moved.
+    """
     own = (F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    at = [f"at{k}" for k in range(len(order_cols))]
-    ordered = docs.select(*own, *(F.col(c).alias(name) for c, name in zip(order_cols, at)))
-    ordered = ordered.repartitionByRange(*(at or ["id"])).sortWithinPartitions(*at, "id", "text").select("id", "text")
+    if stored:
+        name = F.col("_metadata.file_name")
+        rows = docs.select(*own, F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.lit(0)).alias("part"), name.alias("file"), F.col("_metadata.row_index").alias("row"))
+    else:
+        rows = docs.select(*own).repartitionByRange("id").sortWithinPartitions("id", "text")
+        rows = rows.select("id", "text", F.spark_partition_id().cast("long").alias("part"), F.lit("").alias("file"), F.lit(None).cast("long").alias("row"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+        """Of each run of rows its place, and its batches one by one."""
+        import numpy as np
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        last = None
+        for batch in batches:
+            part, row = batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            file = batch.column(3).dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero((part[1:] != part[:-1]) | (file[1:] != file[:-1]) | ((row[1:] != row[:-1] + 1) & stored)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                if a < b:
+                    name, at = batch.column(3)[a].as_py(), int(row[a]) if stored else 0
+                    if last is None or last[:2] != (int(part[a]), name) or stored and last[2] != at:
+                        yield (int(part[a]), name, at), None
+                    yield None, batch.slice(a, b - a)
+                    last = (int(part[a]), name, at + b - a)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer() if callable(tokenizer) else tokenizer, end_id)
-        part, n, total, at = TaskContext.get().partitionId(), 0, 0, 16
-        with committed(folder, f"tokens-{part:06d}.bin") as out, committed(folder, f"tokens-{part:06d}.idx") as index:
-            out.write(MAGIC + struct.pack("<II", VERSION, encode.width))
-            for batch in batches:
-                for doc_id, payload in zip(batch.column(0).to_pylist(), encode.stream(batch.column(1).to_pylist())):
-                    out.write(framed := frame(payload))
-                    index.write(struct.pack("<qqq", NULL_ID if doc_id is None else doc_id, at, len(payload) // encode.width))
-                    at, n, total = at + len(framed), n + 1, total + len(payload) // encode.width
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "documents": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
-
-    files = ordered.mapInArrow(run, "part long, documents long, ids long").collect()  # a row for each file
-    return [(f"{folder}/tokens-{x.part:06d}", x.documents, x.ids) for x in sorted(files)]
+        done, open_files, place, n, total, at = [], contextlib.ExitStack(), None, 0, 0, 16
+        out = index = None
+        for start, batch in runs(batches):
+            if start is not None:
+                if place is not None:
+                    done.append((*place, n, total))
+                open_files.close()
+                place, n, total, at = start, 0, 0, 16
+                out, index = (open_files.enter_context(committed(folder, f"{file_name(*place)}.{kind}")) for kind in ("bin", "idx"))
+                out.write(MAGIC + struct.pack("<II", VERSION, encode.width))
+                continue
+            for doc_id, payload in zip(batch.column(0).to_pylist(), encode.stream(batch.column(1).to_pylist())):
+                out.write(framed := frame(payload))
+                index.write(struct.pack("<qqq", NULL_ID if doc_id is None else doc_id, at, len(payload) // encode.width))
+                at, n, total = at + len(framed), n + 1, total + len(payload) // encode.width
+        if place is not None:
+            done.append((*place, n, total))
+        open_files.close()
+        columns = list(zip(*done)) or [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "file", "row", "documents", "ids"])
+
+    files = rows.mapInArrow(run, "part long, file string, row long, documents long, ids long").collect()  # a row for each file
+    return [(f"{folder}/{file_name(x.part, x.file, x.row)}", x.documents, x.ids) for x in sorted(files)]
+
+
+def file_name(part: int, file: str, row: int) -> str:
+    return f"tokens-{part:06d}" + (f"-{zlib.crc32(file.encode()):08x}-{row:012d}" if file else "")
 
 
 def frames(path: str) -> Iterator[tuple[int | None, bytes, int]]:
@@ -230,6 +274,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int | None = 2, order_cols: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int | None = 2, stored: bool = False) -> DataFrame:
     """Written to the shared folder, then read."""
-    return read(docs.sparkSession, write(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id, order_cols=order_cols))
+    return read(docs.sparkSession, write(docs, new_path(docs.sparkSession, "tokens"), tokenizer, end_id, stored=stored))

@@ -36,7 +36,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert b"".join(c for _, c in bodies[4]) == "é".encode() * 300 and b"".join(c for _, c in bodies[7]) == rows[7][2].encode()
     want = {(a, base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), len((h or "").encode())) for a, _, h in rows}
     assert {(r.record_id, r.digest_so_far, r.bytes_so_far) for r in ends} == want
-    assert sorted((r.record_id or 0, r.record_type, r.refers_to) for r in ends) == sorted([(0, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 2), (7, "response", None), (9, "revisit", 3)], key=str) or True
+    want = [(0, "revisit", 2), (2, "response", 0), (2, "response", 0), (3, "response", 0), (4, "response", 0), (5, "revisit", 2), (7, "response", 0), (9, "revisit", 3)]
+    assert sorted((r.record_id or 0, r.record_type, r.refers_to or 0) for r in ends) == want
     kinds = {(r.record_id, r.record_type, r.refers_to) for r in ends}
     assert kinds == {(None, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "revisit", 2), (7, "response", None), (9, "revisit", 3)}
     text = b"".join(gzip.decompress(Path(p.removeprefix("file://")).read_bytes()) for p in paths)
@@ -66,17 +67,25 @@ def encoder():
     return T.encoder(tokenizer_path(), 2)
 
 
+@pytest.fixture(scope="module")
+def library():
+    """Not the encoder's: as the contract names it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["word", "Wort", "naïve", "é", "漢字", "٣", "12", ".", ",", "'s", "'", " ", "  ", "\n", "\t", " ", "\x1c", "\x00", "###", "<|endoftext|>", "ɐb", "ſ"]), max_size=14).map("".join))
-def test_pieces_are_the_whole_text(encoder, text):
-    ids = encoder.library.encode(text, add_special_tokens=False).ids + [2]
+def test_pieces_are_the_whole_text(encoder, library, text):
+    ids = library.encode(text, add_special_tokens=False).ids + [2]
     assert list(encoder.stream([text])) == [struct.pack(f"<{len(ids)}H", *ids)]
 
 
-def test_token_files(spark, docs, edge_texts, encoder, tmp_path):
-    rows = [(10 * i, t, "en", "s") for i, t in enumerate(edge_texts)] + [(None, "null id", "en", "s"), (30, "a again", "en", "s")]
+def test_token_files(spark, docs, edge_texts, library, tmp_path):
+    rows = [(7, "a <|endoftext|> b", "en", "s")] + [(10 * i, t, "en", "s") for i, t in enumerate(edge_texts)] + [(None, "null id", "en", "s"), (30, "a again", "en", "s")]
     files = T.write(docs(rows, extra=True), f"file://{tmp_path}/t", tokenizer_path)
-    ids = lambda t: (encoder.library.encode(t, add_special_tokens=False).ids if t else []) + [2]
+    ids = lambda t: (library.encode(t, add_special_tokens=False).ids if t else []) + [2]
     order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
     want, start = [], 0
     for doc_id, text, *_ in order:
