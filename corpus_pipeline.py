@@ -55,9 +55,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the token files, which are in the order of the mix: that of ``docs``' Parquet files and of the rows in them."""
     ship(spark)
-    name = F.col("_metadata.file_name")
-    place = (F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return token_records.round_trip(docs.select("doc_id", "text", *place), tokenizer_path, order_cols=("_part", "_file", "_row"))
+    return token_records.round_trip(docs, tokenizer_path, stored=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
