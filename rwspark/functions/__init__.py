@@ -222,6 +222,11 @@ def top_k(p: Column, k: int) -> Column:
     return F.slice(F.array_sort(pairs), 1, k)["i"]
 
 
+def rank_of(score: Column, others: Column) -> Column:
+    """Place of a score among others, from 1: how many are larger, and one."""
+    return F.size(F.filter(others, lambda x: x > score)) + 1
+
+
 #: Divergences by name: builders of columns from two distributions.
 CRITERIA = {"js": js, "kl": kl}
 

@@ -1,6 +1,7 @@
 """The commit algebra over cells: first fire, monotone commits, chunk counts, sweeps and ladders.
 
-All steps of a pair stay in its partition: cells are dealt by id once, and aggregates and windows reuse that.
+All steps of a pair stay in its partition: pairs are dealt by id before they become cells, and aggregates and windows reuse
+that. Cells from elsewhere are combined (to a row for each target word) before they are dealt.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def fires(tau: Column | float, d: str = "d") -> Column:
 def first_fire(cells: DataFrame, tau: Column | float, by: tuple[str, ...] = (), d: str = "d") -> DataFrame:
     """raw, the first prefix that fires for each target word, else the whole source; fired says whether any did."""
     at = F.min(F.when(fires(tau, d), F.col("i")))
-    return cells.repartition("id").groupBy("id", *by, "n", "m", "j").agg(F.coalesce(at, F.col("n")).alias("raw"), at.isNotNull().alias("fired"))
+    return cells.groupBy("id", *by, "n", "m", "j").agg(F.coalesce(at, F.col("n")).alias("raw"), at.isNotNull().alias("fired"))
 
 
 def monotone(commits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,10 +59,12 @@ def summaries(trace: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def swept(cells: DataFrame, taus: list[float]) -> DataFrame:
-    """Summaries for each threshold: the cells are read once, thresholds are exploded beside them."""
-    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), F.lit(t).alias("tau")) for k, t in enumerate(taus)))).alias("t")
-    rows = cells.select("*", grid).select(*cells.columns, "t.rung", "t.tau")
-    return summaries(traces(rows, F.col("tau"), ("rung", "tau")), ("rung", "tau"))
+    """Summaries for each threshold: one aggregation finds the first fires of all thresholds, then these become rows."""
+    at = cells.groupBy("id", "n", "m", "j").agg(*(F.min(F.when(fires(t), F.col("i"))).alias(f"at{k}") for k, t in enumerate(taus)))
+    rungs = F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), F.lit(t).alias("tau"), F.col(f"at{k}").alias("at")) for k, t in enumerate(taus)))).alias("t")
+    rows = at.select("id", "n", "m", "j", rungs).select("id", "t.rung", "t.tau", "n", "m", "j", F.coalesce("t.at", "n").alias("raw"), F.col("t.at").isNotNull().alias("fired"))
+    by = ("rung", "tau")
+    return summaries(grouped(monotone(rows, by), by), by)
 
 
 def ladder(sweep: DataFrame, by: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rwspark import sources
@@ -230,7 +230,7 @@ def pearson_of_pearsons(spark: SparkSession, d: str) -> DataFrame:
 # Random traces with as many chunks as the fired one: the boundaries are the source positions first by hash.
 _FLOOR = (
     o.CELLS + o.commits("0.3e0") + o.summaries()
-    + f""", reps AS (SELECT id, n, m, chunks, r FROM sums, range(20) x(r)),
+    + f""", reps AS (SELECT id, n, m, chunks, r FROM sums, range(100) x(r)),
 bound AS (SELECT id, n, m, chunks, r, i, row_number() OVER (PARTITION BY id, r ORDER BY {o.hashed("id || '|' || r || '|' || i || '|floor'")}, i) AS k FROM reps, LATERAL (SELECT unnest(range(1, n)) AS i)),
 bounds AS (SELECT id, n, m, r, chunks, i FROM bound WHERE k < chunks UNION ALL SELECT id, n, m, r, chunks, n FROM reps),
 ends AS (SELECT *, row_number() OVER (PARTITION BY id, r ORDER BY i) AS c, count(*) OVER (PARTITION BY id, r) AS cs FROM bounds),
@@ -241,15 +241,34 @@ SELECT id, round(random, 6) AS random_floor, round(pearson, 6) AS pearson, 'hash
 )
 
 
+def random_pearson(n: Column, m: Column, ends: Column) -> Column:
+    """Pearson's coefficient of a trace whose c-th of k chunks commits at ends[c] and has the target words up to floor(c m / k); null if all commit alike.
+
+    From sums over chunks: positions within a chunk are an arithmetic series.
+    """
+    k, real = F.size(ends), lambda x: x.cast("double")
+    edge = lambda c: F.floor(c * m / k)
+    zero = F.struct(*(F.lit(0.0).alias(x) for x in ("x", "xx", "xy")), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+
+    def step(s, c):
+        lo, hi, x = edge(c - 1), edge(c), real(F.get(ends, c - 1)) / n
+        places = real((hi - lo) * (lo + hi + 1)) / 2 / m
+        some = F.when(hi > lo, F.get(ends, c - 1))
+        return F.struct((s["x"] + x * (hi - lo)).alias("x"), (s["xx"] + x * x * (hi - lo)).alias("xx"), (s["xy"] + x * places).alias("xy"), F.coalesce(F.least(s["lo"], some), s["lo"], some).alias("lo"), F.coalesce(F.greatest(s["hi"], some), s["hi"], some).alias("hi"))
+
+    y, yy = real(m + 1) / 2, real((m + 1) * (2 * m + 1)) / 6 / m
+    finish = lambda s: F.when((m >= 2) & (s["lo"] < s["hi"]), (s["xy"] - s["x"] * y / m) / F.sqrt((s["xx"] - s["x"] * s["x"] / m) * (yy - y * y / m)))
+    return F.aggregate(F.sequence(F.lit(1), k), zero, step, finish)
+
+
 @query(_FLOOR)
 def random_floor(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred random traces of each pair, each within a row: nothing is ranked or joined by position."""
     rows = commit.summaries(commit.traces(_cells(spark, d), TAU))
     reps = rows.select("id", "n", "m", "chunks", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("r"))
-    at = reps.filter("n > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"))
-    w = Window.partitionBy("id", "r")
-    at = at.withColumn("k", F.row_number().over(w.orderBy(sources.hashed("id", "r", "i", F.lit("floor")), "i"))).filter("k < chunks").drop("k")
-    ends = at.unionByName(reps.withColumn("i", F.col("n"))).withColumn("c", F.row_number().over(w.orderBy("i"))).withColumn("cs", F.count("*").over(w))
-    trace = ends.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j")).filter("c * m >= (j + 1) * cs")
-    trace = trace.groupBy("id", "n", "m", "r", "j").agg(F.min("i").alias("commit")).select("*", F.lit(True).alias("fired"), F.lit(0).alias("chunk"))
-    low = commit.summaries(trace, ("r",)).groupBy("id").agg(F.avg("pearson").alias("random"))
+    places = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    ordered = F.array_sort(F.transform(places, lambda i: F.struct(sources.hashed("id", "r", i, F.lit("floor")).alias("h"), i.alias("i"))))
+    ends = F.array_sort(F.concat(F.slice(ordered, 1, (F.col("chunks") - 1).cast("int"))["i"], F.array("n")))
+    reps = reps.select("id", "n", "m", ends.alias("ends"))
+    low = reps.groupBy("id").agg(F.avg(random_pearson(F.col("n"), F.col("m"), F.col("ends"))).alias("random"))
     return rows.join(low, "id").select("id", F.round("random", 6).alias("random_floor"), F.round("pearson", 6).alias("pearson"), F.lit("hash").alias("criterion"))

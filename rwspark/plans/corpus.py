@@ -191,7 +191,7 @@ def splice_ids(spark: SparkSession, d: str) -> DataFrame:
     return _ids(spark, d).select("id", F.array_join("ids", " ").alias("ids"))
 
 
-@query(_IDS + " SELECT id, array_to_string(list_transform(ids[1:96], lambda x, i: CASE WHEN i <= 2 THEN -100 ELSE x END), ' ') AS labels, least(len(ids), 96)::BIGINT AS attended FROM ids")
+@query(_IDS + " SELECT id, array_to_string(list_transform(ids[1:1024], lambda x, i: CASE WHEN i <= 2 THEN -100 ELSE x END), ' ') AS labels, least(len(ids), 1024)::BIGINT AS attended FROM ids")
 def label_mask(spark: SparkSession, d: str) -> DataFrame:
     return masked(_ids(spark, d))
 
@@ -208,12 +208,12 @@ def masked(rows: DataFrame) -> DataFrame:
 
 @query(
     _IDS
-    + """, numbered AS (SELECT id, ids, id // 16000 AS batch FROM ids),
+    + """, numbered AS (SELECT id, ids, id // 16777216 AS batch FROM ids),
 sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM numbered)
 SELECT id, batch, longest::BIGINT AS longest, array_to_string(list_transform(range(1, longest + 1), lambda i: coalesce(ids[i], 0)), ' ') AS padded FROM sized"""
 )
 def pad_batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ids(spark, d).withColumn("batch", F.floor(F.col("id") / 16000))  # sixteen conversations
+    rows = _ids(spark, d).withColumn("batch", F.floor(F.col("id") / 16777216))  # sixteen conversations
     rows = rows.withColumn("longest", F.max(F.size("ids")).over(Window.partitionBy("batch")))
     return rows.select("id", "batch", F.col("longest").cast("long").alias("longest"), F.array_join(R.padded(F.col("ids"), F.col("longest")), " ").alias("padded"))
 

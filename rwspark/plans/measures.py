@@ -83,10 +83,10 @@ def al_ca(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.round(latency.computation_aware(F.col("al"), F.lit(100.0), F.col("words"), 3.0, F.col("mean")), 6).alias("al_ca"))
 
 
-@query(_WAIT + _LAGS + _AL + ", lat AS (SELECT id, al, 'medium' AS latency FROM al) SELECT count(*) AS n, round(avg(al), 6) AS mean, round(median(al), 6) AS median, round(avg((c > 1.05)::INT), 6) AS smoke FROM lat JOIN (SELECT DISTINCT id, c FROM g) USING (id)")
+@query(_WAIT + _LAGS + _AL + ", lat AS (SELECT id, al, 'medium' AS latency FROM al) SELECT count(*) AS n, round(avg(al), 6) AS mean, round(median(al), 6) AS median, avg(c) > 1.05 AS smoke FROM lat JOIN (SELECT DISTINCT id, c FROM g) USING (id)")
 def eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
     rows = _waitk(spark, d).withColumn("al", latency.average_lagging(F.col("g"), F.col("n"), F.col("m")))
-    out = rows.agg(F.count("*").alias("n"), F.round(F.avg("al"), 6).alias("mean"), F.round(F.avg((F.col("chunks") > 1.05).cast("int")), 6).alias("smoke"))
+    out = rows.agg(F.count("*").alias("n"), F.round(F.avg("al"), 6).alias("mean"), (F.avg("chunks") > 1.05).alias("smoke"))
     middle = commit.order_statistics(rows.withColumn("run", F.lit(1)), ["run"], "al", lo=commit.lower_median, hi=commit.upper_median)
     return out.crossJoin(middle.select(F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("median")))  # two single rows
 
@@ -140,10 +140,12 @@ def policy_waitk(spark: SparkSession, d: str) -> DataFrame:
     return _policy(spark, d, "wait_k", k=3)
 
 
-@query(_SCORES + " SELECT id, i::INT AS i, 1 + len(list_filter(range(1, n + 1), lambda x: x < rank_eor))::INT AS rank FROM scores")
+@query(_SCORES + f""", others AS (SELECT id, i, p_eor, k, {o.hashed("'vocab|' || id || '|' || i || '|' || k")} AS p FROM scores, range(32) x(k))
+SELECT id, i::INT AS i, (1 + count(*) FILTER (p > p_eor))::INT AS rank FROM others GROUP BY id, i"""  )
 def eor_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = scores(sources.token_pairs(spark, d))
-    return rows.select("id", "i", (F.size(F.filter(F.sequence(F.lit(1), F.col("n")), lambda x: x < F.col("rank_eor"))) + 1).alias("rank"))
+    """Of the end of read, among the scores of 32 other tokens."""
+    others = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: sources.hashed(F.lit("vocab"), "id", "i", k))
+    return scores(sources.token_pairs(spark, d)).select("id", "i", R.rank_of(F.col("p_eor"), others).alias("rank"))
 
 
 @query(_SCORES + """, pos AS (SELECT *, CASE i WHEN 1 THEN 'w1' WHEN 3 THEN 'w3' ELSE 'later' END AS pos, CASE id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS variant FROM scores)

@@ -1,11 +1,11 @@
 """Common table expressions of the SQL for DuckDB."""
 
-PAIRS = """pairs AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text AS source, next_text AS target
+PAIRS = """pairs AS (SELECT conv_id * 1048576 + turn AS id, conv_id, turn, text AS source, next_text AS target
   FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
 
 TOKENS = PAIRS + r""",
-tokens AS (SELECT * FROM (SELECT id, s, t[1:60] AS t, len(s)::INT AS n, least(len(t), 60)::INT AS m
+tokens AS (SELECT * FROM (SELECT id, s, t, len(s)::INT AS n, len(t)::INT AS m
   FROM (SELECT id, regexp_extract_all(source, '\S+') AS s, regexp_extract_all(target, '\S+') AS t FROM pairs)) WHERE n BETWEEN 1 AND 80 AND m > 0)"""
 
 

@@ -125,11 +125,16 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
+def _pair_id(room: int = 1 << 20) -> Column:
+    turn = F.when(F.col("turn").between(0, room - 1), F.col("turn")).otherwise(F.raise_error(F.concat(F.lit("no id for turn "), F.col("turn").cast("string"))).cast("long"))
+    return F.col("conv_id") * room + turn
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """A user's turn and the assistant's that follows it: id, conv_id, turn, source, target."""
+    """A user's turn and the assistant's that follows it: id, conv_id, turn, source, target. A turn beyond the ids of its conversation is an error."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, folder, "conversations").select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("target"))
-    return rows.filter("role = 'user' AND next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.col("text").alias("source"), "target")
+    return rows.filter("role = 'user' AND next_role = 'assistant'").select(_pair_id().alias("id"), "conv_id", "turn", F.col("text").alias("source"), "target")
 
 
 def token_pairs(spark: SparkSession, folder: str, most: int = 80) -> DataFrame:
@@ -145,8 +150,11 @@ def hashed(*parts: Column | str) -> Column:
 
 
 def cells(tokens: DataFrame) -> DataFrame:
-    """Divergence cells of pairs by the hash scorer: id, n, m, i (prefix, from 1), j (target word, from 0), d. The whole source has divergence 0."""
-    grid = tokens.select("id", "n", "m", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    """Divergence cells of pairs by the hash scorer: id, n, m, i (prefix, from 1), j (target word, from 0), d. The whole source has divergence 0.
+
+    Pairs are dealt by id before they become cells, so that what is grouped by pair afterwards moves no cells.
+    """
+    grid = tokens.select("id", "n", "m").repartition("id").select("id", "n", "m", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
     return grid.withColumn("d", (1.0 - F.col("i").cast("double") / F.col("n")) * (0.2 + 0.8 * hashed("id", "i", "j")))
 
 

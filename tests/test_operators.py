@@ -218,3 +218,8 @@ def test_balanced_quota(spark):
     rows = spark.createDataFrame([(i, ("low", "medium", "high")[i % 3]) for i in range(90)], "index long, latency string")
     got = {r.latency: r["count"] for r in sampling.balanced(rows, 20).groupBy("latency").count().collect()}
     assert got == {"low": 6, "medium": 8, "high": 6}
+
+
+def test_ranks_among_scores(spark):
+    rows = spark.createDataFrame([(0.5, [0.1, 0.9, 0.5]), (0.95, [0.1, 0.9]), (0.0, [])], "p double, others array<double>")
+    assert [r.k for r in rows.select(R.rank_of(F.col("p"), F.col("others")).alias("k")).collect()] == [2, 1, 1]
