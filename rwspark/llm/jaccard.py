@@ -16,7 +16,7 @@ links most near copies. Of signatures whose rows are still in different componen
 most links (the original of copies), then those nearest to each other that would join their components (in the largest
 signature of each, then in all), and last all that are still apart. Before sets are compared as a whole, sketches rule pairs out: a bit for each class of elements says whether
 the set has an odd number of them, and two sets differ in as many elements as their sketches do in bits at least, so no
-link is ruled out. Rows of a signature with very many of them are dealt to tasks in blocks. There is no cap on rows,
+link is ruled out. A sketch has two rows of such bits, for two ways to class, and the one that differs more counts. Rows of a signature with very many of them are dealt to tasks in blocks. There is no cap on rows,
 partners or candidates.
 
 Nulls and empty texts have no shingles and are linked with nothing; so are rows without an id, whose component is null. A
@@ -139,30 +139,37 @@ def signatures(s, percent: int):
 
 
 def sketch(s) -> bytes:
-    """Parities: of each of 2^j classes of elements (more than elements, 256 at least) whether the set has an odd number."""
+    """Two rows of parities: of each of 2^j classes of elements (more than elements, 512 at least) whether the set has an odd number."""
     import numpy as np
 
-    bits = max(256, 1 << len(s).bit_length())
-    classes = (_mixed(s + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(classes, minlength=bits).astype(np.uint8) & 1).tobytes()
+    bits, h = max(512, 1 << len(s).bit_length()), _mixed(s + np.uint64(0x2545F4914F6CDD1D))
+    rows = (np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) for x in (h, h >> np.uint64(32)))
+    return b"".join(np.packbits(x.astype(np.uint8) & 1).tobytes() for x in rows)
 
 
 def folded(sketches: list[bytes]):
-    """Sketches as rows of 64-bit words, those with more classes folded to the fewest: parities of joined classes."""
+    """Sketches as arrays of 64-bit words, of shape (sets, 2, words); those with more classes folded to the fewest: parities of joined classes."""
     import numpy as np
 
     width = min(map(len, sketches))
     if width == max(map(len, sketches)):
-        return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
-    out = np.empty((len(sketches), width // 8), np.uint64)
+        return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), 2, -1)
+    out = np.empty((len(sketches), 2, width // 16), np.uint64)
     for row, x in zip(out, sketches):
-        v = np.frombuffer(x, np.uint64)
-        while len(v) > len(row):
-            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        v = np.frombuffer(x, np.uint64).reshape(2, -1)
+        while v.shape[1] > row.shape[1]:
+            v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
         row[:] = v
     return out
 
 
+def differing(x, y):
+    """By the sketches, in how many elements sets differ at least."""
+    import numpy as np
+
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64).max(axis=-1)
+
+
 def near(apart, sizes, percent: int):
     """Whether sets that differ in ``apart`` elements at least, with ``sizes`` elements in both together, may be linked."""
     return apart * (100 + percent) <= (100 - percent) * sizes
@@ -224,7 +231,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
 
         n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-        apart = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
+        apart = [int(differing(*folded([x, y]))) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())]
         return [batch.column(0), batch.column(1), near(np.maximum(apart, np.abs(n - m)), n + m, percent)]
 
     rows = both.select("a", "b", F.col("s.n").alias("n"), F.col("s.sketch").alias("s"), F.col("t.n").alias("m"), F.col("t.sketch").alias("t"))
@@ -271,7 +278,7 @@ def spanning(pairs: list[tuple], component: dict) -> set:
     return kept
 
 
-def neighbours(rows: DataFrame, percent: int, each: int | None, block: int = 4096) -> DataFrame:
+def neighbours(rows: DataFrame, percent: int, each: int | None, block: int = 512) -> DataFrame:
     """Pairs (a, b) of nodes of one signature and different components that sizes and sketches don't rule out.
 
     A signature with over ``each`` such pairs for each of its rows gives only as many as join the components, the nearest
@@ -301,7 +308,7 @@ def neighbours(rows: DataFrame, percent: int, each: int | None, block: int = 409
                 other &= (at > i) if -1 - x == y else (at > i) & (part[lo:hi] != part[i])
             at = at[other]
             if len(at):
-                apart = np.maximum(np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64), np.abs(n[at] - n[i]))
+                apart = np.maximum(differing(marks[at], marks[i]), np.abs(n[at] - n[i]))
                 may = near(apart, n[at] + n[i], percent)
                 found += [(w, int(node[i]), b) for w, b in zip((apart[may] / (n[at][may] + n[i])).tolist(), node[at[may]].tolist())]
         if each is not None and len(found) > each * len(n):
