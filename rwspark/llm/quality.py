@@ -3,10 +3,11 @@
 DataFrame functions only. Each text gives counts, and these a vector of transformed statistics: log mean word length, and
 square roots of the shares of symbols, of repeated lines and of repeated word windows. Per group of language and source,
 concentration steps narrow the estimate of mean and covariance to the three quarters of rows that lie closest, a
-reweighting step ends it, and rows whose Mahalanobis distance is beyond the cutoff are rejected.
+reweighting step ends it, and rows whose squared Mahalanobis distance is beyond a chi-square quantile are rejected.
 
 Most texts have no symbols and repeat nothing, so that the least determinant would be zero: squared floors are added to the
-variances (a regularised estimate). They also say how small a difference can never reject a text. Quantiles of a group
+variances (a regularised estimate). They also say how small a difference can never reject a text; each statistic alone can
+reject one: a tenth of symbols, a third of repeated lines or windows are enough in a group that has none. Quantiles of a group
 come from counts in fixed bins, so every step is one aggregation with partial sums; a group that holds a third of all rows
 costs no task more than another. Groups under ``least`` rows are pooled by language, these again over all.
 
@@ -163,11 +164,13 @@ def concentrated(rows: DataFrame, groups: DataFrame, floors: list[float], share:
     return _estimate(bins.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)), floors, share / _chi2(_quantile(share, P), P + 2))
 
 
-#: Standard deviations added to those of the vector: a tenth of log word length, and of the roots of the three shares.
-FLOORS = (0.1, 0.085, 0.15, 0.15)
+#: Standard deviations added to those of the vector: of log word length, and of the roots of the three shares.
+FLOORS = (0.1, 0.06, 0.12, 0.12)
+#: Share of ordinary texts that may lie beyond the cutoff.
+TAIL = 1e-4
 
 
-def judged(stats: DataFrame, cutoff: float = 6.5, share: float = 0.75, steps: int = 3, floors: tuple[float, ...] = FLOORS, least: int = 200) -> DataFrame:
+def judged(stats: DataFrame, tail: float = TAIL, share: float = 0.75, steps: int = 3, floors: tuple[float, ...] = FLOORS, least: int = 200) -> DataFrame:
     """``stats`` (a written table with lang and source) with ``distance`` and ``kept``."""
     keep, floors = stats.columns, list(floors)
     for i, x in enumerate(vector()):
@@ -180,7 +183,7 @@ def judged(stats: DataFrame, cutoff: float = 6.5, share: float = 0.75, steps: in
     inner = distances(fit, groups).filter(F.col("d2") <= _quantile(0.975, P))
     groups = written(cholesky(_estimate(_moments(inner, ["g"]), floors, 1.0)), "mcd")
     good = distances(rows.filter(~F.col("base_failed")).select(*keep, "g", *(f"x{i}" for i in range(P))), groups)
-    good = good.select(*keep, F.sqrt("d2").alias("distance"), (F.col("d2") <= cutoff * cutoff).alias("kept"))
+    good = good.select(*keep, F.sqrt("d2").alias("distance"), (F.col("d2") <= _quantile(1 - tail, P)).alias("kept"))
     return good.unionByName(stats.filter("base_failed").select(*keep, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
 
 

@@ -70,6 +70,21 @@ def test_junk_goes_and_clean_stays(docs):
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 180))
 
 
+def test_each_statistic_can_reject(docs):
+    """Repeated lines or windows alone, below the base rule's bound; a table in which few lines come twice stays."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(3000)]
+    some = lambda n: list(rng.choice(vocabulary, n))
+    clean = ["\n".join(" ".join(some(8)) for _ in range(40)) for _ in range(150)]
+    heading = [" ".join(some(2)) for _ in range(4)]
+    table = ["\n".join([*heading, *(" ".join(some(8)) for _ in range(40)), heading[0]]) for _ in range(5)]
+    lines = ["\n".join(["next"] * 40 + [" ".join(some(9)) for _ in range(40)]) for _ in range(5)]
+    words = [" ".join(some(60) + (said := some(25)) + some(30) + said) for _ in range(5)]
+    got = {r.doc_id: r for r in Q.rules(docs(clean + table + lines + words)).collect()}
+    assert all(got[i].kept for i in range(155)) and not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(155, 165))
+
+
 def test_edges(docs, edge_texts):
     got = Q.rules(docs([(i if i else None, t, None if i % 2 else "en", None if i % 3 else "s") for i, t in enumerate(edge_texts)], extra=True)).collect()
     assert len(got) == len(edge_texts) and not any(r.kept for r in got)  # all are short or repeat themselves
