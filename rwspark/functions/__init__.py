@@ -113,11 +113,52 @@ def merged_small(sizes: Column, least: int) -> Column:
 
 
 def merged_to(sizes: Column, n: Column) -> Column:
-    """Chunk sizes merged to about n chunks: cuts at round(g * k / n), halves to even; empty groups are left out."""
+    """Chunk sizes merged to about n chunks: cuts at round(g * k / n), halves to even; empty groups are left out. Nothing is merged for n of 0 or less, or as many as there are."""
     cut = lambda g: F.bround(g * F.size(sizes).cast("double") / n).cast("int")
     total = lambda g: F.aggregate(F.slice(sizes, cut(g) + 1, cut(g + 1) - cut(g)), F.lit(0), lambda s, x: s + x)
     groups = F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.when(cut(g + 1) > cut(g), total(g)))
-    return F.array_compact(groups)
+    return F.when((n <= 0) | (n >= F.size(sizes)), sizes).otherwise(F.array_compact(groups))
+
+
+def small_groups(counts: Column, least: int | Column) -> Column:
+    """How many chunks make one, by their counts of words: a chunk under ``least`` joins the next, the last one that before."""
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, x):
+        full = F.struct(F.lit(0).alias("held"), F.lit(0).alias("n"), F.concat(s["out"], F.array(s["n"] + 1)).alias("out"))
+        return F.when(s["held"] + x >= least, full).otherwise(F.struct((s["held"] + x).alias("held"), (s["n"] + 1).alias("n"), s["out"].alias("out")))
+
+    def finish(s):
+        last = F.size(s["out"]) - 1
+        return F.when(s["n"] == 0, s["out"]).when(last < 0, F.array(s["n"])).otherwise(F.transform(s["out"], lambda x, i: F.when(i == last, x + s["n"]).otherwise(x)))
+
+    return F.aggregate(F.transform(counts, lambda x: x.cast("int")), start, step, finish)
+
+
+def groups_to(chunks: Column, n: Column) -> Column:
+    """How many chunks make one, where about n are to be left."""
+    return merged_to(F.array_repeat(F.lit(1), F.size(chunks)), n)
+
+
+def _spans(groups: Column) -> Column:
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at: int, n: int>>").alias("out"))
+    return F.aggregate(groups, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), n.alias("n")))).alias("out")), lambda s: s["out"])
+
+
+def joined(chunks: Column, groups: Column, lang: Column) -> Column:
+    """Texts of merged chunks, stripped, with a space between them unless the language has none."""
+    sep = F.when(is_cjk(lang), "").otherwise(" ")
+    return F.transform(_spans(groups), lambda g: F.trim(F.call_function("array_join", F.transform(F.slice(chunks, g["at"], g["n"]), lambda x: F.trim(x)), sep)))
+
+
+def gathered(ids: Column, groups: Column) -> Column:
+    """Ids of merged chunks, which are arrays, in the same groups as their texts."""
+    return F.transform(_spans(groups), lambda g: F.flatten(F.slice(ids, g["at"], g["n"])))
+
+
+def least_words(lang: Column) -> Column:
+    """Below how many words, or characters where a language has no spaces, a source chunk is too small."""
+    return F.when(is_cjk(lang), 4).otherwise(2)
 
 
 def word_id(word: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rwspark import functions as R
@@ -73,23 +73,51 @@ def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", F.array_join("source_chunks", "|").alias("source_chunks"), F.array_join("target_chunks", "|").alias("target_chunks"))
 
 
+# Merged chunks: texts and ids in lock-step. Every other pair counts as Chinese on the target side, which has no spaces.
+_TGT = "CASE WHEN id % 2 = 0 THEN 'zh' ELSE 'en' END"
+_EDGES = "(CASE WHEN g = 1 THEN 0 ELSE list_sum(groups[1 : g - 1]) END)::INT + 1 : list_sum(groups[1:g])::INT"
+_JOINED = f"""array_to_string(list_transform(range(1, len(groups) + 1), lambda g: array_to_string(src[{_EDGES}], ' ')), '|') AS source_chunks,
+  array_to_string(list_transform(range(1, len(groups) + 1), lambda g: CASE WHEN id % 2 = 0 THEN array_to_string(tgt[{_EDGES}], '') ELSE array_to_string(tgt[{_EDGES}], ' ') END), '|') AS target_chunks"""
+_WIDS = "list_transform(string_split(x, ' '), lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 50000 + 10)::INT)"
+_GATHERED = f"array_to_string(list_transform(range(1, len(groups) + 1), lambda g: len(flatten(list_transform(src[{_EDGES}], lambda x: {_WIDS}))) || ':' || list_sum(flatten(list_transform(src[{_EDGES}], lambda x: {_WIDS})))), ' ') AS source_ids"
+
+
+def _groups(n: str) -> str:
+    return f"""list_filter(list_transform(range(0, {n}::BIGINT), lambda g: round_even((g + 1) * k::DOUBLE / {n}, 0)::INT - round_even(g * k::DOUBLE / {n}, 0)::INT), lambda x: x > 0)"""
+
+
+def merged(rows: DataFrame, groups: Column, tgt: Column) -> DataFrame:
+    """``rows`` with source_chunks, target_chunks and source_chunk_ids merged in the same groups."""
+    rows = rows.withColumn("groups", groups)
+    out = rows.withColumn("source_chunks", R.joined(F.col("source_chunks"), F.col("groups"), F.lit("de"))).withColumn("target_chunks", R.joined(F.col("target_chunks"), F.col("groups"), tgt))
+    return out.withColumn("source_chunk_ids", R.gathered(F.col("source_chunk_ids"), F.col("groups"))).drop("groups")
+
+
+def _with_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).withColumn("source_chunk_ids", F.transform("source_chunks", lambda x: F.transform(F.split(x, " "), R.word_id)))
+
+
+def _shown(rows: DataFrame, *columns: str) -> DataFrame:
+    """Chunks as one text each; of ids their number and sum."""
+    total = lambda ids: F.concat_ws(":", F.size(ids), F.aggregate(ids, F.lit(0).cast("long"), lambda s, x: s + x))
+    text = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("id", *columns, text("source_chunks"), text("target_chunks"), F.array_join(F.transform("source_chunk_ids", total), " ").alias("source_ids"))
+
+
 @query(
     _SNAP.replace("WITH ", "")
-    + """, folded AS (SELECT id, list_reduce(list_prepend({'held': 0, 'out': []::INT[]}, list_transform(sizes, lambda x: {'held': x, 'out': []::INT[]})),
-  lambda s, x: CASE WHEN s.held + x.held >= 6 THEN {'held': 0, 'out': list_append(s.out, s.held + x.held)} ELSE {'held': s.held + x.held, 'out': s.out} END) AS f FROM texts)
-SELECT id, array_to_string(CASE WHEN f.held = 0 THEN f.out WHEN len(f.out) = 0 THEN [f.held] ELSE list_append(f.out[1 : len(f.out) - 1], f.out[len(f.out)] + f.held) END, ' ') AS sizes FROM folded"""
+    + f""", folded AS (SELECT *, list_reduce(list_prepend({{'held': 0, 'n': 0, 'out': []::INT[]}}, list_transform(sizes, lambda x: {{'held': x, 'n': 1, 'out': []::INT[]}})),
+  lambda s, x: CASE WHEN s.held + x.held >= 2 THEN {{'held': 0, 'n': 0, 'out': list_append(s.out, s.n + 1)}} ELSE {{'held': s.held + x.held, 'n': s.n + 1, 'out': s.out}} END) AS f FROM texts),
+grouped AS (SELECT *, CASE WHEN f.n = 0 THEN f.out WHEN len(f.out) = 0 THEN [f.n] ELSE list_append(f.out[1 : len(f.out) - 1], f.out[len(f.out)] + f.n) END AS groups FROM folded)
+SELECT id, {_JOINED}, {_GATHERED} FROM grouped"""
 )
 def merge_small(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("id", F.array_join(R.merged_small(F.col("sizes"), 6), " ").alias("sizes"))
+    return _shown(merged(_with_ids(spark, d), R.small_groups(F.col("sizes"), R.least_words(F.lit("de"))), F.expr(_TGT)))
 
 
-@query(
-    _SNAP
-    + """ SELECT id, array_to_string(list_filter(list_transform(range(0, ceil(k / 2)::BIGINT), lambda g: list_sum(sizes[round_even(g * k::DOUBLE / ceil(k / 2), 0)::INT + 1 : round_even((g + 1) * k::DOUBLE / ceil(k / 2), 0)::INT])), lambda x: x IS NOT NULL), ' ') AS sizes FROM texts"""
-)
+@query(_SNAP + f", grouped AS (SELECT *, {_groups('ceil(k / 2)')} AS groups FROM texts) SELECT id, {_JOINED}, {_GATHERED} FROM grouped")
 def merge_to_n(spark: SparkSession, d: str) -> DataFrame:
-    n = F.ceil(F.size("sizes") / 2).cast("int")
-    return _texts(spark, d).select("id", F.array_join(R.merged_to(F.col("sizes"), n), " ").alias("sizes"))
+    return _shown(merged(_with_ids(spark, d), R.groups_to(F.col("source_chunks"), F.ceil(F.size("source_chunks") / 2).cast("int")), F.expr(_TGT)))
 
 
 _LABEL = "CASE WHEN {k} <= 3 THEN 'high' WHEN {k} <= 6 THEN 'medium' ELSE 'low' END"
@@ -100,26 +128,26 @@ def latency_label(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", F.size("sizes").cast("long").alias("chunks"), R.latency_for(F.size("sizes")).alias("latency"))
 
 
-def augmented(rows: DataFrame) -> DataFrame:
-    """Rows merged to half (from 4 chunks) and a quarter (from 7) of their chunks, where that changes the latency; ids are those of the base row."""
+def augmented(rows: DataFrame, tgt: Column) -> DataFrame:
+    """Rows of chunks merged to half (from 4 chunks) and a quarter (from 7) of their number, where that changes the latency; ids are those of the base row."""
     ways = F.explode(F.array(*(F.struct(F.lit(k).alias("by"), F.lit(f"aug{k}").alias("merge_tag"), F.lit(least).alias("least")) for k, least in ((2, 4), (4, 7)))))
-    out = rows.withColumn("base_n_chunks", F.size("sizes")).select("*", ways.alias("way")).filter("base_n_chunks >= way.least")
-    merged = R.merged_to(F.col("sizes"), F.ceil(F.col("base_n_chunks") / F.col("way.by")).cast("int"))
-    out = out.withColumn("sizes", merged).withColumn("merged_to_n_chunks", F.size("sizes"))
+    out = rows.withColumn("base_n_chunks", F.size("source_chunks")).select("*", ways.alias("way")).filter("base_n_chunks >= way.least")
+    out = merged(out, R.groups_to(F.col("source_chunks"), F.ceil(F.col("base_n_chunks") / F.col("way.by")).cast("int")), tgt).withColumn("merged_to_n_chunks", F.size("source_chunks"))
     out = out.withColumn("latency", R.latency_for(F.col("merged_to_n_chunks"))).filter(F.col("latency") != R.latency_for(F.col("base_n_chunks")))
     return out.withColumn("merge_tag", F.col("way.merge_tag")).drop("way")
 
 
 @query(
-    o.sweep(LADDER)
-    + f""", base AS (SELECT id, max(chunks) AS k FROM sums GROUP BY id), ways(part, merge_tag, least) AS (VALUES (2, 'aug2', 4), (4, 'aug4', 7)),
-aug AS (SELECT id, k, merge_tag, ceil(k::DOUBLE / part)::BIGINT AS n FROM base, ways WHERE k >= least)
-SELECT id, k AS base_n_chunks, n AS merged_to_n_chunks, merge_tag, {_LABEL.format(k='n')} AS latency FROM aug WHERE {_LABEL.format(k='n')} <> {_LABEL.format(k='k')}"""
+    _SNAP
+    + f""", ways(part, merge_tag, least) AS (VALUES (2, 'aug2', 4), (4, 'aug4', 7)),
+grouped AS (SELECT *, {_groups('ceil(k::DOUBLE / part)')} AS groups FROM texts, ways WHERE k >= least)
+SELECT id, k AS base_n_chunks, len(groups) AS merged_to_n_chunks, merge_tag, {_LABEL.format(k='len(groups)')} AS latency, {_JOINED}, {_GATHERED}
+FROM grouped WHERE {_LABEL.format(k='len(groups)')} <> {_LABEL.format(k='k')}"""
 )
 def augment(spark: SparkSession, d: str) -> DataFrame:
-    sweep = commit.swept(sources.cells(sources.token_pairs(spark, d)), LADDER).groupBy("id").agg(F.max("chunks").alias("k"))
-    rows = augmented(sweep.select("id", F.array_repeat(F.lit(1), F.col("k").cast("int")).alias("sizes")))
-    return rows.select("id", F.col("base_n_chunks").cast("long").alias("base_n_chunks"), F.col("merged_to_n_chunks").cast("long").alias("merged_to_n_chunks"), "merge_tag", "latency")
+    rows = augmented(_with_ids(spark, d), F.expr(_TGT))
+    rows = rows.withColumn("base_n_chunks", F.col("base_n_chunks").cast("long")).withColumn("merged_to_n_chunks", F.col("merged_to_n_chunks").cast("long"))
+    return _shown(rows, "base_n_chunks", "merged_to_n_chunks", "merge_tag", "latency")
 
 
 @query(_LADDER + f" SELECT {_LABEL.format(k='ceil(n / 4)')} AS old, {_LABEL.format(k='chunks')} AS new, count(*) AS n FROM ladder GROUP BY 1, 2")
@@ -150,7 +178,6 @@ def interleave_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 _BODY = """array_to_string(list_transform(src, lambda x, i: ' ' || x || '<|end-of-read|>' || CASE WHEN id % 2 = 0 THEN '' ELSE ' ' END || tgt[i] || '<|end-of-write|>'), '')"""
 _INSTRUCTION = "'Translate the following text from German into ' || CASE WHEN id % 2 = 0 THEN 'Chinese' ELSE 'English' END || ' with ' || latency || ' latency.'"
-_TGT = "CASE WHEN id % 2 = 0 THEN 'zh' ELSE 'en' END"
 
 
 @query(_WITH_LATENCY + f" SELECT id, {_BODY} AS text FROM rows")

@@ -98,8 +98,22 @@ def test_merge_to_n(spark):
 
 @pytest.mark.parametrize("k, want", [(3, []), (4, [("aug2", 2, "high")]), (6, [("aug2", 3, "high")]), (7, [("aug2", 4, "medium"), ("aug4", 2, "high")])])
 def test_augment(spark, k, want):
-    rows = spark.createDataFrame([(1, [1] * k)], "id long, sizes array<int>")
-    assert sorted((r.merge_tag, r.merged_to_n_chunks, r.latency) for r in augmented(rows).collect()) == want
+    rows = spark.createDataFrame([(1, [f"s{i}" for i in range(k)], [f" t{i}" for i in range(k)], [[i, i] for i in range(k)])], "id long, source_chunks array<string>, target_chunks array<string>, source_chunk_ids array<array<int>>")
+    got = augmented(rows, F.lit("ja")).collect()
+    assert sorted((r.merge_tag, r.merged_to_n_chunks, r.latency) for r in got) == want
+    for r in got:  # in lock-step, with a space between source texts and none between target texts
+        assert " ".join(r.source_chunks) == " ".join(f"s{i}" for i in range(k)) and "".join(r.target_chunks) == "".join(f"t{i}" for i in range(k))
+        assert [x for ids in r.source_chunk_ids for x in ids] == [x for i in range(k) for x in (i, i)] and [2 * len(s.split()) for s in r.source_chunks] == list(map(len, r.source_chunk_ids))
+
+
+@pytest.mark.parametrize("n", [0, -1, 3, 4])
+def test_nothing_to_merge(spark, n):
+    assert one(spark, R.groups_to(F.array(*map(F.lit, "abc")), F.lit(n))) == [1, 1, 1]
+
+
+@pytest.mark.parametrize("counts, want", [([1, 1, 3], [2, 1]), ([3, 1], [2]), ([1], [1]), ([], []), ([2, 2], [1, 1]), ([1, 1, 1], [3]), ([0, 2, 0, 0], [4])])
+def test_groups_of_small_chunks(spark, counts, want):
+    assert one(spark, R.small_groups(F.array(*map(F.lit, counts)).cast("array<int>"), 2)) == want
 
 
 def test_latency_labels(spark):
