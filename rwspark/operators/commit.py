@@ -75,6 +75,15 @@ def ladder(sweep: DataFrame, by: str = "id") -> DataFrame:
     return rows.filter("rung = pick").select(by, "n", "m", F.col("tau").alias("tau_used"), (~F.col("solved") | (F.col("rung") > 0)).alias("fell_back"), "chunks", "sum_commit")
 
 
+def fired_divergence(cells: DataFrame, tau: Column | float) -> DataFrame:
+    """For each pair, how many target words commit before the whole source, with a cell that was evaluated there, and the mean divergence of these cells (null for none)."""
+    at = F.coalesce(F.min(F.when(fires(tau), F.col("i"))), F.col("n"))
+    rows = monotone(cells.groupBy("id", "n", "m", "j").agg(at.alias("raw"), F.collect_list(F.struct("i", "d")).alias("ds")))
+    d = F.get(F.filter("ds", lambda x: x["i"] == F.col("commit")), F.lit(0))["d"]
+    rows = rows.withColumn("here", F.when((F.col("commit") < F.col("n")) & ~F.isnan(d), d))
+    return rows.groupBy("id").agg(F.count("here").alias("fired"), F.avg("here").alias("divergence"))
+
+
 def rungs(primary: float, fallbacks: list[float]) -> list[float]:
     return [primary, *sorted(t for t in fallbacks if t > primary)]
 

@@ -87,6 +87,16 @@ def alignments(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
     return lines(spark, path, encoding).select(F.col("pos").alias("sentence"), pair).select("sentence", part(1).cast("int").alias("src_pos"), part(3).cast("int").alias("tgt_pos"), F.when(part(2) == "-", "sure").otherwise("possible").alias("kind"))
 
 
+def base_rows(rows: DataFrame) -> DataFrame:
+    """Rows that were not made from others by merging chunks; rows without that mark count as base rows."""
+    return rows.filter(~F.coalesce(F.col("_annotator_meta.augmented_from_base"), F.lit(False)))
+
+
+def consistent(rows: DataFrame, source_ids: str, target_ids: str, n: str = "n", m: str = "m") -> DataFrame:
+    """Rows whose texts give as many ids as the scores were made for."""
+    return rows.filter((F.size(source_ids) == F.col(n)) & (F.size(target_ids) == F.col(m)))
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
     """One document with all rows, for tools that want it: for small results, since one task writes it."""
     df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -237,3 +237,21 @@ def test_balanced_quota(spark):
 def test_ranks_among_scores(spark):
     rows = spark.createDataFrame([(0.5, [0.1, 0.9, 0.5]), (0.95, [0.1, 0.9]), (0.0, [])], "p double, others array<double>")
     assert [r.k for r in rows.select(R.rank_of(F.col("p"), F.col("others")).alias("k")).collect()] == [2, 1, 1]
+
+
+def test_fired_divergence(spark):
+    cells = [(1, 3, 2, i, j, d) for i, row in enumerate([(0.9, 0.8), (0.1, 0.7), (0.0, 0.2)], 1) for j, d in enumerate(row)]
+    cells += [(2, 2, 1, 1, 0, NAN), (2, 2, 1, 2, 0, 0.0), (3, 3, 2, 1, 0, 0.9), (3, 3, 2, 1, 1, 0.1), (3, 3, 2, 2, 0, 0.2), (3, 3, 2, 2, 1, NAN), (3, 3, 2, 3, 0, 0.0), (3, 3, 2, 3, 1, 0.0)]
+    rows = spark.createDataFrame(cells, "id long, n int, m int, i int, j int, d double")
+    got = {r.id: (r.fired, r.divergence) for r in commit.fired_divergence(rows, 0.3).collect()}
+    assert got == {1: (1, 0.1), 2: (0, None), 3: (1, 0.2)}
+
+
+def test_base_and_consistent_rows(spark):
+    from rwspark import sources
+
+    meta = "struct<augmented_from_base: boolean>"
+    rows = spark.createDataFrame([(1, (True,)), (2, (False,)), (3, (None,)), (4, None)], f"k int, _annotator_meta {meta}")
+    assert sorted(r.k for r in sources.base_rows(rows).collect()) == [2, 3, 4]
+    rows = spark.createDataFrame([(1, [1, 2], [3], 2, 1), (2, [1], [3], 2, 1), (3, [], [], 0, 0), (4, None, [1], 1, 1)], "k int, s array<int>, t array<int>, n int, m int")
+    assert sorted(r.k for r in sources.consistent(rows, "s", "t").collect()) == [1, 3]
