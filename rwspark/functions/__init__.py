@@ -178,6 +178,24 @@ def labels(ids: Column, prompt: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(-100), p), F.slice(ids, p + 1, F.greatest(F.size(ids) - p, F.lit(0))))
 
 
+def pieces(text: Column) -> Column:
+    """Runs of ASCII letters and digits, and every other character that is no white space: a model-free tokenizer of sub-words."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"), F.lit(0))
+
+
+def joined_lengths(chunks: Column, tokenize=pieces) -> Column:
+    """How many tokens the first chunk has, the first two, and so on, each prefix joined by spaces before it is cut into tokens."""
+    upto = lambda k: F.size(tokenize(F.array_join(F.slice(chunks, 1, k), " ")))
+    return F.when(F.size(chunks) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(chunks)), upto))
+
+
+def commits_of_lengths(source: Column, target: Column) -> Column:
+    """The commit of each target token, from joined_lengths of both sides: that of its chunk, and none before an earlier one."""
+    before = lambda k: F.coalesce(F.get(target, k - 1), F.lit(0))
+    top = lambda k: F.array_max(F.slice(source, 1, k + 1))
+    return paired(source, target, F.flatten(F.transform(target, lambda t, k: F.array_repeat(top(k), F.greatest(t - before(k), F.lit(0))))))
+
+
 def padded(ids: Column, length: Column, pad: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), length - F.size(ids)))
 

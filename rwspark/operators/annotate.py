@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rwspark import functions as R
 from rwspark import sources
 
-from . import commit
+from . import commit, transport
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -33,8 +35,28 @@ def prefix_divergence(tokens: DataFrame, smoothing: float = 0.1) -> DataFrame:
     return grid.groupBy("id", "n", "m", "i").agg(js.alias("js"), F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"), (-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
 
 
+def prefix_transport(tokens: DataFrame, buckets: int = 64, smoothing: float = 0.1, **options) -> DataFrame:
+    """id, n, m, i and ot: the transport cost from the smoothed word distribution of the first i source words to that of all.
+
+    Words fall into ``buckets`` by their ids, and the buckets' vectors lie on a circle: a stand-in for a model's vocabulary and
+    its embeddings, which an ``external`` scorer brings along.
+    """
+    angle = 2 * np.pi * np.arange(buckets) / buckets
+    place = F.transform("s", lambda w: F.pmod(R.word_id(w), F.lit(buckets)))
+    rows = tokens.select("id", "n", "m", place.alias("b")).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    share = lambda upto: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: (F.size(F.filter(F.slice("b", 1, upto), lambda x: x == k)) + smoothing) / (upto + smoothing * buckets))
+    rows = rows.select(F.struct("id", "n", "m", "i").alias("id"), share(F.col("i")).alias("p"), share(F.col("n")).alias("q"))
+    return transport.costs(rows, np.stack((np.cos(angle), np.sin(angle)), 1), **options).select("id.*", "ot")
+
+
+#: Divergences of a prefix from the whole source by name: functions of pairs that give (id, n, m, i, <name>).
+PREFIX_CRITERIA = {"js": prefix_divergence, "kl": prefix_divergence, "entropy": prefix_divergence, "ot": prefix_transport}
+
+
 def prefix_scorer(tokens: DataFrame, criterion: str = "js") -> DataFrame:
-    rows = prefix_divergence(tokens)
+    if criterion not in PREFIX_CRITERIA:
+        raise ValueError(f"unknown criterion {criterion}; there are {', '.join(sorted(PREFIX_CRITERIA))}")
+    rows = PREFIX_CRITERIA[criterion](tokens)
     return rows.select("id", "n", "m", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.col(criterion).alias("d"))
 
 
@@ -53,11 +75,37 @@ def external(score: Callable[[list[str], list[str]], list[list[float]]]) -> Scor
 SCORERS: dict[str, Scorer] = {"hash": sources.cells, "prefix": prefix_scorer}
 
 
-def annotate(tokens: DataFrame, scorer: str | Scorer = "hash", tau: float = 0.05, stride: int = 1, boundaries: DataFrame | None = None) -> DataFrame:
-    """id, n, m, chunks, sum_commit, source_chunks and target_chunks of pairs (id, s, t, n, m). The stride leaves out prefixes, but never the whole source."""
-    cells = (SCORERS[scorer] if isinstance(scorer, str) else scorer)(tokens)
+def matrices(cells: DataFrame) -> DataFrame:
+    """id and matrix: the divergences of a pair, a row for each prefix that was scored, in their order."""
+    rows = cells.groupBy("id", "i").agg(F.array_sort(F.collect_list(F.struct("j", "d")))["d"].alias("d"))
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "d")))["d"].alias("matrix"))
+
+
+def annotate(
+    tokens: DataFrame, scorer: str | Scorer = "hash", tau: float = 0.05, stride: int = 1, boundaries: DataFrame | None = None,
+    criterion: str = "js", full_matrix: bool = False, record_entropy: bool = False, prompt_mode: str | None = None,
+) -> DataFrame:
+    """id, n, m, chunks, sum_commit, source_chunks and target_chunks of pairs (id, s, t, n, m). The stride leaves out prefixes, but never the whole source.
+
+    ``criterion`` is that of the prefix scorer. More columns on demand: matrix (of the prefixes that were scored), entropy (that of the
+    source's word distribution after each of them), and prompt, what a model reads before the target (for a mode of
+    ``annotator_prompt``, from src_lang and tgt_lang of the pairs).
+    """
+    at = (F.col("i") == F.col("n")) | ((F.col("i") - 1) % stride == 0)
+    if scorer == "prefix":
+        cells = prefix_scorer(tokens, criterion)
+    else:
+        cells = (SCORERS[scorer] if isinstance(scorer, str) else scorer)(tokens)
     if stride > 1:
-        cells = cells.filter((F.col("i") == F.col("n")) | ((F.col("i") - 1) % stride == 0))
+        cells = cells.filter(at)
     trace = commit.traces(cells, tau)
     texts = commit.texts(commit.chunked(trace, tokens, boundaries), tokens)
-    return commit.summaries(trace).select("id", "n", "m", "chunks", "sum_commit").join(texts, "id")
+    out = commit.summaries(trace).select("id", "n", "m", "chunks", "sum_commit").join(texts, "id")
+    if full_matrix:
+        out = out.join(matrices(cells), "id")
+    if record_entropy:
+        seen = prefix_divergence(tokens).filter(at)
+        out = out.join(seen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "entropy")))["entropy"].alias("entropy")), "id")
+    if prompt_mode is not None:
+        out = out.join(tokens.select("id", R.annotator_prompt(F.array_join("s", " "), R.language_name(F.col("src_lang")), R.language_name(F.col("tgt_lang")), prompt_mode).alias("prompt")), "id")
+    return out

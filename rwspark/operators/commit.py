@@ -130,6 +130,19 @@ def bin_for(pearson: Column, high: float = 0.90, low: float = 0.70) -> Column:
     return F.when(pearson.isNull() | F.isnan(pearson), "undefined").when(pearson >= high, "monotone").when(pearson < low, "reordering").otherwise("mild")
 
 
+def summarised(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, mean, (upper) median, min and max of the finite values; a group without any has n of 0 and nulls."""
+    x = F.when(~F.isnan(value), F.col(value))
+    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.min(x), 6).alias("min"), F.round(F.max(x), 6).alias("max"))
+    return out.join(order_statistics(rows, by, value, median=upper_median), by, "left").withColumn("median", F.round("median", 6))
+
+
+def skipped(rows: DataFrame, bins: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with bin and reason: used, undefined, or missing where there is no bin."""
+    found = rows.join(bins.select(key, "bin"), key, "left")
+    return found.withColumn("reason", F.when(F.col("bin").isNull(), "missing").when(F.col("bin") == "undefined", "undefined").otherwise("used"))
+
+
 def chunked(trace: DataFrame, tokens: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
     """Chunks of source and target words from commits: id, chunk, start, stop (source words start..stop-1), first, last (target words).
 

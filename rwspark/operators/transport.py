@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -56,13 +56,16 @@ def batched(p: np.ndarray, q: np.ndarray, vectors: np.ndarray, k: int = 128, eps
 
 
 def costs(pairs: DataFrame, vectors: np.ndarray, k: int = 128, eps: float = 0.05, rounds: int = 200) -> DataFrame:
-    """id and ot of pairs (id, p, q: distributions over the rows of ``vectors``, a table of bounded size)."""
+    """id (of any type) and ot of pairs (id, p, q: distributions over the rows of ``vectors``, a table of bounded size)."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
     shared = pairs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                some = frame.iloc[at : at + 64]
-                yield pd.DataFrame({"id": some["id"], "ot": batched(np.stack(some["p"]), np.stack(some["q"]), shared.value, k, eps, rounds)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                ids, p, q = batch.slice(at, 64).columns
+                found = batched(np.array(p.to_pylist()), np.array(q.to_pylist()), shared.value, k, eps, rounds)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.float64())], names=["id", "ot"])
 
-    return pairs.select("id", "p", "q").mapInPandas(run, "id long, ot double")
+    return pairs.select("id", "p", "q").mapInArrow(run, StructType([pairs.schema["id"], StructField("ot", DoubleType())]))

@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from . import committing, corpus, measures, running
+from . import committing, corpus, measures, replaying, running
 
-_PARTS = (committing, corpus, measures, running)
+_PARTS = (committing, corpus, measures, replaying, running)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in _PARTS:

@@ -11,6 +11,8 @@ from rwspark.operators import commit
 from . import oracle as o
 
 TAU = 0.3
+#: A trace of over one chunk matches a reference bin where its Pearson coefficient is below this.
+MATCH = 0.85
 TAUS = [0.1, 0.2, 0.3, 0.5, 0.7, 1.0]
 LADDER = commit.rungs(0.1, [0.05, 0.2, 0.3, 0.5, 1.0])
 
@@ -192,23 +194,24 @@ _GATE = _MATCHED + _REF + o.summaries("rtrace", name="rsums") + """, rbins AS (S
 
 @query(
     _GATE
-    + f""" SELECT bin, count(*) AS n, count(*) FILTER (chunks > 1) AS covered, count(*) FILTER (chunks <= 1) AS single_chunk_n,
-    round(avg((delta = 0)::INT) FILTER (chunks > 1), 6) AS match_cond, round(avg((delta = 0 AND chunks > 1)::INT), 6) AS match_eff,
+    + f""" SELECT bin, count(*) AS n, count(*) FILTER (chunks > 1 AND pearson IS NOT NULL) AS covered, count(*) FILTER (chunks = 1) AS single_chunk_n,
+    round(avg((pearson < 0.85e0)::INT) FILTER (chunks > 1), 6) AS match_cond, round(count(*) FILTER (chunks > 1 AND pearson < 0.85e0) / count(*), 6) AS match_eff,
     round(avg(pearson), 6) AS pearson_mean, round({_median('pearson')}, 6) AS pearson_median, round(min(pearson), 6) AS pearson_min, round(max(pearson), 6) AS pearson_max
-    FROM matched JOIN rbins USING (id) GROUP BY bin"""
+    FROM matched JOIN rbins USING (id) WHERE bin <> 'undefined' GROUP BY bin"""
 )
 def gate_report(spark: SparkSession, d: str) -> DataFrame:
     tokens = sources.token_pairs(spark, d)
     best = commit.matched(commit.swept(sources.cells(tokens), TAUS), _want(tokens))
-    bins = commit.summaries(reference(tokens)).select("id", commit.bin_for(F.col("pearson")).alias("bin"))
-    hit, many = F.col("delta") == 0, F.col("chunks") > 1
+    bins = commit.summaries(reference(tokens)).select("id", commit.bin_for(F.col("pearson")).alias("bin")).filter("bin <> 'undefined'")
+    many = (F.col("chunks") > 1) & F.col("pearson").isNotNull() & ~F.isnan("pearson")
+    hit = many & (F.col("pearson") < MATCH)
     rows = best.join(bins, "id").persist()
     out = rows.groupBy("bin").agg(
         F.count("*").alias("n"),
         F.count_if(many).alias("covered"),
-        F.count_if(~many).alias("single_chunk_n"),
+        F.count_if(F.col("chunks") == 1).alias("single_chunk_n"),
         F.round(F.avg(F.when(many, hit.cast("int"))), 6).alias("match_cond"),
-        F.round(F.avg((hit & many).cast("int")), 6).alias("match_eff"),
+        F.round(F.avg(hit.cast("int")), 6).alias("match_eff"),
         F.round(F.avg("pearson"), 6).alias("pearson_mean"),
         F.round(F.min("pearson"), 6).alias("pearson_min"),
         F.round(F.max("pearson"), 6).alias("pearson_max"),
