@@ -1,9 +1,9 @@
 """WARC archives by way of a chunked record table.
 
-A payload is rows of (record, chunk number, bytes): no step but the first holds a whole payload. Digests are carried from
-chunk to chunk. A first pass over the chunks gives each record's digest and length; a grouped aggregation finds the first
-record of each payload; the second pass writes gzip members record by record, chunk by chunk. Reading gives chunk rows
-again, with the digest so far.
+A payload is rows of (record, chunk number, bytes): no step but the scan holds a whole payload, and what is shuffled and
+sorted are chunks. Digests are carried from chunk to chunk. A first pass over the chunks gives each record's digest and
+length; a grouped aggregation finds the first record of each payload; the second pass brings a record's chunks to its digest
+and writes gzip members record by record, chunk by chunk. Reading gives chunk rows again, with the digest so far.
 
 Null payloads are empty ones. Records with equal payloads: that with the smallest id is the response, later ones are
 revisits; rows that repeat the smallest id are responses too. Payloads smaller than ``least`` bytes are all responses. A
@@ -34,6 +34,11 @@ DATE = "1970-01-01T00:00:00Z"
 def chunk_table(pages: DataFrame, payload: str = "html", keep: tuple[str, ...] = (), id_col: str = "page_id", chunk: int = CHUNK) -> DataFrame:
     """record_id, ``keep``, chunk_no, last, chunk; rows of a record follow each other within a partition. An empty payload has one empty chunk."""
     whole = pages.select(F.col(id_col).cast("long").alias("record_id"), *keep, utf8(payload).alias("payload"))
+    return cut(whole, keep, chunk)
+
+
+def cut(whole: DataFrame, keep: tuple[str, ...], chunk: int = CHUNK) -> DataFrame:
+    """As chunk_table, of rows with record_id, ``keep`` and payload in bytes."""
     n = F.greatest(F.lit(1), F.ceil(F.length("payload") / F.lit(chunk))).cast("int")
     split = whole.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
     return split.select("record_id", *keep, "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"))
@@ -44,27 +49,28 @@ def _base32(digest: "hashlib._Hash") -> str:
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """record_id, payload_bytes and sha (hexadecimal SHA-1) of each record, from digests carried over its chunks."""
+    """record_id, mark, payload_bytes and sha (hexadecimal SHA-1) of each record, from digests carried over its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha, size = hashlib.sha1(), 0
         for batch in batches:
-            ids, sizes, out = [], [], []
-            for record, last, data in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, marks, sizes, out = [], [], [], []
+            for record, mark, last, data in zip(*(c.to_pylist() for c in batch.columns)):
                 sha.update(data)
                 size += len(data)
                 if last:
                     ids.append(record)
+                    marks.append(mark)
                     sizes.append(size)
                     out.append(sha.hexdigest())
                     sha, size = hashlib.sha1(), 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.string())], names=["record_id", "payload_bytes", "sha"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.string())], names=["record_id", "mark", "payload_bytes", "sha"])
 
-    return chunks.select("record_id", "last", "chunk").mapInArrow(run, "record_id long, payload_bytes long, sha string")
+    return chunks.select("record_id", "mark", "last", "chunk").mapInArrow(run, "record_id long, mark long, payload_bytes long, sha string")
 
 
 def planned(sums: DataFrame, least: int = 0) -> DataFrame:
-    """A row for each record id and payload: payload_bytes, sha, refers_to (null for a response).
+    """A row for each record id and payload: mark, payload_bytes, sha, refers_to (null for a response).
 
     Equal payloads share digest and length. The first record of a payload is a minimum, combined before the shuffle; a
     payload that a third of the records share is joined back by salted keys, so no task gets all its records.
@@ -74,8 +80,8 @@ def planned(sums: DataFrame, least: int = 0) -> DataFrame:
     first = sums.filter(F.col("payload_bytes") >= least).groupBy(*key).agg(F.min("record_id").alias("first"), F.count("*").alias("n"))
     # Single payloads have nobody to refer to; others are dealt over all salts.
     first = first.filter("n > 1").select(*key, "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    found = sums.dropDuplicates(["record_id", *key]).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")).join(first, [*key, "salt"], "left")
-    return found.select("record_id", *key, F.when(F.col("record_id").isNull() | (F.col("record_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    found = sums.dropDuplicates(["record_id", "mark", *key]).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")).join(first, [*key, "salt"], "left")
+    return found.select("record_id", "mark", *key, F.when(F.col("record_id").isNull() | (F.col("record_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def _heads(record: int | None, url: str | None, size: int, digest: str, refers_to: int | None) -> tuple[bytes, bytes]:
@@ -100,12 +106,15 @@ def write(pages: DataFrame, folder: str, least: int = 0, payload: str = "html",
     """Write a record per row; the archives' paths."""
     from .common import written
 
-    plan = written(planned(digests(chunk_table(pages, payload, (), id_col, chunk)), least), "warc-plan")
-    keyed = pages.select(F.col(id_col).cast("long").alias("record_id"), "url", F.col(payload).alias("payload"), F.sha1(utf8(payload)).alias("sha"))
-    # Rows that share an id may differ in payload: its digest is a key of the join as well.
-    plan = plan.select(F.col("record_id").alias("planned_id"), F.col("sha").alias("planned_sha"), "payload_bytes", "refers_to")
-    ready = keyed.join(plan, keyed.record_id.eqNullSafe(F.col("planned_id")) & (keyed.sha == F.col("planned_sha")))
-    chunks = chunk_table(ready, "payload", ("url", "payload_bytes", "sha", "refers_to"), "record_id", chunk)
+    # Rows that share an id may differ in payload: a hash marks which is which, and goes with the chunks.
+    whole = pages.select(F.col(id_col).cast("long").alias("record_id"), "url", utf8(payload).alias("payload"))
+    whole = whole.withColumn("mark", F.xxhash64("payload", F.length("payload"))).withColumn("row", F.monotonically_increasing_id())
+    plan = written(planned(digests(cut(whole.drop("url", "row"), ("mark",), chunk)), least), "warc-plan")
+    plan = plan.select(F.col("record_id").alias("planned_id"), F.col("mark").alias("planned_mark"), "payload_bytes", "sha", "refers_to")
+    chunks = cut(whole, ("url", "mark", "row"), chunk)
+    chunks = chunks.join(plan, chunks.record_id.eqNullSafe(F.col("planned_id")) & (chunks.mark == F.col("planned_mark")))
+    # The chunks of a row come from one task and go to one task; there, one record follows another.
+    chunks = chunks.sortWithinPartitions("row", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -44,6 +44,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\nWARC-Type: ") == len(rows)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_warc_chunks_find_their_record(spark, tmp_path, threshold):
+    """With and without a shuffle of the chunks: records that share an id, repeat, or have many chunks are whole again."""
+    rows = [(i % 7, f"u{i}", f"{i % 5}é" * (i * 40)) for i in range(60)] + [(3, "twice", "same" * 90)] * 3
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, threshold)
+    try:
+        paths = W.write(pages(spark, rows).repartition(5), f"file://{tmp_path}/w", chunk=64)
+        got = W.read_chunks(spark, paths, payloads=False).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = sorted((a, u, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), len(h.encode())) for a, u, h in rows)
+    assert sorted((r.record_id, r.url, r.digest_so_far, r.bytes_so_far) for r in got) == want
+
+
 def test_warc_least_size(spark):
     got = W.round_trip(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")]), least=3)
     assert {(r.record_id, r.record_type) for r in got.collect()} == {(1, "response"), (2, "response"), (3, "response"), (4, "revisit")}
