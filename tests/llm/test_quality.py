@@ -29,36 +29,70 @@ def test_counts(spark, docs, edge_texts, small):
     assert all(tuple(r[c] for c in Q.NAMES) == brute(texts[r.doc_id]) for r in Q.statistics(real, ("doc_id",)).collect())
 
 
+def chi2(x):
+    """Distribution function of 4 degrees of freedom."""
+    return 1 - np.exp(-x / 2) * (1 + x / 2)
+
+
+def chi2_at(q):
+    grid = np.linspace(0, 60, 6_000_001)
+    return np.interp(q, chi2(grid), grid)
+
+
 def brute_mcd(x, share, steps, floors):
-    """The same estimate with numpy: quantile bins at the start, whole bins of distance in each step, one reweighting."""
+    """The same estimate with numpy: three starts, whole bins of distance in each step, the least determinant, one reweighting."""
+
     def quantile(col, q):
         b, n = np.unique(np.floor(col * 256), return_counts=True)
         before = np.cumsum(n) - n
         return (b[before < q * n.sum()].max() + 0.5) / 256
 
-    f2 = np.array(floors) ** 2
-    m = np.array([quantile(c, 0.5) for c in x.T])
-    c = np.diag([((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349) ** 2 for v in x.T]) + np.diag(f2)
-    dist = lambda: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
-    estimate = lambda y, k: (y.mean(0), np.cov(y.T, bias=True) * k + np.diag(f2))
-    for _ in range(steps):
-        b = np.floor(np.log1p(dist()) * 64)
-        u, n = np.unique(b, return_counts=True)
-        top = u[(np.cumsum(n) - n) < share * len(x)].max()
-        m, c = estimate(x[b <= top], share / Q._chi2(Q._quantile(share, 4), 6))
-    m, c = estimate(x[dist() <= Q._quantile(0.975, 4)], 1.0)
-    return np.sqrt(dist())
-
-
-def test_estimate_is_the_brute_force_one(spark, small):
+    f2 = np.diag(np.array(floors) ** 2)
+    dist = lambda m, c: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+    estimate = lambda y, k: (y.mean(0), np.cov(y.T, bias=True) * k + f2)
+    spread = [((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349) ** 2 for v in x.T]
+    near = np.array([quantile(c, 0.5) for c in x.T]), np.diag(spread) + f2
+    starts = [near, estimate(x, 1.0), estimate(x[dist(*near) <= chi2_at(0.5)], 1.0)]
+    top = chi2_at(share)
+    scale = share / (1 - np.exp(-top / 2) * (1 + top / 2 + top**2 / 8))  # 6 degrees of freedom
+    ends = []
+    for now in starts:
+        det = np.inf
+        for _ in range(steps):
+            b = np.floor(np.log1p(dist(*now)) * 64)
+            u, n = np.unique(b, return_counts=True)
+            new = estimate(x[b <= u[(np.cumsum(n) - n) < share * len(x)].max()], scale)
+            if np.linalg.det(new[1]) >= det * (1 - 1e-9):
+                break
+            now, det = new, np.linalg.det(new[1])
+        ends.append((det, now))
+    m, c = min(ends, key=lambda e: e[0])[1]
+    m, c = estimate(x[dist(m, c) <= chi2_at(0.975)], 1.0)
+    return np.sqrt(dist(m, c))
+
+
+def test_estimate_is_the_brute_force_one(spark):
+    """In groups of language and source, of a language's small sources, and of all that is left."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     stats = written(Q.statistics(docs, ("doc_id", "lang", "source")), "test")
-    got = {r.doc_id: r.distance for r in Q.judged(stats, least=10**9).collect() if r.distance is not None}  # all pooled in one group
     frame = stats.filter("not base_failed").toPandas()
     share = lambda a, b: np.sqrt(frame[a] / np.maximum(frame[b], 1))
     x = np.stack((np.log(frame.word_chars / frame.n_words), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")), 1)
-    want = brute_mcd(x, 0.75, 3, Q.FLOORS)
-    assert np.allclose([got[i] for i in frame.doc_id], want, rtol=1e-6)
+    lang, source = frame.lang.fillna("?"), frame.source.fillna("?")
+    fine = Counter(zip(lang, source))
+    for least in (10**9, 30, 12):
+        rest = Counter()
+        for (a, _), n in fine.items():
+            rest[a] += n if n < least else 0
+        name = lambda a, s: (a, s) if fine[a, s] >= least else (a, "*") if rest[a] >= least else "*"
+        names = [name(a, s) for a, s in zip(lang, source)]
+        want = np.zeros(len(x))
+        for g in set(names):
+            at = np.array([n == g for n in names])
+            want[at] = brute_mcd(x[at], 0.75, 20, Q.FLOORS)
+        got = {r.doc_id: r.distance for r in Q.judged(stats, least=least).collect() if r.distance is not None}
+        assert len(set(names)) > 3 or least == 10**9
+        assert np.allclose([got[i] for i in frame.doc_id], want, rtol=1e-6), least
 
 
 def test_junk_goes_and_clean_stays(docs):
