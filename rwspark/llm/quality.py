@@ -129,7 +129,7 @@ def cholesky(groups: DataFrame) -> DataFrame:
 def distances(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows with ``d2``, the squared Mahalanobis distance to their group, by forward substitution."""
     keep = rows.columns
-    rows = attach(rows, groups.drop("det"), ["g"])
+    rows = attach(rows, groups.drop("det", "falls"), ["g"])
     for i in range(P):
         y = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -186,15 +186,15 @@ def least_determinant(fit: DataFrame, floors: list[float], share: float, steps:
     """
     dealt = fit.withColumn("k", F.explode(F.array(*(F.lit(f"#{k}") for k in range(STARTS))))).withColumn("g", F.concat("g", "k")).drop("k")
     best = written(cholesky(concentrated(dealt, started(fit, floors), floors, share)), "mcd")
+    rest = [c for c in best.columns if c != "g"]
     for _ in range(steps - 1):
         new = cholesky(concentrated(dealt, best, floors, share))
-        both = best.select("g", F.col("det").alias("before")).join(new, "g").withColumn("falls", F.col("det") < F.col("before") * (1 - 1e-9))
-        new = written(both, "mcd")
-        if not new.agg(F.bool_or("falls")).first()[0]:
+        both = best.select("g", *(F.col(c).alias(f"old_{c}") for c in rest)).join(new, "g")
+        falls = F.col("det") < F.col("old_det") * (1 - 1e-9)
+        best = written(both.select("g", *(F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in rest), falls.alias("falls")), "mcd")
+        if not best.agg(F.bool_or("falls")).first()[0]:
             break
-        best = written(new.filter("falls").select(best.columns).unionByName(best.join(new.filter("falls").select("g"), "g", "left_anti")), "mcd")
     name = F.regexp_extract("g", r"(?s)^(.*)#(\d+)$", 1)
-    rest = [c for c in best.columns if c != "g"]
     chosen = best.groupBy(name.alias("name")).agg(F.min_by(F.struct(*rest), F.struct("det", "g")).alias("e"))
     return written(chosen.select(F.col("name").alias("g"), "e.*"), "mcd")
 
