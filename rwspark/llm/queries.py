@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard, langid, mixing, quality, secret_scan, token_counts, token_records, warc
+from . import decontam, html_extract, importance, jaccard, langid, mixing, packing, periodic, quality, secret_scan, token_counts, token_records, warc
 from .common import ship
 
 
@@ -76,6 +76,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), pieces_path)
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """The contract's rows: in one document of ten, by a hash of its id, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    word = lambda i: F.get("w", F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i).cast("int"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, split).alias("w"))
+    return rows.select("doc_id", F.when(F.size("w") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), word), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detected(looped(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("before"), (-x["period"]).alias("least"))))
+    length, period = F.col("best.length"), -F.col("best.least")
+    columns = [F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli")]
+    return found.withColumn("best", best).select("doc_id", *columns, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(packing.sequences(table(spark, sf_dir, "documents"), tokenizer_path))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step")
+
+
 def shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -84,4 +115,4 @@ def shipped(query):
     return run
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op5_ngram_jaccard, op6_warc, op7_decontamination, op8_token_records, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_secret_scan, op2_html_extraction, op3_quality_rules, op4_mixing, op5_ngram_jaccard, op6_warc, op7_decontamination, op8_token_records, op9_language_id, op10_token_counts, op11_periodic_runs, op12_importance_resampling, op13_packing)}
