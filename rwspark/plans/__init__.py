@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from . import committing, corpus, measures, replaying, running
+from . import committing, corpus, measures, replaying, running, tokenized
 
-_PARTS = (committing, corpus, measures, replaying, running)
+_PARTS = (committing, corpus, measures, replaying, running, tokenized)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in _PARTS:
