@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import resolved, write_json_array  # noqa: F401
+from .ordered import write as write_ordered
+
 # Explicit schemas, as DDL: nothing is inferred.
 CORPUS = "index bigint, source string, target string, src_lang string, tgt_lang string, latency string, source_chunks array<string>, target_chunks array<string>, direction string"
 MATRICES = (
@@ -28,16 +31,43 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str = MATRICE
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
 
 
-def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """pos (from 0) and line of a text file; one task reads one file, as its lines are numbered."""
-    whole = spark.read.text(path, wholetext=True) if encoding == "utf-8" else spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
-    body = F.regexp_replace("value", "\r?\n$", "")
-    return whole.filter(F.length("value") > 0).select(F.posexplode(F.split(body, "\r?\n")).alias("pos", "line"))
+#: Characters that end a line for Python's splitlines, besides those that end one in a text file.
+OTHER_BREAKS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Encodings of several bytes a unit, in which a line feed may be half of a character.
+WIDE = ("utf-16", "utf-32")
+
+
+def _raw(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Lines as Spark's reader splits files: at \\n, \\r and \\r\\n, in splits of any size."""
+    if encoding.lower().startswith(WIDE):
+        raise ValueError(f"{encoding} can't be split by lines: convert it to UTF-8")
+    rows = spark.read.text(path)
+    own = F.col("value") if encoding.lower() == "utf-8" else F.decode(F.col("value").cast("binary"), encoding)
+    return rows.select(own.alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", breaks: str = "file") -> DataFrame:
+    """pos (from 0) and line of text files; more than one are read in the order of their paths.
+
+    The lines of each split are counted; where a split begins is a sum over those before it, a table of a row a split; within one,
+    lines are numbered as they come. No file is read as a whole, and no line is moved. With ``breaks`` "all", lines end where Python's
+    splitlines ends them too (a break at the very end of the last line opens an empty one).
+    """
+    rows = _raw(spark, path, encoding)
+    if breaks == "all":
+        rows = rows.select("_file", "_block", F.explode(F.split("line", OTHER_BREAKS, -1)).alias("line"))
+    elif breaks != "file":
+        raise ValueError("breaks: file or all")
+    rows = rows.withColumn("_k", F.monotonically_increasing_id())
+    splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    starts = splits.select("_file", "_block", (before - F.col("_first")).alias("_shift"))
+    return rows.join(starts, ["_file", "_block"]).select((F.col("_k") + F.col("_shift")).alias("pos"), "line")
 
 
 def parallel(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Line-aligned files; a difference in their numbers of lines is an error."""
-    a, b = lines(spark, source), lines(spark, target)
+    """Line-aligned files; a difference in their numbers of lines is an error. Lines end as for Python's splitlines."""
+    a, b = lines(spark, source, breaks="all"), lines(spark, target, breaks="all")
     both = a.withColumnRenamed("line", "source").join(b.withColumnRenamed("line", "target"), "pos", "full_outer")
     odd = F.raise_error(F.concat(F.lit("no partner for line "), F.col("pos").cast("string"))).cast("string")
     return both.select("pos", F.coalesce("source", odd).alias("source"), F.coalesce("target", odd).alias("target"))
@@ -45,13 +75,16 @@ def parallel(spark: SparkSession, source: str, target: str) -> DataFrame:
 
 def parallel_lenient(spark: SparkSession, source: str, target: str, limit: int | None = None) -> DataFrame:
     """Line-aligned files, stripped, without pairs of which a side is empty; the first ``limit`` of these."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "").alias(c)
     both = lines(spark, source).withColumnRenamed("line", "source").join(lines(spark, target).withColumnRenamed("line", "target"), "pos")
-    both = both.select("pos", F.trim("source").alias("source"), F.trim("target").alias("target")).filter("source <> '' AND target <> ''")
+    both = both.select("pos", bare("source"), bare("target")).filter("source <> '' AND target <> ''")
     return both if limit is None else both.orderBy("pos").limit(limit)
 
 
-def head_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
-    return lines(spark, path).filter(F.col("pos") < n).select("pos", F.trim("line").alias("line"))
+def head_lines(spark: SparkSession, path: str, n: int, encoding: str = "utf-8") -> DataFrame:
+    """The first ``n`` lines of a file, stripped, for samples: tasks are started until there are enough, the first split's first, and read no more. The lines pass through the driver."""
+    found = _raw(spark, path, encoding).select(F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line")).take(n)
+    return spark.createDataFrame([(k, r.line) for k, r in enumerate(found)], "pos long, line string")
 
 
 def index_set(spark: SparkSession, path: str) -> DataFrame:
@@ -97,11 +130,6 @@ def consistent(rows: DataFrame, source_ids: str, target_ids: str, n: str = "n",
     return rows.filter((F.size(source_ids) == F.col(n)) & (F.size(target_ids) == F.col(m)))
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One document with all rows, for tools that want it: for small results, since one task writes it."""
-    df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
 def write_partitioned(df: DataFrame, path: str, by: str = "direction") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
@@ -122,10 +150,10 @@ def completion(wanted: DataFrame, done: DataFrame, key: str = "index") -> DataFr
     return missing.select(F.when(F.col("missing") == 0, "DONE").otherwise("NEEDS_RESUME").alias("status"), "missing")
 
 
-def write_parallel(df: DataFrame, path: str) -> None:
-    """Line-aligned ``path``.src and ``path``.ref, in the order of pos."""
+def write_parallel(df: DataFrame, path: str, **options: object) -> None:
+    """Line-aligned ``path``.src and ``path``.ref, in the order of pos; line breaks within a text become spaces. Options as of ``ordered.write``."""
     for side, name in (("source", "src"), ("target", "ref")):
-        df.orderBy("pos").select(F.regexp_replace(side, "\r?\n", " ").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.{name}")
+        write_ordered(df.orderBy("pos").select(F.regexp_replace(side, "\r\n|[\r\n]|" + OTHER_BREAKS, " ").alias("value")), f"{path}.{name}", **options)
 
 
 # Pairs and scores from the tables.
