@@ -33,6 +33,8 @@ from .common import attach, written
 UNIT = 10**12
 #: The stream of the small sources: a name that no source's key has.
 SMALL = "small"
+#: More than there can be streams, which are one more than slots at most.
+PLACES = 1 << 16
 
 
 def _name(column: str = "source"):
@@ -80,18 +82,21 @@ def schedule(rows: DataFrame) -> DataFrame:
         by = div((n + 1) * F.col("total") + q - 1, q)
         return F.when(n < F.get("clip", i), F.least(F.col("slots"), by)).otherwise(by)
 
-    one = one.withColumn("length", F.array_max(F.transform("s", lambda x, i: due(x["need"] - 1, x["q"], i))))
+    one = written(one.withColumn("length", F.array_max(F.transform("s", lambda x, i: due(x["need"] - 1, x["q"], i)))), "streams")  # so that no slot computes them again
+
+    def window(n, q, i):
+        """The stream's next block, the slot of its release, and its deadline with the stream's place behind it."""
+        return F.struct(n.alias("n"), div(n * F.col("total"), q).alias("release"), (due(n, q, i) * PLACES + i).alias("key"))
 
     def step(state, t):
-        def window(q, i):
-            n = F.get(state["had"], i)
-            return F.struct((div(n * F.col("total"), q) > t).alias("early"), due(n, q, i).alias("due"), i.alias("i"))
+        def dealt(pick):
+            return F.struct(F.transform(state["next"], lambda x, i: F.when(i == pick, window(x["n"] + 1, F.get("q", i), i)).otherwise(x)).alias("next"), F.concat(state["picks"], F.array(pick)).alias("picks"))
 
-        pick = F.array_min(F.transform("q", window))["i"]
-        return F.struct(F.transform(state["had"], lambda n, i: F.when(i == pick, n + 1).otherwise(n)).alias("had"), F.concat(state["picks"], F.array(pick)).alias("picks"))
+        pick = F.array_min(F.transform(state["next"], lambda x: F.when(x["release"] > t, x["key"] + (1 << 62)).otherwise(x["key"]))) % PLACES
+        return F.get(F.transform(F.array(pick), dealt), F.lit(0))  # the pick is found once a slot, not once for each stream
 
-    empty = F.struct(F.transform("q", lambda _: F.lit(0).cast("long")).alias("had"), F.array().cast("array<int>").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), empty, step)["picks"]
+    empty = F.struct(F.transform("q", lambda q, i: window(F.lit(0).cast("long"), q, i)).alias("next"), F.array().cast("array<bigint>").alias("picks"))
+    picks = F.transform(F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), empty, step)["picks"], lambda i: i.cast("int"))
     flat = one.filter("length > 0").select("s", picks.alias("picks")).select("s", F.posexplode("picks").alias("slot", "i"))
     turn = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
     flat = flat.select(F.get("s", F.col("i"))["stream"].alias("stream"), turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), (F.get("s", F.col("i"))["need"] - 1 == turn).alias("last"))
@@ -111,6 +116,8 @@ def ranked(rows: DataFrame, by: str) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.7, slots: int = 4096, frame: int = 256, seed: str = "mix") -> DataFrame:
     """``docs`` with ``slot`` (of the block), ``position`` (its place in the mix) and ``epoch``, once for every time a document is given."""
+    if not 1 <= slots < PLACES:
+        raise ValueError(f"slots: 1 to {PLACES - 1}")
     docs = docs.drop("slot", "position", "epoch")
     columns = docs.columns
     sources = written(shares(docs, weights, alpha, slots), "sources")
@@ -122,7 +129,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.7,
 
     # Rows without an id are told apart by all their columns.
     own = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(*(F.col(c) for c in columns if c != "doc_id")).cast("string"), F.lit(""))
-    rows = docs.withColumn("_mix_source", _name()).withColumn("_mix_key", F.md5(F.concat(F.lit(seed + ":"), own).cast("binary")))
+    rows = docs.select(F.struct(*columns).alias("_mix_row"), "doc_id", _name().alias("_mix_source"), F.md5(F.concat(F.lit(seed + ":"), own).cast("binary")).alias("_mix_key"))
     rows = attach(ranked(rows, "_mix_source"), written(known, "sources"), ["_mix_source"])
     given, size, rank = F.col("_mix_given"), F.col("_mix_docs"), F.col("_mix_rank")
     again = lambda place, every, upto: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((upto - 1 - place) / every)))
@@ -141,4 +148,4 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.7,
     start = F.floor(F.col("slot") / F.lit(frame)) * frame
     width = F.least(F.lit(frame), F.col("_mix_length") - start)
     position = start * block + F.pmod(at, block) * width + F.col("slot") - start
-    return dealt.select(*columns, "slot", position.cast("long").alias("position"), "epoch")
+    return dealt.select("_mix_row.*", "slot", position.cast("long").alias("position"), "epoch")

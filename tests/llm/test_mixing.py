@@ -88,3 +88,18 @@ def test_clashing_names(spark, docs):
     assert sorted(got.columns) == sorted(rows.columns)
     kept = [c for c in rows.columns if c not in ("slot", "position", "epoch")]
     assert got.select(kept).distinct().exceptAll(rows.select(kept)).count() == 0 and dict(got.dtypes)["position"] == "bigint"
+
+
+def test_any_column_is_kept(spark, docs):
+    rows = docs(["a", "b", None]).selectExpr("*", "'u' AS _mix_source", "'v' AS _mix_key", "'w' AS _mix_row", "'x' AS stream", "9 AS slot")
+    got = M.mixed(rows)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_mix_source", "_mix_key", "_mix_row", "stream", "slot", "position", "epoch"]
+    assert {(r._mix_source, r._mix_key, r._mix_row, r.stream) for r in got.collect()} == {("u", "v", "w", "x")} and {r.slot for r in got.collect()} == {0, 1, 2}
+
+
+def test_many_sources_are_planned(spark):
+    """Windows of all of them hold, in a time that grows with slots times sources."""
+    n = 600
+    rows = spark.range(n).selectExpr("concat('=', id) AS stream", "1L AS q", f"{n}L AS total", "2L AS need", "2L AS docs", f"{n}L AS slots")
+    got = M.schedule(rows).collect()
+    assert sorted(r.slot for r in got) == list(range(2 * n)) and all(r.turn * n <= r.slot < (r.turn + 1) * n for r in got)
