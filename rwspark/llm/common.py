@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -73,6 +73,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """``names`` of columns to carry along, each with ``kept_`` in front for as long as the result has a column of that name (in any case) or an earlier one was given it."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "kept_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(col: str | Column) -> Column:
     """The UTF-8 bytes of a text column, empty for null."""
     col = F.col(col) if isinstance(col, str) else col

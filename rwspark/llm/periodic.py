@@ -11,8 +11,7 @@ already explains is neither searched nor extended. Documents are independent; th
 again alone. A document of any length is read as a whole.
 
 Null and empty texts have no words and no runs. Repeated rows are judged alike, each on its own. A null id is kept. An empty
-table gives an empty table. ``keep`` columns go through unread; a name that the result needs for itself (``RESULT``) raises
-ValueError.
+table gives an empty table. ``keep`` columns go through unread; one that has a name of the result has ``kept_`` put in front.
 """
 
 from __future__ import annotations
@@ -20,8 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_batch, utf8
+from .common import free_names, per_batch, utf8
 
 RESULT = {"n_words": "bigint", "runs": "array<struct<start:bigint,length:bigint,period:bigint>>", "collapsed": "string"}
 
@@ -134,11 +134,8 @@ def collapsed(words: list[bytes], found: list[tuple[int, int, int]]) -> bytes:
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: int = 12) -> DataFrame:
     """Of each document: id, ``keep`` columns, n_words, runs by start and period (word numbers from 0), and the collapsed text."""
-    names = (id_col, *keep)
-    if clash := {x.lower() for x in names} & set(RESULT):
-        raise ValueError(f"columns of the result: {sorted(clash)}")
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} {t}" for c, t in RESULT.items()])
+    names, types = free_names((id_col, *keep), RESULT), dict(docs.dtypes)
+    schema = ", ".join([f"`{n}` {types[c]}" for n, c in zip(names, (id_col, *keep))] + [f"{c} {t}" for c, t in RESULT.items()])
 
     def make(batch: pa.RecordBatch) -> list:
         n_words, all_runs, texts = [], [], []
@@ -152,4 +149,4 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             texts.append(collapsed(words, found).decode())
         return [*batch.columns[: len(names)], n_words, all_runs, texts]
 
-    return per_batch(docs.select(*names, utf8(text_col)), schema, make)
+    return per_batch(docs.select(*(F.col(c).alias(n) for n, c in zip(names, (id_col, *keep))), utf8(text_col)), schema, make)

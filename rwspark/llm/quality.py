@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, attach, written
+from .common import WHITE, attach, free_names, written
 
 P = 4
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -223,6 +223,8 @@ def judged(stats: DataFrame, tail: float = TAIL, share: float = 0.75, steps: int
 
 
 def rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """``keep`` columns of each row, the counts, base_failed, distance and kept."""
-    stats = written(statistics(docs, tuple(dict.fromkeys([*keep, "lang", "source"]))), "statistics")
-    return judged(stats, **options).select(*keep, *NAMES, "n_lines", "base_failed", "distance", "kept")
+    """``keep`` columns of each row, the counts, base_failed, distance and kept. A kept column that has a name of the result has ``kept_`` put in front; all other names are free."""
+    names = free_names(keep, (*NAMES, "n_lines", "base_failed", "distance", "kept"))
+    rows = docs.select(F.struct(*(F.col(c).alias(n) for n, c in zip(names, keep))).alias("_row"), "lang", "source", "text")
+    stats = written(statistics(rows, ("_row", "lang", "source")), "statistics")
+    return judged(stats, **options).select("_row.*", *NAMES, "n_lines", "base_failed", "distance", "kept")

@@ -98,5 +98,5 @@ def test_edges(spark, docs, edge_texts):
     assert len(got) == len(edge_texts) and got[0].runs == [] and got[0].collapsed == "" and got[0].n == "clash"
     assert [tuple(x) for x in got[5].runs] == [(0, 40_000, 1)] and got[5].collapsed == "word"
     assert P.detected(docs([])).count() == 0
-    with pytest.raises(ValueError, match="runs"):
-        P.detected(docs(["a"]).withColumnRenamed("lang", "Runs"), keep=("Runs",))
+    clash = P.detected(docs(["a b"]).withColumnRenamed("lang", "Runs").withColumnRenamed("source", "kept_runs"), keep=("Runs", "kept_runs", "n_chars"))
+    assert clash.columns == ["doc_id", "kept_Runs", "kept_kept_runs", "n_chars", "n_words", "runs", "collapsed"] and clash.first().kept_Runs == "en"

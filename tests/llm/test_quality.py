@@ -125,3 +125,9 @@ def test_edges(docs, edge_texts):
     assert Q.rules(docs([])).count() == 0
     one = " ".join(f"w{i}" for i in range(60))
     assert [r.kept for r in Q.rules(docs([one] * 3)).collect()] == [True] * 3
+
+
+def test_any_column_is_kept(spark, docs):
+    rows = docs(["some words " * 40, None]).selectExpr("*", "'a' AS g", "'b' AS x0", "'c' AS _words", "'d' AS kept", "'e' AS count", "'f' AS d2", "'g' AS _l")
+    got = Q.rules(rows, keep=("doc_id", "g", "x0", "_words", "kept", "count", "d2", "_l", "lang")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.g, r.x0, r._words, r.kept_kept, r["count"], r.d2, r._l, r.lang) for r in got] == [(k, "a", "b", "c", "d", "e", "f", "g", "en") for k in (0, 1)]
