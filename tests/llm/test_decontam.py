@@ -55,3 +55,23 @@ def test_verdict_and_edges(spark, docs):
     assert D.occurrences(docs([]), bench).count() == 0
     none = D.judged(D.occurrences(docs(texts), bench.limit(0))).collect()
     assert len(none) == 4 and not any(r.contaminated for r in none)
+
+
+def test_items_without_an_id(spark, docs):
+    bench = spark.createDataFrame([(None, "beta gamma"), ("x", "delta"), (None, "beta gamma")], "item_id string, text string")
+    for most in (32 << 20, 8):
+        (r,) = D.occurrences(docs(["alpha beta gamma delta"]), bench, most_bytes=most).collect()
+        assert (r.n_words, r.n_hit, r["items"]) == (4, 3, ["x"])
+
+
+def test_any_column_is_kept(spark, docs):
+    rows = docs(["one two"]).selectExpr("doc_id AS items", "text", "lang AS Spans", "source AS _searched", "n_chars AS kept_items")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    (r,) = D.occurrences(rows, bench, id_col="items", keep=("Spans", "_searched", "kept_items")).collect()
+    assert (r.kept_items, r.kept_Spans, r.kept__searched, r.kept_kept_items, r["items"], r.spans) == (0, "en", "s", 7, ["1"], [0, 2])
+
+
+def test_very_long_text(spark, docs):
+    bench = spark.createDataFrame([(1, "needle " * 13)], "item_id long, text string")
+    (r,) = D.occurrences(docs(["hay " * 200_000 + "needle " * 13 + "stack" * 50_000]), bench).collect()
+    assert (r.n_words, r.n_hit, r["items"]) == (200_014, 13, ["1"])
