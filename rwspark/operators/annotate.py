@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rwspark import functions as R
 from rwspark import sources
 
-from . import commit, transport
+from . import commit, criteria, transport
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -60,14 +60,54 @@ def prefix_scorer(tokens: DataFrame, criterion: str = "js") -> DataFrame:
     return rows.select("id", "n", "m", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.col(criterion).alias("d"))
 
 
-def external(score: Callable[[list[str], list[str]], list[list[float]]]) -> Scorer:
-    """A scorer from a function of source and target words that gives the matrix of a pair, a row for each prefix."""
+#: What a model gives: for equally many lists of source and target words, of each target the distributions over the vocabulary at its places, a row each.
+Model = Callable[[list[list[str]], list[list[str]]], list[np.ndarray]]
+
+
+def scored(sources_: list[list[str]], targets: list[list[str]], model: Model, divergence: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 32) -> list[np.ndarray]:
+    """Of each pair the divergences from the whole source, a row for each prefix.
+
+    Prefixes of many pairs are bucketed by their length, and a bucket of at most ``most`` is one call of the model; the whole sources come
+    first, and no other distributions are held than theirs and a bucket's.
+    """
+    found = [np.zeros((len(s), len(t))) for s, t in zip(sources_, targets)]
+    whole: dict[int, np.ndarray] = {}
+    for last in (True, False):
+        buckets: dict[int, list[int]] = {}
+        for k, s in enumerate(sources_):
+            for i in ([len(s)] if last else range(1, len(s))):
+                buckets.setdefault(i, []).append(k)
+        for i, members in sorted(buckets.items()):
+            for at in range(0, len(members), most):
+                own = members[at : at + most]
+                given = model([sources_[k][:i] for k in own], [targets[k] for k in own])
+                if last:
+                    whole.update(zip(own, given))
+                sizes = np.cumsum([len(targets[k]) for k in own])[:-1]
+                values = divergence(np.concatenate(given), np.concatenate([whole[k] for k in own]))
+                for k, row in zip(own, np.split(values, sizes)):
+                    found[k][i - 1] = row
+    return found
+
+
+def external(model: Model, criterion: str = "js", pairs: int = 64, most: int = 32, vectors: np.ndarray | None = None, **options) -> Scorer:
+    """A scorer from a model: the ``criterion`` (of ``criteria``) between what it expects after a prefix and after the whole source.
+
+    ``pairs`` are scored together, in calls of at most ``most`` prefixes. ``vectors`` and ``options`` are those of ot.
+    """
+    own = criteria.named(criterion)
+    extra = ((vectors,), options) if criterion == "ot" else ((), {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples():
-                matrix = score(list(row.s), list(row.t))
-                yield pd.DataFrame([(row.id, row.n, row.m, i, j, d) for i, line in enumerate(matrix, 1) for j, d in enumerate(line)], columns=["id", "n", "m", "i", "j", "d"])
+            for at in range(0, len(frame), pairs):
+                part = frame.iloc[at : at + pairs]
+                s, t = ([list(x) for x in part[c]] for c in "st")
+                found = scored(s, t, model, lambda p, q: own(p, q, *extra[0], **extra[1]), most)
+                cells = [x.size for x in found]
+                i, j = (np.concatenate([np.indices(x.shape)[axis].ravel() for x in found]) for axis in (0, 1))
+                columns = {c: np.repeat(part[c].to_numpy(), cells) for c in ("id", "n", "m")}
+                yield pd.DataFrame(columns | {"i": i + 1, "j": j, "d": np.concatenate([x.ravel() for x in found])})
 
     return lambda tokens: tokens.select("id", "s", "t", "n", "m").mapInPandas(run, "id long, n int, m int, i int, j int, d double")
 

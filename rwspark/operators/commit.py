@@ -112,18 +112,34 @@ def rounded_quantile(p: float):
     return lambda n: F.bround(F.lit(p) * (n - 1))
 
 
+def _bar(value: Column) -> Column:
+    """The bar of a histogram that a value falls into, by ascending values: bars of 1/4096 of the value's size, so there is a fixed number of them."""
+    return F.floor(F.asinh(value.cast("double") * 1e6) * 4096)
+
+
 def order_statistics(rows: DataFrame, by: list[str], value: str, **ranks) -> DataFrame:
     """``by`` and, under each name, the finite value at a rank: a function of the group's count, as those above.
 
-    Equal values are counted before the shuffle, and a running count in sorted order finds the ranks: no group is collected.
+    Equal values are counted before the shuffle. Sums over the bars of a group's histogram tell which bar holds a rank, and only values
+    of such bars are put in order, each bar on its own: no task has all values of a group. A group without finite values has no row.
     """
     some = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = some.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = some.groupBy(*by, value).agg(F.count("*").alias("_c")).withColumn("_b", _bar(F.col(value)))
+    bars = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_h"))
     w = Window.partitionBy(*by)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = counts.withColumn("_to", upto).withColumn("_n", F.sum("_c").over(w))
-    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col(value)))
-    return counts.groupBy(*by).agg(*(at(rank(F.col("_n"))).alias(name) for name, rank in ranks.items()))
+    running = lambda c, v, key: F.sum(c).over(v.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c)
+    bars = bars.withColumn("_under", running("_h", w, "_b")).withColumn("_n", F.sum("_h").over(w))
+    holds = lambda rank, low, size: (F.col(low) <= rank(F.col("_n"))) & (rank(F.col("_n")) < F.col(low) + F.col(size))
+    held = F.lit(False)
+    for rank in ranks.values():
+        held = held | holds(rank, "_under", "_h")
+    keys = [*by, "_b"]
+    bars = bars.filter(held).select(*(F.col(c).alias(f"_of_{c}") for c in keys), "_under", "_n")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    inner = counts.join(bars, same).withColumn("_low", F.col("_under") + running("_c", Window.partitionBy(*keys), value))
+    return inner.groupBy(*by).agg(*(F.max(F.when(holds(rank, "_low", "_c"), F.col(value))).alias(name) for name, rank in ranks.items()))
 
 
 def bin_for(pearson: Column, high: float = 0.90, low: float = 0.70) -> Column:

@@ -1,6 +1,8 @@
-"""Entropic optimal transport between next-token distributions on the union of their largest entries: log-domain Sinkhorn, in Arrow batches.
+"""Entropic optimal transport between next-token distributions on the union of their largest entries: Sinkhorn's scaling, in Arrow batches.
 
-The cost is one less the cosine of the entries' vectors; the result is the transport cost without the entropy term.
+The cost is one less the cosine of the entries' vectors; the result is the transport cost without the entropy term. The kernel's
+exponentials are computed once; scalings that grow large are taken into it (absorbed), so small ``eps`` doesn't overflow, and the
+rounds end when the marginals are met.
 """
 
 from __future__ import annotations
@@ -11,11 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0.0)
-    return np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top
+TINY, FAR = 1e-290, 1e60
 
 
 def support(p: np.ndarray, k: int) -> np.ndarray:
@@ -23,36 +21,51 @@ def support(p: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((np.arange(len(p)), -p))[:k]
 
 
+def supports(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of p and q the union of both supports, each position once, padded to the longest; and which places are no padding."""
+    if p.shape[1] <= k:
+        at = np.broadcast_to(np.arange(p.shape[1]), p.shape)
+        return at, np.ones(at.shape, bool)
+    rows = [np.unique(np.concatenate((support(x, k), support(y, k)))) for x, y in zip(p, q)]
+    real = np.arange(max(map(len, rows)))[None, :] < np.array([len(r) for r in rows])[:, None]
+    at = np.zeros(real.shape, int)
+    at[real] = np.concatenate(rows)
+    return at, real
+
+
 def _cost(vectors: np.ndarray) -> np.ndarray:
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-12)
     return np.maximum(1.0 - unit @ np.swapaxes(unit, -1, -2), 0.0)
 
 
 def single(p: np.ndarray, q: np.ndarray, vectors: np.ndarray, k: int = 128, eps: float = 0.05, rounds: int = 200) -> float:
-    at = np.unique(np.concatenate((support(p, k), support(q, k))))
-    return float(batched(np.array([p]), np.array([q]), vectors, k, eps, rounds, at[None, :])[0])
-
-
-def batched(p: np.ndarray, q: np.ndarray, vectors: np.ndarray, k: int = 128, eps: float = 0.05, rounds: int = 200, at: np.ndarray | None = None) -> np.ndarray:
-    """Costs of rows of p and q. Supports are padded to 2k positions; a position that comes again has no mass."""
-    if at is None:
-        at = np.stack([np.concatenate((support(x, k), support(y, k))) for x, y in zip(p, q)])
-    first = np.ones(at.shape, bool)
-    for row, mask in zip(at, first):
-        mask[:] = False
-        mask[np.unique(row, return_index=True)[1]] = True
-    a = np.where(first, np.take_along_axis(p, at, 1), 0.0)
-    b = np.where(first, np.take_along_axis(q, at, 1), 0.0)
+    return float(batched(np.array([p]), np.array([q]), vectors, k, eps, rounds)[0])
+
+
+def batched(p: np.ndarray, q: np.ndarray, vectors: np.ndarray, k: int = 128, eps: float = 0.05, rounds: int = 200, close: float = 1e-9) -> np.ndarray:
+    """Costs of rows of p and q. ``close``: the rounds end when no row's marginal is further off, in all."""
+    at, real = supports(p, q, k)
+    a, b = (np.where(real, np.take_along_axis(x, at, 1), 0.0) for x in (p, q))
     a, b = a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-    cost = _cost(vectors[at])
-    with np.errstate(divide="ignore"):
-        la, lb = np.log(a), np.log(b)
-    kernel = -cost / eps
-    f, g = np.zeros_like(a), np.zeros_like(b)
-    for _ in range(rounds):
-        f = np.where(a > 0, la - _lse(kernel + g[:, None, :], 2)[:, :, 0], -np.inf)
-        g = np.where(b > 0, lb - _lse(kernel + f[:, :, None], 1)[:, 0, :], -np.inf)
-    return (np.exp(kernel + f[:, :, None] + g[:, None, :]) * cost).sum((1, 2))
+    cost = _cost(vectors[at[:1]] if p.shape[1] <= k else vectors[at])  # one for all rows where all have the whole vocabulary
+    f, g = np.broadcast_to(cost.min(2), a.shape).copy(), np.zeros_like(a)
+    kernel = np.exp((cost.min(2)[:, :, None] - cost) / eps)
+    u, v = np.ones_like(a), np.ones_like(b)
+
+    def times(x: np.ndarray, turned: bool = False) -> np.ndarray:
+        own = np.swapaxes(kernel, 1, 2) if turned else kernel
+        return x @ own[0].T if len(own) == 1 else (own @ x[:, :, None])[:, :, 0]
+
+    for n in range(rounds):
+        u = a / np.maximum(times(v), TINY)
+        v = b / np.maximum(times(u, True), TINY)
+        if max(u.max(), v.max()) > FAR:
+            f, g = f + eps * np.log(np.where(u > 0, u, 1.0)), g + eps * np.log(np.where(v > 0, v, 1.0))
+            kernel = np.exp(np.minimum((f[:, :, None] + g[:, None, :] - cost) / eps, 600.0))
+            u, v = (u > 0).astype(float), (v > 0).astype(float)
+        if n % 10 == 9 and np.abs(u * times(v) - a).sum(1).max() < close:
+            break
+    return ((u[:, :, None] * v[:, None, :]) * kernel * cost).sum((1, 2))
 
 
 def costs(pairs: DataFrame, vectors: np.ndarray, k: int = 128, eps: float = 0.05, rounds: int = 200) -> DataFrame:

@@ -410,9 +410,29 @@ def count_by_key(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query()
+def _13a(text: str) -> str:
+    for name, mark in (("<skipped>", ""), ("-' || chr(10) || '", ""), ("' || chr(10) || '", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{name}', '{mark}')"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"regexp_extract_all({text}, '\\S+')"
+
+
+_BLEU = o.PAIRS + f""",
+sides AS (SELECT id, {_13a("array_to_string(list_filter(string_split(target, ' '), lambda w, i: (i - 1) % 10 <> 9), ' ')")} AS hyp, {_13a("target")} AS ref FROM pairs),
+grams AS (SELECT id, n, array_to_string(hyp[i : i + n - 1], ' ') AS gram, 1 AS h, 0 AS r FROM sides, range(1, 5) x(n), LATERAL (SELECT unnest(range(1, len(hyp) - n + 2)) AS i)
+  UNION ALL SELECT id, n, array_to_string(ref[i : i + n - 1], ' '), 0, 1 FROM sides, range(1, 5) x(n), LATERAL (SELECT unnest(range(1, len(ref) - n + 2)) AS i)),
+clipped AS (SELECT id, n, gram, sum(h) AS h, least(sum(h), sum(r)) AS hit FROM grams GROUP BY id, n, gram),
+counts AS (SELECT n, sum(h)::BIGINT AS total, sum(hit)::BIGINT AS hit FROM clipped GROUP BY n),
+lens AS (SELECT sum(len(hyp))::BIGINT AS hyp_len, sum(len(ref))::BIGINT AS ref_len, least(1e0, exp(1e0 - sum(len(ref))::DOUBLE / sum(len(hyp)))) AS b FROM sides)
+SELECT round(100 * b * exp(l), 6) AS bleu, round(b, 6) AS brevity, hyp_len, ref_len, hits, totals
+FROM lens, (SELECT avg(ln(hit::DOUBLE / total)) AS l, string_agg(hit::VARCHAR, ' ' ORDER BY n) AS hits, string_agg(total::VARCHAR, ' ' ORDER BY n) AS totals FROM counts)"""
+
+
+@query(_BLEU)
 def bleu(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns against a copy that lacks every tenth word."""
     rows = sources.pairs(spark, d).select("id", F.col("target").alias("ref"))
     kept = F.filter(F.split("ref", " "), lambda w, i: i % 10 != 9)
-    return bleu_op.corpus(rows.withColumn("hyp", F.array_join(kept, " "))).withColumn("bleu", F.round("bleu", 6)).withColumn("brevity", F.round("brevity", 6))
+    found = bleu_op.corpus(rows.withColumn("hyp", F.array_join(kept, " ")))
+    return found.select(F.round("bleu", 6).alias("bleu"), F.round("brevity", 6).alias("brevity"), "hyp_len", "ref_len", F.array_join("hits", " ").alias("hits"), F.array_join("totals", " ").alias("totals"))

@@ -59,6 +59,13 @@ def annotate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "n", "m", "chunks", "sum_commit", F.array_join("source_chunks", "|").alias("source_chunks"))
 
 
+@query()
+def annotate_transport(spark: SparkSession, d: str) -> DataFrame:
+    """As annotate_pairs, by the transport cost between the distributions."""
+    rows = annotation.annotate(sources.token_pairs(spark, d), "prefix", tau=0.05, criterion="ot")
+    return rows.select("id", "n", "m", "chunks", "sum_commit", F.array_join("source_chunks", "|").alias("source_chunks"))
+
+
 @query(_WITH_LATENCY + """ SELECT latency, count(*) AS rows, round(avg(k), 6) AS chunks, round(avg(k::DOUBLE / list_sum(sizes)), 6) AS chunks_per_word, count(*) FILTER (k = 1) AS single FROM rows GROUP BY latency""")
 def latency_diag(spark: SparkSession, d: str) -> DataFrame:
     words = F.aggregate("sizes", F.lit(0), lambda s, x: s + x)

@@ -216,7 +216,7 @@ def test_labels_and_padding(spark):
 def test_annotation_invariants(spark):
     words = "a b c, d e f. g h".split()
     tokens = spark.createDataFrame([(1, words, words, 8, 8)], "id long, s array<string>, t array<string>, n int, m int")
-    for scorer in ("hash", "prefix", annotate.external(lambda s, t: [[1 - i / len(s)] * len(t) for i in range(1, len(s) + 1)])):
+    for scorer in ("hash", "prefix", annotate.external(lambda s, t: [np.tile([1 - len(x) / 9, len(x) / 9], (len(y), 1)) for x, y in zip(s, t)])):
         row = annotate.annotate(tokens, scorer, 0.3).first()
         assert len(row.source_chunks) == len(row.target_chunks) >= 1
         assert " ".join(row.source_chunks).split() == words == " ".join(row.target_chunks).split()
@@ -255,3 +255,70 @@ def test_base_and_consistent_rows(spark):
     assert sorted(r.k for r in sources.base_rows(rows).collect()) == [2, 3, 4]
     rows = spark.createDataFrame([(1, [1, 2], [3], 2, 1), (2, [1], [3], 2, 1), (3, [], [], 0, 0), (4, None, [1], 1, 1)], "k int, s array<int>, t array<int>, n int, m int")
     assert sorted(r.k for r in sources.consistent(rows, "s", "t").collect()) == [1, 3]
+
+
+def test_order_statistics_are_those_of_sorted_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 700), (None, 50)) for v in np.concatenate((rng.normal(0.95, 0.01, n), rng.choice([0.0, -1e300, 1e-9, 5.0, 5.0], n)))]
+    rows += [("a", None), ("a", math.nan), ("none", math.nan), ("c", math.inf), ("c", -math.inf)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in commit.order_statistics(frame, ["g"], "v", lo=commit.lower_median, hi=commit.upper_median, q=commit.index_quantile(0.9), r=commit.rounded_quantile(0.25)).collect()}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g and x is not None and not math.isnan(x))
+        n = len(v)
+        assert (got[g].lo, got[g].hi, got[g].q, got[g].r) == (v[(n - 1) // 2], v[n // 2], v[int(n * 0.9)], v[round(0.25 * (n - 1))])
+    assert "none" not in got
+    counts = spark.range(1001).select(F.lit(1).alias("g"), (F.col("id") % 10).alias("v"))
+    assert commit.order_statistics(counts, ["g"], "v", hi=commit.upper_median).first().hi == 4
+
+
+def test_transport_of_small_eps_and_few_places():
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(6, 3))
+    p, q = rng.dirichlet([1] * 6, 4), rng.dirichlet([1] * 6, 4)
+    assert np.abs(transport.batched(p, p, vectors, eps=0.001, rounds=3000)).max() < 1e-3
+    sharp, soft = transport.batched(p, q, vectors, eps=0.002, rounds=20_000), transport.batched(p, q, vectors, eps=0.05, rounds=2_000)
+    assert np.isfinite(sharp).all() and (sharp <= soft + 1e-6).all()
+    point = np.eye(6)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert np.allclose(transport.batched(point[:3], point[3:], vectors), [1 - unit[k] @ unit[k + 3] for k in range(3)], atol=1e-6)
+
+
+def test_criteria_share_an_interface(spark):
+    from rwspark.operators import criteria
+
+    rng = np.random.default_rng(2)
+    p, q, vectors = rng.dirichlet([0.3] * 7, 9), rng.dirichlet([0.3] * 7, 9), rng.normal(size=(7, 4))
+    rows = spark.createDataFrame([(k, p[k].tolist(), q[k].tolist()) for k in range(9)], "id int, p array<double>, q array<double>")
+    for name in criteria.ARRAYS:
+        extra = {"vectors": vectors} if name == "ot" else {}
+        got = [r.d for r in criteria.between(rows, name, **extra).orderBy("id").collect()]
+        assert np.allclose(got, criteria.named(name)(p, q, **extra), atol=1e-9)
+    for bad in (lambda: criteria.named("l2"), lambda: criteria.between(rows, "ot")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_batched_scores_are_those_of_single_calls():
+    rng, calls = np.random.default_rng(3), []
+
+    def model(s, t):
+        calls.append([len(x) for x in s])
+        return [np.array([np.random.default_rng(len(x) * 100 + j).dirichlet([1] * 5) for j in range(len(y))]) for x, y in zip(s, t)]
+
+    s = [["w"] * int(n) for n in rng.integers(1, 9, 30)]
+    t = [["v"] * int(n) for n in rng.integers(1, 6, 30)]
+    from rwspark.operators import criteria
+
+    got = annotate.scored(s, t, model, criteria.js, most=4)
+    assert all(len(set(c)) == 1 and len(c) <= 4 for c in calls) and sum(map(len, calls)) == sum(map(len, s))
+    for x, y, d in zip(s, t, got):
+        whole = model([x], [y])[0]
+        assert np.allclose(d, [criteria.js(model([x[: i + 1]], [y])[0], whole) for i in range(len(x))])
+
+
+def test_bleu_decodes_references(spark):
+    rows = spark.createDataFrame([(1, "a &quot;b&quot; &amp;lt; c", 'a "b" &lt; c'), (2, None, "x"), (3, "", "y")], "id long, hyp string, ref string")
+    got = rows.select("id", bleu.tokens(F.col("hyp")).alias("h"), bleu.tokens(F.col("ref")).alias("r")).orderBy("id").collect()
+    assert got[0].h == ["a", '"', "b", '"', "<", "c"] and got[0].r == ["a", '"', "b", '"', "<", "c"] and got[1].h is None and got[2].h == []
+    assert bleu.corpus(rows.filter("id <> 2")).first().hits == [6, 5, 4, 3]
