@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rwspark import functions as R
 from rwspark import sources
 from rwspark.operators import cache, commit, latency, replay
+from rwspark.streaming import writes
 
 from . import oracle as o
 from .committing import _GATE, TAUS, _want, reference
@@ -52,6 +53,26 @@ def write_termination(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "at", "commit", F.size("ids").alias("n_ids"), "ended", "cap_hit")
 
 
+# Recorded writes: from the place in the target that is as far on as the read, word by word; a full stop ends the sentence, a comma the write.
+_RECORDED = _WAIT + """, ws AS (SELECT steps.id, k, commit, t[((commit - 1) * steps.m // steps.n) + 1 : ((commit - 1) * steps.m // steps.n) + 40] AS ws FROM steps JOIN tokens ON steps.id = tokens.id),
+ends AS (SELECT *, coalesce(list_position(list_transform(ws, lambda w: regexp_matches(w, '[.,]$')), true), 0) AS p FROM ws)
+SELECT id, k::INT AS at, commit::INT AS commit, CASE WHEN p > 0 THEN p - 1 ELSE len(ws) END::INT AS n_ids, CASE WHEN p > 0 THEN CASE WHEN ws[p] LIKE '%.' THEN 'eos' ELSE 'eow' END END AS ended, p = 0 AND len(ws) >= 40 AS cap_hit, false AS timed_out FROM ends"""
+
+
+def recorded(target: Column, i: Column, n: Column, m: Column, length: int = 48) -> Column:
+    """Ids that a write after source word ``i`` of ``n`` would give."""
+    start = F.floor((i - 1) * m / n).cast("int")
+    return F.transform(F.slice(target, start + 1, length), lambda w: F.when(w.endswith("."), 1).when(w.endswith(","), R.SPECIAL_IDS["eow"]).otherwise(R.word_id(w)))
+
+
+@query(_RECORDED)
+def stream_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Reads and writes of wait-3 as a stream with keyed state, over recorded ids."""
+    reads = sources.token_pairs(spark, d).select("id", "n", "m", "t", F.posexplode("s").alias("p", "w")).withColumn("i", F.col("p") + 1)
+    reads = reads.select("id", "n", "i", latency.policy("wait_k", k=3).alias("fires"), recorded(F.col("t"), F.col("i"), F.col("n"), F.col("m")).alias("ids"), writes.arrival().alias("ts"))
+    return writes.replayed(reads).select("id", "at", "commit", F.size("ids").alias("n_ids"), "ended", "cap_hit", "timed_out")
+
+
 @query(_WRITES + " SELECT id, count(*) AS chunks, sum(n_ids)::BIGINT AS n_ids, count(*) FILTER (cap_hit) AS write_cap_hits FROM wrote GROUP BY id")
 def write_cap_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = replay.replayed(_reads(spark, d), stream())

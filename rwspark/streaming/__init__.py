@@ -16,8 +16,11 @@ STATE = "read int, commits int, last int, waiting array<struct<i: int, fires: bo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rwspark-")).rstrip("/")
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where it is unset a local one on a local master (tests), else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or "file://" + tempfile.mkdtemp(prefix="rwspark-")).rstrip("/")
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
