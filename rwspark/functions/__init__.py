@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def is_cjk(lang: Column) -> Column:
     return F.lower(lang).isin(*CJK)
 
 
+def joint(lang: Column) -> Column:
+    """What stands between the words of a language."""
+    return F.when(is_cjk(lang), "").otherwise(" ")
+
+
 def word_count(text: Column, lang: Column) -> Column:
     """Words, or characters that are no white space where a language has no spaces."""
     return F.when(is_cjk(lang), F.length(F.regexp_replace(text, r"\s", ""))).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))).cast("long")
@@ -271,6 +278,21 @@ def cosine_cost(x: Column, y: Column) -> Column:
     return F.greatest(1.0 - dot(x, y) / (norm(x) * norm(y)), F.lit(0.0))
 
 
+def cosine(x: Column, y: Column) -> Column:
+    norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(EPS))
+    return dot(x, y) / (norm(x) * norm(y))
+
+
+def cross_entropy(logits: Column, label: Column) -> Column:
+    """Of a position's logits, for the id that comes there; null for an id beyond them."""
+    return bound(F.array_max(logits), lambda top: F.log(total(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.get(logits, label))
+
+
+def gaussian(a: Column, b: Column) -> Column:
+    """A normal number from two in [0, 1), multiples of 2^-32."""
+    return F.sqrt(-2 * F.log(a + F.lit(2.0**-33))) * F.cos(2 * math.pi * b)
+
+
 def distance(x: Column, y: Column) -> Column:
     return F.sqrt(total(F.zip_with(x, y, lambda a, b: (a - b) * (a - b))))
 

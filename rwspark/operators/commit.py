@@ -181,9 +181,12 @@ def chunked(trace: DataFrame, tokens: DataFrame, boundaries: DataFrame | None =
     return ends.withColumn("stop", F.when(F.lead("stop").over(v).isNull(), F.col("n")).otherwise(F.col("stop"))).select("id", F.col("chunk").cast("int").alias("chunk"), "start", "stop", "first", "last")
 
 
-def texts(chunks: DataFrame, tokens: DataFrame, sep: str = " ") -> DataFrame:
-    """id, source_chunks and target_chunks of each pair."""
-    rows = chunks.join(tokens.select("id", "s", "t"), "id")
-    one = F.struct("chunk", F.array_join(F.slice("s", F.col("start") + 1, F.col("stop") - F.col("start")), sep).alias("src"), F.array_join(F.slice("t", F.col("first") + 1, F.col("last") - F.col("first") + 1), sep).alias("tgt"))
+def texts(chunks: DataFrame, tokens: DataFrame, sep: str | Column = " ", target_sep: str | Column | None = None) -> DataFrame:
+    """id, source_chunks and target_chunks of each pair. What joins words may differ by side, and by row: columns of ``tokens`` (as ``functions.joint`` of its language)."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    sides = tokens.select("id", "s", "t", text(sep).alias("_s"), text(sep if target_sep is None else target_sep).alias("_t"))
+    rows = chunks.join(sides, "id")
+    join = lambda side, start, n, by: F.call_function("array_join", F.slice(side, start + 1, n), F.col(by))
+    one = F.struct("chunk", join("s", F.col("start"), F.col("stop") - F.col("start"), "_s").alias("src"), join("t", F.col("first"), F.col("last") - F.col("first") + 1, "_t").alias("tgt"))
     rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("c"))
     return rows.select("id", F.col("c.src").alias("source_chunks"), F.col("c.tgt").alias("target_chunks"))

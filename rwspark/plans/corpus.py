@@ -73,6 +73,31 @@ def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", F.array_join("source_chunks", "|").alias("source_chunks"), F.array_join("target_chunks", "|").alias("target_chunks"))
 
 
+@query(_SNAP + """ SELECT id, string_agg(CASE WHEN id % 3 = 0 THEN array_to_string(s[start + 1 : stop], '') ELSE array_to_string(s[start + 1 : stop], ' ') END, '|' ORDER BY chunk) AS source_chunks,
+  string_agg(CASE WHEN id % 2 = 0 THEN array_to_string(t[first + 1 : last + 1], '') ELSE array_to_string(t[first + 1 : last + 1], ' ') END, '|' ORDER BY chunk) AS target_chunks FROM chunks JOIN tokens USING (id) GROUP BY id""")
+def chunk_texts_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of either side joined as its language is written; every third source and every other target count as Chinese."""
+    chunks, tokens = _chunks(spark, d)
+    lang = lambda k: F.when(F.col("id") % k == 0, "zh").otherwise("en")
+    rows = commit.texts(chunks, tokens.withColumn("src_lang", lang(3)).withColumn("tgt_lang", lang(2)), R.joint(F.col("src_lang")), R.joint(F.col("tgt_lang")))
+    return rows.select("id", F.array_join("source_chunks", "|").alias("source_chunks"), F.array_join("target_chunks", "|").alias("target_chunks"))
+
+
+@query(o.PAIRS + r""" SELECT id FROM pairs WHERE len(regexp_extract_all(source, '\S+')) = len(regexp_extract_all(source, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))
+  AND len(regexp_extract_all(target, '\S+')) = len(regexp_extract_all(target, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))""")
+def token_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose texts give as many tokens as were recorded (here their words)."""
+    rows = sources.pairs(spark, d).select("id", F.size(sources.words("source")).alias("n"), F.size(sources.words("target")).alias("m"), R.pieces(F.col("source")).alias("x"), R.pieces(F.col("target")).alias("y"))
+    return sources.consistent(rows, "x", "y").select("id")
+
+
+@query(o.PAIRS + " SELECT id FROM pairs WHERE id % 3 <> 0")
+def base_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are no augmentation: every third is marked as one, every third as none, and the rest has no mark."""
+    meta = F.when(F.col("id") % 3 < 2, F.struct((F.col("id") % 3 == 0).alias("augmented_from_base")))
+    return sources.base_rows(sources.pairs(spark, d).select("id", meta.alias("_annotator_meta"))).select("id")
+
+
 # Merged chunks: texts and ids in lock-step. Every other pair counts as Chinese on the target side, which has no spaces.
 _TGT = "CASE WHEN id % 2 = 0 THEN 'zh' ELSE 'en' END"
 _EDGES = "(CASE WHEN g = 1 THEN 0 ELSE list_sum(groups[1 : g - 1]) END)::INT + 1 : list_sum(groups[1:g])::INT"
@@ -293,7 +318,7 @@ def normalise_ws(spark: SparkSession, d: str) -> DataFrame:
     return sources.table(spark, d, "documents").select("doc_id", F.md5(R.squeezed(F.col("text")).cast("binary")).alias("squeezed"))
 
 
-@query(o.TOKENS + r" SELECT id, true AS equal FROM tokens")
+@query(_SNAP + r" SELECT texts.id, trim(regexp_replace(source, '\s+', ' ', 'g')) = trim(regexp_replace(array_to_string(src, ' '), '\s+', ' ', 'g')) AS equal FROM texts JOIN pairs ON pairs.id = texts.id")
 def join_equivalence(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).join(sources.pairs(spark, d).select("id", "source"), "id")
     return rows.select("id", (R.squeezed(F.col("source")) == R.squeezed(F.array_join("source_chunks", " "))).alias("equal"))

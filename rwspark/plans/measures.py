@@ -263,6 +263,41 @@ def embedding_average(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
+# Means of the vectors of a label, as new tokens are started from: with noise, and against the next label's.
+_MEANS = """means AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) WHERE label IS NOT NULL GROUP BY label, i)"""
+
+
+def _means(spark: SparkSession, d: str) -> DataFrame:
+    rows = sources.table(spark, d, "embeddings").filter("label IS NOT NULL").select("label", F.posexplode("embedding").alias("i", "v"))
+    return rows.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("mean"))
+
+
+_NOISE = "sqrt(-2 * ln({a} + 1.1641532182693481e-10)) * cos(6.283185307179586e0 * {b})".format(a=o.hashed("'init|a|' || label || '|' || (i - 1)"), b=o.hashed("'init|b|' || label || '|' || (i - 1)"))
+
+
+@query(_MEANS + f" SELECT label, (i - 1)::INT AS i, round(mean + 0.01e0 * {_NOISE}, 6) AS start FROM means")
+def descriptive_init(spark: SparkSession, d: str) -> DataFrame:
+    rows = _means(spark, d)
+    return rows.select("label", "i", F.round(F.col("mean") + 0.01 * R.gaussian(sources.hashed(F.lit("init"), F.lit("a"), "label", "i"), sources.hashed(F.lit("init"), F.lit("b"), "label", "i")), 6).alias("start"))
+
+
+@query(_MEANS + """, labels_in_order AS (SELECT label, lead(label) OVER (ORDER BY label) AS after FROM (SELECT DISTINCT label FROM means))
+SELECT l.label, round(sum(a.mean * b.mean) / (greatest(sqrt(sum(a.mean * a.mean)), 1e-12) * greatest(sqrt(sum(b.mean * b.mean)), 1e-12)), 6) AS cosine
+FROM labels_in_order l JOIN means a ON a.label = l.label JOIN means b ON b.label = l.after AND b.i = a.i GROUP BY l.label""")
+def average_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the mean vectors of neighbouring labels."""
+    rows = _means(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "mean")))["mean"].alias("mean"))  # a row a label
+    after = rows.withColumn("after", F.lead("mean").over(Window.orderBy("label"))).filter("after IS NOT NULL")
+    return after.select("label", F.round(R.cosine(F.col("mean"), F.col("after")), 6).alias("cosine"))
+
+
+@query(_DIST + " SELECT vec_id AS id, round(ln(list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) + list_max(e) - e[vec_id % len(e) + 1], 8) AS loss FROM dist")
+def cross_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Of a vector taken as logits, for a recorded label."""
+    rows = sources.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return rows.select("id", F.round(R.cross_entropy(F.col("e"), (F.col("id") % F.size("e")).cast("int")), 8).alias("loss"))
+
+
 @query()
 def ot_sinkhorn(spark: SparkSession, d: str) -> DataFrame:
     """Ground cost: 64 fixed vectors on a circle; distributions are the softmaxed embeddings."""
@@ -302,7 +337,9 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_split(sources.table(spark, d, "conversations").select("conv_id", "turn"), 0.05, "conv_id", "3")
 
 
-@query("SELECT 0::BIGINT AS shared")
+@query("""keys AS (SELECT conv_id, row_number() OVER (ORDER BY md5('3|' || conv_id), conv_id) AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+sides AS (SELECT conv_id, k <= (SELECT greatest(1, floor(count(*) * 0.05e0)) FROM keys) AS held FROM conversations JOIN keys USING (conv_id))
+SELECT count(*) AS shared FROM (SELECT conv_id FROM sides WHERE held INTERSECT SELECT conv_id FROM sides WHERE NOT held)""")
 def leak_check(spark: SparkSession, d: str) -> DataFrame:
     rows = group_split(spark, d)
     return rows.filter("split = 'train'").select("conv_id").intersect(rows.filter("split = 'eval'").select("conv_id")).agg(F.count("*").alias("shared"))

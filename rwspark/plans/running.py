@@ -73,7 +73,12 @@ def latency_diag(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("latency").agg(F.count("*").alias("rows"), F.round(F.avg("k"), 6).alias("chunks"), F.round(F.avg(F.col("k") / F.col("words")), 6).alias("chunks_per_word"), F.count_if(F.col("k") == 1).alias("single"))
 
 
-@query(_WITH_LATENCY + """ SELECT id, k AS reads, k AS writes, true AS alternate FROM rows""")
+_MARKS = "regexp_extract_all('<|' || latency || '-latency|> ' || array_to_string(list_transform(src, lambda x, i: x || ' <|end-of-read|> ' || tgt[i] || ' <|end-of-write|>'), ' '), '<\\|end-of-(read|write)\\|>', 1)"
+
+
+@query(_WITH_LATENCY + f""", marked AS (SELECT id, {_MARKS} AS marks FROM rows)
+SELECT id, len(list_filter(marks, lambda x: x = 'read'))::BIGINT AS reads, len(list_filter(marks, lambda x: x = 'write'))::BIGINT AS writes,
+  len(list_filter(marks, lambda x, i: x <> CASE WHEN i % 2 = 1 THEN 'read' ELSE 'write' END)) = 0 AS alternate FROM marked""")
 def format_check(spark: SparkSession, d: str) -> DataFrame:
     """Marks in the interleaved text: as many reads as writes, in turn."""
     text = R.interleaved(F.col("latency"), F.col("source_chunks"), F.col("target_chunks"))

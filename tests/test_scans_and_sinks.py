@@ -161,3 +161,12 @@ def test_fallback_that_readers_resolve(spark, tmp_path):
         ordered.write(rows, path, scratch=str(tmp_path), tries=2, wait=0.1)
     ordered.write(rows, f"{tmp_path}/out", fallback=other)
     assert ordered.resolved(f"{tmp_path}/out", other) == f"{tmp_path}/out" and sorted(os.listdir(tmp_path)) == ["blocked", "other", "out"]
+
+
+def test_records_know_their_argument(spark, tmp_path):
+    for name, value in (("b", 1), ("a", 2), ("c", 3)):
+        (tmp_path / name).write_text(json.dumps({"index": 7, "v": value}) + "\n")
+    paths = [f"{tmp_path}/{x}" for x in "bca"]
+    rows = sources.json_lines_in_turn(spark, paths, "index long, v int")
+    assert rows.groupBy("index").agg(F.max_by("v", "file_ordinal").alias("v")).first().v == 2 and rows.count() == 3
+    assert sources.json_lines_in_turn(spark, [], "index long, v int").count() == 0
