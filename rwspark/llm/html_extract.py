@@ -1,12 +1,15 @@
 """Main text of web pages from a stream of standard-library parser events.
 
-The parser's events are cut into lines at block tags. Each line has a text-to-tag ratio, zero where the markup itself says
-it is no content (menus, footers, scripts, forms, adverts, comments of readers). The ratios are smoothed with a Gaussian
-along the page, two clusters of them give a threshold, and regions (an article, else the containers of the page) whose
-smoothed ratio reaches it are content. Lines of a content region are kept whole, short ones too.
+The parser's events are cut into lines at block tags. Each line has a ratio of text, but for that of links, to tags, zero where the
+markup itself says it is no content (menus, footers, scripts, forms, adverts, comments of readers). The ratios are smoothed
+with a Gaussian along the page, and two clusters of them give a threshold. The regions of a page are its containers; those
+whose smoothed ratio reaches it are content. Where an article is marked, what stands outside is none, and the containers in
+it that are links for the most part are content only if their ratio reaches the threshold: lists of links, rows of teasers.
+What an article holds beside them, and other lines of a content region, are kept whole, short ones too.
 
 Null, empty and tag-free texts: null and empty give an empty text; a text without tags is one region and is kept. Broken
-markup (unclosed, crossed or truncated tags) never raises. Repeated rows are judged alike, each on its own.
+markup (unclosed, crossed or truncated tags) never raises. Pages of any length are read as a whole. Repeated rows are judged
+alike, each on its own. An empty table gives an empty table. A ``keep`` column of the name ``text`` becomes ``kept_text``.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import free_names, per_batch
 
 # HTML elements by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,6 +31,7 @@ h6 head header hr html legend li main menu nav ol optgroup option p pre section
 DROPPED = set("""script style noscript template head title nav footer aside form menu button select option textarea input iframe object svg canvas math
 dialog audio video map datalist""".split())
 REGION = set("article main section div td body".split())
+WITHIN = set("section div table ul ol dl".split())
 CLOSES_P = BLOCK - {"br", "option", "optgroup", "caption", "legend"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Names in class, id and role that mark what is no content.
@@ -57,19 +62,20 @@ def boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, dropped, region, in an article]."""
+    """Lines of a page: [text, tags, dropped, region, in an article, characters of links]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, dropped, region, in an article
-        self.regions, self.tags, self.parts = 1, 0, []
+        self.regions, self.tags, self.parts, self.links = 1, 0, [], 0
 
     def cut(self) -> None:
         if self.parts:
             _, dropped, region, article = self.open[-1]
-            self.lines.append([" ".join("".join(self.parts).split()), self.tags, dropped, region, article])
-            self.parts, self.tags = [], 0
+            text = " ".join("".join(self.parts).split())
+            self.lines.append([text, self.tags, dropped, region, article, min(self.links, len(text))])
+            self.parts, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -89,9 +95,11 @@ class Lines(HTMLParser):
             if not any(t in DROPPED and d for t, d, _, _ in self.open):
                 dropped = False  # an advert that was never closed, or a wrapper with an unlucky name
             article = True
-        if tag in REGION and not (article and tag not in ("article", "main")):
+        if tag in (WITHIN if article and tag not in ("article", "main") else REGION):
             self.regions += 1
             region = self.regions
+        if tag in ("article", "main") and not out:
+            region = 0  # of all articles
         self.open.append((tag, dropped or out, region, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -120,6 +128,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if any(x[0] == "a" for x in self.open):
+            self.links += len(" ".join(data.split()))
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -154,24 +164,28 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [x for x in parser.lines if x[0]]
-    marked = any(article and not dropped for _, _, dropped, _, article in lines)
-    if marked:  # what stands outside the marked article counts as no content; several articles are one region
-        lines = [(text, tags, dropped or not article, 0, article) for text, tags, dropped, _, article in lines]
-    own = [0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _, _ in lines]
+    return "\n".join(text for text, _ in content([x for x in parser.lines if x[0]]))
+
+
+def content(lines: list[list], least: float | None = None) -> list[tuple[str, int]]:
+    """(text, region) of the lines that are content; ``least`` takes the place of the threshold."""
+    marked = any(article and not dropped for _, _, dropped, _, article, _ in lines)
+    if marked:  # what stands outside the marked article counts as no content
+        lines = [[text, tags, dropped or not article, region, article, links] for text, tags, dropped, region, article, links in lines]
+    own = [0.0 if dropped else (len(text) - links) / max(1, tags) for text, tags, dropped, _, _, links in lines]
     ratio = smoothed(own)
-    cut = threshold(ratio) if ratio else 0.0
-    best: dict[int, tuple[float, float]] = {}  # a region's best smoothed ratio, and its best own one: neighbours alone make no content
-    for (_, _, dropped, region, _), r, x in zip(lines, ratio, own):
+    cut = (threshold(ratio) if ratio else 0.0) if least is None else least
+    best: dict[int, list[float]] = {}  # of a region: its best smoothed ratio, its best own one (neighbours alone make no content), characters of links and others
+    for (text, _, dropped, region, _, links), r, x in zip(lines, ratio, own):
         if not dropped:
-            was = best.get(region, (0.0, 0.0))
-            best[region] = max(was[0], r), max(was[1], x)
-    content = {region for region, (r, x) in best.items() if r >= cut and 2 * x >= cut}
-    return "\n".join(text for text, _, dropped, region, _ in lines if not dropped and region in content)
+            was = best.setdefault(region, [0.0, 0.0, 0, 0])
+            best[region] = [max(was[0], r), max(was[1], x), was[2] + links, was[3] + len(text) - links]
+    kept = {region for region, (r, x, links, others) in best.items() if r >= cut and 2 * x >= cut or marked and (not region or others > links)}
+    return [(text, region) for text, _, dropped, region, _, _ in lines if not dropped and region in kept]
 
 
 def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep`` columns and ``text`` of each page. A map over the rows: no shuffle, no state between rows."""
-    types = dict(pages.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", text string"
-    return per_batch(pages.select(*keep, html_col), schema, lambda b: [*b.columns[: len(keep)], [extract(x) for x in b.column(len(keep)).to_pylist()]])
+    types, names = dict(pages.dtypes), free_names(keep, ["text"])
+    schema = ", ".join(f"`{n}` {types[c]}" for n, c in zip(names, keep)) + ", text string"
+    return per_batch(pages.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.col(html_col)), schema, lambda b: [*b.columns[: len(keep)], [extract(x) for x in b.column(len(keep)).to_pylist()]])
