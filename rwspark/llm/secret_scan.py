@@ -2,11 +2,14 @@
 
 Patterns find assignments, access keys and hex strings. Beside them, every long token near a sensitive word is a
 candidate: its marginal size, in bytes, is what it adds to a Zstandard frame whose dictionary is the code and text around
-it and a list of common identifiers. What the dictionary can't shorten, and mixes kinds of characters, is reported.
+it, identifiers common in code, and the words that are most common in the corpus itself (``corpus_identifiers``, counted over
+all texts). What the dictionary can't shorten, and is no name, path or date by its make (``keylike``), is reported.
 
 Nulls and empty texts have no findings. Repeated rows are judged alike, each on its own. A candidate that overlaps a
 pattern's span is dropped, so spans of kind ``novel`` never overlap others. Texts of any length are read as a whole; the
-window around a candidate only primes the dictionary.
+window around a candidate only primes the dictionary. Sensitive context is the text within ``reach`` characters, and the lines
+that a key runs on to. An empty table gives an empty table. The result has the id and ``findings``; an id column of that name
+becomes ``kept_findings``. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import free_names, per_batch
 
 # The patterns of the three kinds, from the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -25,8 +29,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make what is near them sensitive.
-SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|credential|bearer|authoriz|private.?key|access.?key|signature|client.?id", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.ASCII)
+SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|bearer|authoriz|signature|client.?id|\b(?:api|private|access|aws|ssh|gpg|rsa|account|storage|master|signing|encryption).{0,8}?key|\bkey\x20?[:=]", re.ASCII | re.IGNORECASE)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=@!$%^&*~#-]{12,}", re.ASCII)
+MARKS = set("@!$%^&*~#")
+#: Stretches that a name is made of.
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Between tokens on consecutive lines; line breaks may be escaped.
 NEXT_LINE = re.compile(r"""["',;+>#*\x20\t]*(?:\r?\n|\\)["',;+>#*\x20\t]*""")
 
@@ -66,7 +73,8 @@ class Novelty:
     """Marginal compressed bytes of a string, given text around it and the identifiers."""
 
     def __init__(self, identifiers: list[str] | None = None, window: int = 400):
-        self.known, self.window = " ".join(identifiers or IDENTIFIERS).encode(), window
+        own = [*(identifiers or ()), *IDENTIFIERS]
+        self.known, self.window = " ".join(f"{x} {x.capitalize()}" if x.islower() else x for x in own).encode(), window
 
     def marginal(self, text: str, start: int, end: int) -> int:
         import zstandard as zs
@@ -77,10 +85,19 @@ class Novelty:
         return len(press.compress(text[start:end].encode("utf-8", "surrogatepass"))) - len(press.compress(b""))
 
 
-def mixed(token: str) -> bool:
-    """Letters and digits together, or capitals after small letters: a key rather than a word."""
-    digits, small, large = (any(a <= c <= b for c in token) for a, b in (("0", "9"), ("a", "z"), ("A", "Z")))
-    return digits and (small or large) or small and any("A" <= b <= "Z" and "a" <= a <= "z" for a, b in zip(token, token[1:]))
+def keylike(token: str) -> bool:
+    """A key by its make: kinds of characters that change every few places, or one long stretch of capitals or of letters and digits.
+
+    Paths, dates and names of releases are short stretches between marks; names of classes are long stretches of letters.
+    """
+    kinds = [any(a <= c <= b for c in token) for a, b in (("0", "9"), ("a", "z"), ("A", "Z"))]
+    if all(kinds) and len(MARKS & set(token)) >= 2:
+        return True
+    parts = re.findall(r"[A-Za-z0-9]+", token)
+    if max(map(len, parts), default=0) < 10 or sum(kinds) == 1 and not (kinds[2] and len(token) >= 20):
+        return False
+    humps = HUMP.findall(token)
+    return len(humps) == 1 or sum(map(len, humps)) <= 3.5 * len(humps)
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -109,7 +126,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
             near.add(block)
     found = []
     for start, end, block in tokens:
-        if block not in near or not mixed(text[start:end]) or any(a < end and start < b for a, _, b in taken):
+        if block not in near or not keylike(text[start:end]) or any(a < end and start < b for a, _, b in taken):
             continue
         size = novelty.marginal(text, start, end)
         if size >= max(least, ratio * (end - start)):
@@ -128,17 +145,26 @@ def find(text: str | None, novelty: Novelty) -> list[tuple[int, int, int, int]]:
     return sorted(spans)
 
 
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = 1000) -> list[str]:
+    """The ``most`` most common words of the corpus, as they are written, by grouped counts over all texts; ties by name. That many, at any size, come to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: list[str] | None = None) -> DataFrame:
     """Findings of each row: ``id_col`` and ``findings``, an array of kind, start, end, marginal_bytes and value.
 
-    A map over the rows: no shuffle, no state between rows.
+    A map over the rows: no shuffle, no state between rows. ``identifiers`` join the fixed ones, those of the corpus if not given.
     """
+    identifiers = corpus_identifiers(docs, text_col) if identifiers is None else identifiers
+
     def make(batch: pa.RecordBatch, novelty: Novelty) -> list:
         out = []
         for text in batch.column(1).to_pylist():
             out.append([{"kind": KINDS[k], "start": a, "end": b, "marginal_bytes": size, "value": text[a:b]} for a, k, b, size in find(text, novelty)])
         return [batch.column(0), out]
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, findings array<struct<kind: string, start: bigint, end: bigint, marginal_bytes: bigint, value: string>>"
+    kind, (name,) = dict(docs.dtypes)[id_col], free_names([id_col], ["findings"])
+    schema = f"`{name}` {kind}, findings array<struct<kind: string, start: bigint, end: bigint, marginal_bytes: bigint, value: string>>"
     return per_batch(docs.select(id_col, text_col), schema, make, lambda: Novelty(identifiers))

@@ -65,3 +65,37 @@ def test_edges(docs, edge_texts):
     assert len(rows) == len(edge_texts) and all(x == [] for x in rows.values())
     assert S.scan(docs([])).count() == 0
     assert len(S.scan(docs([(None, "password=abcdef1", None, None)] * 2)).collect()) == 2
+
+
+# A labelled fixture: what is a secret near a sensitive word, and what is not.
+SECRETS = [
+    "aws key: |wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|", "token |ABCDEFGHIJKLMNOPQRSTUVWX|", "the password is |p@ss!word$9zZ|", "bearer |eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9|",
+    "secret value |Zx9Q7hT2mB4vK8nR|", "private key |MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7|", "credential |QZJXKWVBPLMHGTRYFDNC| of the account", "|d3VtYm9KdW1ib0ZyYW5r| is the signing key", "client id |550e8400-e29b-41d4-a716-446655440000|",
+]
+CLEAN = [
+    "the secret lies in /etc/app2/config_local/v2x", "reset token org/articles/2021/how-to-reset", "token release-2024-11-26-rc1-build", "secret FactoryBean2", "token HttpServletRequestWrapperImpl", "token internationalization", "token INTERNATIONALIZATION_SETTINGS",
+    "client id someone@example-company", "token https://example.com/login/reset_password_now", "secret max_token_length_2048_default", "token getUserAccessTokenById2", "a password of 1234567890123456 digits", "Zx9Q7hT2mB4vK8nR without a word near",
+]
+
+
+def test_labelled_fixture():
+    novelty = S.Novelty()
+    for marked in SECRETS:
+        before, key, after = marked.split("|")
+        assert [(a, k, b) for a, k, b, _ in S.find(before + key + after, novelty)] == [(len(before), 3, len(before) + len(key))], marked
+    assert [x for x in CLEAN if S.find(x, novelty)] == []
+
+
+def test_words_of_the_corpus_are_no_secrets(spark, docs):
+    """A code name that the corpus is full of compresses to nothing; the same string is reported where the corpus doesn't know it."""
+    name = "QzKwXvJpLmRtBnHg"
+    corpus = docs([f"{name} plain words here"] * 20 + [f"a {name}7Q9 token", None, ""])
+    assert S.corpus_identifiers(corpus, most=3) == [name, "here", "plain"]
+    row = docs([f"secret {name}"])
+    with_own, without = (S.scan(row, identifiers=x).first().findings for x in (S.corpus_identifiers(corpus, most=3), []))
+    assert with_own == [] and [f["value"] for f in without] == [name]
+
+
+def test_clashing_id_name(docs):
+    (r,) = S.scan(docs(["password=abcdef1"]).withColumnRenamed("doc_id", "findings"), id_col="findings").collect()
+    assert r.kept_findings == 0 and len(r.findings) == 1
