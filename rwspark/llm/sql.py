@@ -62,4 +62,58 @@ o AS (SELECT doc_id, source, epoch, slot, x % block AS o, block, slot // 256 * 2
 SELECT doc_id, source, slot, start * block + o * width + slot - start AS position, epoch FROM o
 """
 
-ORACLE = {"op4_mixing": OP4, "op6_warc": OP6, "op7_decontamination": OP7}
+# CRC-32 by the usual table of 256 (a single row ``tbl``), which is made by eight steps of each number.
+_TABLE = """steps(b, k, c) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END FROM steps WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    data = f"list_transform(range(0, octet_length(encode({text}))::BIGINT), lambda i: ('0x' || substr(hex(encode({text})), 1 + 2 * i, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])))"
+
+
+OP12 = f"""
+WITH RECURSIVE {_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+hashed AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)), tbl),
+dc AS (SELECT r, bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY r, bucket),
+s AS (SELECT bucket, sum(n) AS n FROM dc GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t),
+gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (sums.s + 10000) / ((s.n + 1)::DOUBLE * (sums.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket, sums),
+weights AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS gain FROM dc JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN weights USING (r)),
+noisy AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0)))::BIGINT AS score, n_features >= 20 AS able FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= (SELECT count(*) FROM noisy WHERE able) * 10 // 100 THEN k END AS rank FROM placed
+"""
+
+# Runs: pairs of equal words of a document by their distance; consecutive pairs of one distance are a stretch of that period, and
+# of stretches with the same ends the least period counts.
+OP11 = f"""
+WITH RECURSIVE {_TABLE},
+d0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d1 AS (SELECT *, len(w)::BIGINT AS n, {_crc32("doc_id::VARCHAR")} AS h FROM d0, tbl),
+d2 AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM d1),
+d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d2),
+d AS (SELECT r, doc_id, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w END AS w FROM d3),
+x AS (SELECT r, i, w[i + 1] AS word FROM d, LATERAL (SELECT unnest(range(0, len(w))) AS i)),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+told AS (SELECT r, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': period}}, length * 1000000000000000 - start * 10000000 - period) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, LATERAL (SELECT unnest(range(start + period, start + length)) AS i)),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone ON gone.r = x.r AND gone.i = x.i WHERE gone.r IS NULL GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, len(w)::BIGINT AS n_words
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op4_mixing": OP4, "op6_warc": OP6, "op7_decontamination": OP7, "op11_periodic_runs": OP11, "op12_importance_resampling": OP12}
