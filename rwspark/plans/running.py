@@ -52,7 +52,13 @@ def prefix_divergence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "i", (F.round("js", 6) + 0.0).alias("js"), (F.round("kl", 6) + 0.0).alias("kl"), F.round("entropy", 6).alias("entropy"))
 
 
-@query()
+# The divergence is the same for all target words, so they all commit at once.
+_ONCE = _PREFIX[: _PREFIX.rindex("SELECT id, i::INT")] + """, divs AS (SELECT id, i, sum(0.5e0 * (p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2)))) AS js FROM pq GROUP BY id, i),
+raw AS (SELECT t.id, n, m, s, coalesce(min(i) FILTER (js < 0.05e0), n) AS commit FROM tokens t JOIN divs USING (id) GROUP BY t.id, n, m, s)
+SELECT id, n, m, 1::BIGINT AS chunks, (commit * m)::BIGINT AS sum_commit, array_to_string(s, ' ') AS source_chunks FROM raw"""
+
+
+@query(_ONCE)
 def annotate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Prefix word distributions as the scorer, every prefix."""
     rows = annotation.annotate(sources.token_pairs(spark, d), "prefix", tau=0.05)
