@@ -236,7 +236,12 @@ def stripped(text: Column) -> Column:
 
 def slices(ids: Column, stops: Column) -> Column:
     """Parts of an array that end before each of ``stops``, which ascend."""
-    return F.transform(stops, lambda stop, k: F.slice(ids, F.coalesce(F.get(stops, k - 1), F.lit(0)) + 1, stop - F.coalesce(F.get(stops, k - 1), F.lit(0))))
+
+    def cut(all: Column) -> Column:
+        start = lambda k: F.coalesce(F.get(all, k - 1), F.lit(0))
+        return F.transform(all, lambda stop, k: F.slice(ids, start(k) + 1, stop - start(k)))
+
+    return R.bound(stops, cut)
 
 
 def chunk_slices(text: Column, chunks: Column, tokens: Column) -> Column:
@@ -246,10 +251,9 @@ def chunk_slices(text: Column, chunks: Column, tokens: Column) -> Column:
     """
     places = R.char_spans(text, F.transform(chunks, stripped))
     upto = F.transform(places, lambda p: F.size(F.filter(tokens["ends"], lambda e: e <= p["stop"])))
-    glued = F.transform(upto, lambda stop, k: F.when(k == F.size(upto) - 1, F.size(tokens["ids"])).otherwise(stop))
-    found = slices(tokens["ids"], glued)
-    bad = F.exists(found, lambda x: F.size(x) == 0) | ((F.size(found) == 0) & (F.size(tokens["ids"]) > 0))
-    return F.when(~bad, found)
+    glued = R.bound(upto, lambda all: F.transform(all, lambda stop, k: F.when(k == F.size(all) - 1, F.size(tokens["ids"])).otherwise(stop)))
+    bad = lambda found: F.exists(found, lambda x: F.size(x) == 0) | ((F.size(found) == 0) & (F.size(tokens["ids"]) > 0))
+    return R.bound(slices(tokens["ids"], glued), lambda found: F.when(~bad(found), found))
 
 
 def boundaries(tokens: Column, lang: Column) -> Column:
@@ -275,14 +279,17 @@ def id_chunks(commits: Column, source: Column, target: Column, lang: Column, sna
     """
     n, ids = F.size(source["ids"]), source["ids"]
     at = F.transform(commits, lambda c: snapped(c, source, lang)) if snap else commits
-    counted = F.filter(at, lambda x: x > 0) if snap else at
-    ends = F.array_distinct(counted)
-    stops = F.transform(ends, lambda e, k: F.when(k == F.size(ends) - 1, n).otherwise(e))
-    upto = F.transform(ends, lambda e: F.size(F.filter(counted, lambda x: x <= e)))
-    own = F.slice(target["ids"], F.size(at) - F.size(counted) + 1, F.size(counted))
     shape = lambda s, t: F.struct(s.alias("source_chunk_ids"), t.alias("target_chunk_ids"))
-    unread = (F.size(ends) == 0) & (F.size(at) > 0) & (n > 0)
-    return F.when(unread, shape(F.array(ids), F.array(F.slice(ids, 1, 0)))).otherwise(shape(slices(ids, stops), slices(own, upto)))
+
+    def made(counted: Column, ends: Column) -> Column:
+        stops = F.transform(ends, lambda e, k: F.when(k == F.size(ends) - 1, n).otherwise(e))
+        upto = F.transform(ends, lambda e: F.size(F.filter(counted, lambda x: x <= e)))
+        own = F.slice(target["ids"], F.size(commits) - F.size(counted) + 1, F.size(counted))
+        unread = (F.size(ends) == 0) & (F.size(commits) > 0) & (n > 0)
+        return F.when(unread, shape(F.array(ids), F.array(F.slice(ids, 1, 0)))).otherwise(shape(slices(ids, stops), slices(own, upto)))
+
+    counted = F.filter(at, lambda x: x > 0) if snap else at  # each list is made once
+    return R.bound(counted, lambda c: R.bound(F.array_distinct(c), lambda ends: made(c, ends)))
 
 
 def texts_of(text: Column, tokens: Column) -> Column:
