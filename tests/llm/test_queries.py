@@ -14,7 +14,10 @@ def test_query_matches_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(sql.ORACLE)))
 def test_query_gives_all_rows(spark, small, name):
     tables = {"op2_html_extraction": ["pages"], "op9_language_id": ["pages", "documents"]}.get(name, ["documents"])
-    assert queries.QUERIES[name](spark, small).count() == sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in tables)
+    rows = queries.QUERIES[name](spark, small)
+    if name == "op13_packing":  # a row for each piece
+        rows = rows.filter("start = 0")
+    assert rows.count() == sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in tables)
 
 
 def test_pipeline(spark, small):
