@@ -62,7 +62,7 @@ def test_the_hash_scorer_is_one(spark, small):
     assert rows.filter("d <> again").count() == 0 and rows.filter(F.col("d") < sources.least_divergence(F.col("i"))).count() == 0
 
 
-PLAIN = ("fired_divergence")
+PLAIN = ("fired_divergence annotate_pairs prefix_divergence")
 
 
 @pytest.mark.parametrize("name", [*PLAIN.split(), "random_floor"])
@@ -77,3 +77,12 @@ def test_pairs_are_not_dealt_anew(spark, small, name):
 @pytest.mark.parametrize("name", [])
 def test_no_cell_is_scored_twice(spark, small, name):
     assert plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
+
+
+def test_prefix_criteria_by_hand(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"], 3)], "id long, s array<string>, n int").withColumn("m", F.lit(2))
+    got = sorted((r.i, r.entropy, r.kl) for r in annotate.prefix_divergence(rows, 1.0).collect())
+    p, q = [(2 / 3, 1 / 3), (2 / 4, 2 / 4), (3 / 5, 2 / 5)], (3 / 5, 2 / 5)
+    want = [(i + 1, -sum(x * math.log(x) for x in p[i]), sum(y * math.log(y / x) for x, y in zip(p[i], q))) for i in range(3)]
+    assert np.allclose(got, want, atol=1e-12)
+    assert np.allclose([r.ot for r in annotate.prefix_transport(rows).orderBy("i").collect()][-1], annotate.with_transport(rows).first().ot[-1])
