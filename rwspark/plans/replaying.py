@@ -11,7 +11,7 @@ from rwspark.operators import cache, commit, latency, replay
 from rwspark.streaming import writes
 
 from . import oracle as o
-from .committing import _GATE, TAUS, _want, reference
+from .committing import _GATE, _nearest, reference
 from .corpus import _INSTRUCTION, _TGT, _WITH_LATENCY, _rows
 from .measures import _WAIT, _drain
 
@@ -135,7 +135,7 @@ _LONG = "long AS (" + " UNION ALL ".join(f"SELECT bin, '{name}' AS name, {name}
 def bin_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Six figures of each bin: chunks of the reference and of the matched trace, their difference, both Pearson coefficients, and the threshold."""
     tokens = sources.token_pairs(spark, d)
-    best = commit.matched(commit.swept(sources.cells(tokens), TAUS), _want(tokens))
+    best = _nearest(tokens)
     bins = commit.summaries(reference(tokens)).select("id", F.col("pearson").alias("ref_pearson"), commit.bin_for(F.col("pearson")).alias("bin")).filter("bin <> 'undefined'")
     values = {"ref_chunks": F.col("want"), "chunks": F.col("chunks"), "delta": F.col("delta"), "ref_pearson": F.col("ref_pearson"), "pearson": F.col("pearson"), "tau": F.col("tau")}
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), values[name].cast("double").alias("v")) for name in _NAMES))).alias("x")

@@ -65,7 +65,7 @@ def test_the_hash_scorer_is_one(spark, small):
 PLAIN = ("entropy_commit fired_divergence annotate_pairs prefix_divergence")
 
 
-@pytest.mark.parametrize("name", [*PLAIN.split(), "random_floor", "tau_ladder", "collapse_drop", "flip_table"])
+@pytest.mark.parametrize("name", [*PLAIN.split(), "random_floor", "tau_ladder", "collapse_drop", "flip_table", "matched_count"])
 def test_pairs_are_not_dealt_anew(spark, small, name):
     """Cells never meet in the few tasks that a shuffle of narrow rows leaves: pairs stay where their conversation is, to a row each."""
     plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
