@@ -11,7 +11,7 @@ from rwspark.operators import cache, commit, latency, replay
 from rwspark.streaming import writes
 
 from . import oracle as o
-from .committing import _GATE, _nearest, reference
+from .committing import _GATE, _bins, _nearest
 from .corpus import _INSTRUCTION, _TGT, _WITH_LATENCY, _rows
 from .measures import _WAIT, _drain
 
@@ -136,7 +136,7 @@ def bin_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Six figures of each bin: chunks of the reference and of the matched trace, their difference, both Pearson coefficients, and the threshold."""
     tokens = sources.token_pairs(spark, d)
     best = _nearest(tokens)
-    bins = commit.summaries(reference(tokens)).select("id", F.col("pearson").alias("ref_pearson"), commit.bin_for(F.col("pearson")).alias("bin")).filter("bin <> 'undefined'")
+    bins = _bins(tokens).select("id", F.col("pearson").alias("ref_pearson"), "bin").filter("bin <> 'undefined'")
     values = {"ref_chunks": F.col("want"), "chunks": F.col("chunks"), "delta": F.col("delta"), "ref_pearson": F.col("ref_pearson"), "pearson": F.col("pearson"), "tau": F.col("tau")}
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), values[name].cast("double").alias("v")) for name in _NAMES))).alias("x")
     return commit.summarised(best.join(bins, "id").select("bin", each).select("bin", "x.*"), ["bin", "name"], "v")
@@ -147,5 +147,5 @@ def bin_summaries(spark: SparkSession, d: str) -> DataFrame:
 )
 def skip_counters(spark: SparkSession, d: str) -> DataFrame:
     """Pairs by what becomes of them in the bin report: missing (too long for a reference), undefined, or used."""
-    bins = commit.summaries(reference(sources.token_pairs(spark, d))).select("id", commit.bin_for(F.col("pearson")).alias("bin"))
+    bins = _bins(sources.token_pairs(spark, d)).select("id", "bin")
     return commit.skipped(sources.pairs(spark, d), bins).groupBy("reason").agg(F.count("*").alias("n"))

@@ -62,7 +62,7 @@ def test_the_hash_scorer_is_one(spark, small):
     assert rows.filter("d <> again").count() == 0 and rows.filter(F.col("d") < sources.least_divergence(F.col("i"))).count() == 0
 
 
-PLAIN = ("commit_chunks entropy_commit lowest_pearson_topk snap_word_marks token_id_chunks fired_divergence annotate_pairs prefix_divergence")
+PLAIN = ("commit_chunks entropy_commit lowest_pearson_topk pearson_of_pearsons snap_word_marks token_id_chunks fired_divergence annotate_pairs prefix_divergence")
 
 
 @pytest.mark.parametrize("name", [*PLAIN.split(), "random_floor", "tau_ladder", "collapse_drop", "flip_table", "matched_count"])
@@ -74,7 +74,7 @@ def test_pairs_are_not_dealt_anew(spark, small, name):
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["lowest_pearson_topk", "collapse_drop"])
+@pytest.mark.parametrize("name", ["lowest_pearson_topk", "pearson_of_pearsons", "collapse_drop"])
 def test_no_cell_is_scored_twice(spark, small, name):
     assert plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
 
