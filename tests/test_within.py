@@ -86,3 +86,14 @@ def test_prefix_criteria_by_hand(spark):
     want = [(i + 1, -sum(x * math.log(x) for x in p[i]), sum(y * math.log(y / x) for x, y in zip(p[i], q))) for i in range(3)]
     assert np.allclose(got, want, atol=1e-12)
     assert np.allclose([r.ot for r in annotate.prefix_transport(rows).orderBy("i").collect()][-1], annotate.with_transport(rows).first().ot[-1])
+
+
+def test_encodings_of_a_batch_are_made_in_parts(spark, monkeypatch):
+    texts = pa.array(["a" * 30, None, "", "b" * 300, "c", "d" * 90] + ["e"] * 9)
+    assert [x for at, size in T.few(texts, 4, 100) for x in texts.slice(at, size).to_pylist()] == texts.to_pylist()
+    parts = [texts.slice(at, size).to_pylist() for at, size in T.few(texts, 4, 100)]
+    assert all(len(x) <= 4 and (sum(len(y or "") for y in x) <= 100 or len(x) == 1) for x in parts) and list(T.few(texts.slice(0, 0))) == []
+    rows = spark.createDataFrame([(k, None if k % 7 == 3 else f"w{k} x y"[: k % 9]) for k in range(300)], "k int, x string").coalesce(1)
+    whole = T.Hashed()
+    for r in rows.select("x", T.encoded(F.col("x"), T.Spec()).alias("e")).collect():
+        assert r.e is None if r.x is None else r.e.ids == whole.encode([r.x])[0].ids
