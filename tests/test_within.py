@@ -62,7 +62,8 @@ def test_the_hash_scorer_is_one(spark, small):
     assert rows.filter("d <> again").count() == 0 and rows.filter(F.col("d") < sources.least_divergence(F.col("i"))).count() == 0
 
 
-PLAIN = ("commit_first_fire commit_monotone chunk_count commit_chunks commit_stride_nan entropy_commit lowest_pearson_topk pearson_of_pearsons chunks_from_commit snap_boundary snap_word_marks token_id_chunks fired_divergence annotate_pairs prefix_divergence")
+PLAIN = ("commit_first_fire commit_monotone chunk_count commit_chunks commit_stride_nan entropy_commit lowest_pearson_topk pearson_of_pearsons chunks_from_commit snap_boundary "
+         "snap_word_marks token_id_chunks fired_divergence annotate_pairs annotate_transport prefix_divergence")
 
 
 @pytest.mark.parametrize("name", [*PLAIN.split(), "random_floor", "tau_ladder", "collapse_drop", "flip_table", "matched_count"])
