@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rwspark.llm import decontam, jaccard, mixing, quality, token_records
-from rwspark.llm.common import ship, written
+from rwspark.llm.common import scratch, ship, written
 from rwspark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,7 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 1_000_000) -> DataFrame:
     """One document of each group of near copies: that with the least id."""
     ship(spark)
-    found = written(jaccard.classes(docs, size=5, percent=80), "classes")
+    with scratch() as made:
+        found = written(jaccard.classes(docs, size=5, percent=80), "classes")
+        made.remove(found)
     gone = found.filter("component_id < doc_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= most else gone, "doc_id", "left_anti")
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")

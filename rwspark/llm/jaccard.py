@@ -446,7 +446,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     votes = shared.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
     first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
     twice = found.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("id", "b")
-    edges = found.join(twice, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()  # rows that share an id
+    edges = written(found.join(twice, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "edges")  # rows that share an id
     tested = written(first, "pairs")
     edges = edges.unionByName(verified(tested, docs, sets, size, percent, seed))
     groups = components(edges)
@@ -468,13 +468,13 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
                 rows = rows.join(best, ["node", "sig"], "left_semi")
             nearest = written(neighbours(rows.join(sets.select("node", "n", "sketch"), "node"), percent, {"largest": 0, "each": 4, "all": None}[step]), "pairs")
             done = step == "all" or step == "each" and nearest.filter("a IS NULL").isEmpty()
-            rest = written(towards_hubs(nearest.filter("a IS NOT NULL").join(ordered(tested).distinct(), ["a", "b"], "left_anti")), "pairs")
-            more = linked(rest, docs, sets, size, percent, seed)
-            discard(nearest)
+            fresh = written(nearest.filter("a IS NOT NULL").join(ordered(tested).distinct(), ["a", "b"], "left_anti"), "pairs")
+            more = linked(rest := written(towards_hubs(fresh), "pairs"), docs, sets, size, percent, seed)
+            discard(nearest, fresh)
         tested = tested.unionByName(rest)
         if not more.isEmpty():
             edges = edges.unionByName(more)
-            groups = components(edges)
+            groups = components(groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         if step == "each" and done:
             break
 

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, attach, free_names, written
+from .common import WHITE, attach, free_names, scratch, written
 
 P = 4
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -214,7 +214,9 @@ def judged(stats: DataFrame, tail: float = TAIL, share: float = 0.75, steps: int
     rows = labelled(stats, least)
     fit = rows.filter(~F.col("base_failed")).select("g", *(f"x{i}" for i in range(P)))
     fit = written(fit, "fit")
-    groups = least_determinant(fit, floors, share, steps)
+    with scratch() as made:
+        groups = least_determinant(fit, floors, share, steps)
+        made.remove(groups)
     inner = distances(fit, groups).filter(F.col("d2") <= _quantile(0.975, P))
     groups = written(cholesky(_estimate(_moments(inner, ["g"]), floors, 1.0)), "mcd")
     good = distances(rows.filter(~F.col("base_failed")).select(*keep, "g", *(f"x{i}" for i in range(P))), groups)
