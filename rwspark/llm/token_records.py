@@ -17,10 +17,13 @@ import contextlib
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, islice
+from itertools import accumulate, pairwise
+from string import punctuation
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +46,17 @@ def frame(payload: bytes) -> bytes:
 
 # The bytes that byte-level vocabularies show as they are; the others are numbered from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_TABLE = "".join(_SHOWN.get(b, chr(b)) for b in range(256))
 
 
 class Encoder:
     """Ids of texts as little-endian bytes.
 
     The tokenizer's pattern never joins a character that is no white space with the white space after it, so a text is cut at
-    single spaces and line feeds, and each piece is encoded by the library once and kept. Where a piece is empty, holds other
-    white space or can't be printed, or the text holds a special token's string, the library encodes the whole text.
+    single spaces and line feeds, and each distinct piece of a batch is encoded by the library once and kept; Arrow finds the
+    distinct pieces and lines their ids up. Where a piece is empty, holds other white space or can't be printed, or the text
+    holds a special token's string, the library encodes the whole text.
     """
 
     def __init__(self, path: str, end_id: int | None, most: int = 800_000):
@@ -61,69 +66,77 @@ class Encoder:
         #: Strings that the library takes for special tokens wherever they stand: texts that hold one are left to it.
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if max(self.library.get_vocab_size(), (end_id or 0) + 1) <= 65536 else 4
+        self.kind = "H" if self.width == 2 else "I"
         self.model = self.library.model
         kind = repr(self.library.pre_tokenizer)
         self.by_piece = self.library.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
         self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-        self.marks, self.feed = dict(zip(".,", self.ids([".", ","]))), self.ids(["\n"])[0]
+        #: Ids of pieces that begin a text or a line, of those after a space, and of marks after a letter.
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.feed = self.ids(["\n"])[0]
         self.most = most
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def piece(self, text: str) -> bytes:
         """Ids of a piece: the library's own steps, without what an encoding of a whole text brings along."""
-        if text.lstrip(" ").isalpha() and max(text) < "ɐ":  # one word of Latin letters
-            split = [text.encode().decode("latin-1").translate(_SHOWN)]
+        if text.lstrip(" ").isalpha() and (text.isascii() or max(text) < "ɐ"):  # one word of Latin letters
+            ids = [x.id for x in self.model.tokenize(charmap_decode(text.encode(), "strict", _TABLE)[0])]
         else:
-            split = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return array("H" if self.width == 2 else "I", [x.id for part in split for x in self.model.tokenize(part)]).tobytes()
-
-    def learn(self, known: dict[str, bytes | None], pieces: set[str], before: str) -> None:
-        """Encode pieces that aren't known; None where only the whole text settles the ids."""
-        new, marked = set(), []
-        for piece in pieces:
-            if not piece or piece[0].isspace() or piece[-1].isspace() or not piece.isprintable():
-                known[piece] = None
-            elif piece[-1] in ".," and piece[-2:-1].isalpha() and piece[-2:-1] < "ɐ":  # the mark is a token of its own
-                marked.append(piece)
-                if piece[:-1] not in known:
-                    new.add(piece[:-1])
-            else:
-                new.add(piece)
-        known.update((piece, self.piece(before + piece)) for piece in new)
-        for piece in marked:
-            known[piece] = known[piece[:-1]] + self.marks[piece[-1]]
+            ids = [x.id for part, _ in self.library.pre_tokenizer.pre_tokenize_str(text) for x in self.model.tokenize(part)]
+        return array(self.kind, ids).tobytes()
+
+    def learn(self, known: dict[str, bytes], piece: str, before: str) -> bytes | None:
+        """Ids of a piece that isn't known; None where only the whole text settles them."""
+        if not piece or not piece.isprintable():
+            return None
+        word = piece.rstrip(punctuation)
+        if len(word) < len(piece) and word[-1:].isalpha() and word[-1] < "ɐ":  # the marks after a letter are a part of their own
+            marks = piece[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.piece(marks)
+            ids = (known.get(word) or self.learn(known, word, before)) + self.marks[marks]
+        else:
+            ids = self.piece(before + piece)
+        known[piece] = ids
+        return ids
+
+    def line(self, piece: str) -> bytes | None:
+        """As learn, of a piece that follows a line feed."""
+        if (ids := self.first.get(piece[1:]) or self.learn(self.first, piece[1:], "")) is not None:
+            self.later[piece] = ids = self.feed + ids
+        return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids, then the end id."""
         if not self.by_piece:
             return [x + self.end for x in self.ids([text or "" for text in texts])]
-        if len(self.later) > self.most:
+        if len(self.later) + len(self.first) + len(self.marks) > self.most:
             self.first.clear()
             self.later.clear()
-        whole = {k for k, text in enumerate(texts) if text and any(x in text for x in self.special)}
-        split = [text.replace("\n", " \n").split(" ") if text and k not in whole else [] for k, text in enumerate(texts)]
-        later = set(chain.from_iterable(islice(x, 1, None) for x in split)) - self.later.keys()
-        lines = {piece for piece in later if piece and piece[0] == "\n"}
-        self.learn(self.first, ({x[0] for x in split if x} | {piece[1:] for piece in lines}) - self.first.keys(), "")
-        self.learn(self.later, later - lines, " ")
-        self.later.update((piece, self.first[piece[1:]] and self.feed + self.first[piece[1:]]) for piece in lines)
-        out = []
-        for k, (text, pieces) in enumerate(zip(texts, split)):
-            if k in whole:
-                out.append(self.ids([text])[0] + self.end)
-                continue
-            try:
-                out.append(b"".join((*map(self.first.__getitem__, pieces[:1]), *map(self.later.__getitem__, islice(pieces, 1, None)), self.end)))
-            except TypeError:  # a piece is None
-                out.append(self.ids([text])[0] + self.end)
+            self.marks.clear()
+        # The first line begins with a line feed like the others; its ids are cut off again.
+        split = pc.split_pattern(pa.array(["\n" + (text or "").replace("\n", " \n") for text in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        codes, starts, pieces = coded.indices.to_numpy(), split.offsets.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.later.get, pieces))
+        for k, (piece, ids) in enumerate(zip(pieces, found)):
+            if ids is None:
+                found[k] = self.line(piece) if piece[:1] == "\n" else self.learn(self.later, piece, " ")
+        found = pa.array(found, pa.large_binary())
+        unsettled = starts.searchsorted(found.is_null().to_numpy(zero_copy_only=False)[codes].nonzero()[0], "right") - 1
+        whole = {*unsettled.tolist(), *(k for k, text in enumerate(texts) if text and any(x in text for x in self.special))}
+        _, places, data = found.take(coded.indices).buffers()
+        at, data, out = memoryview(places).cast("q"), memoryview(data or b""), []
+        for k, (a, b) in enumerate(pairwise(starts.tolist())):
+            own = self.ids([texts[k] or ""])[0] if k in whole else data[at[a] + len(self.feed) : at[b]].tobytes()
+            out.append(own + self.end)
         return out
 
-    def stream(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+    def stream(self, texts: list[str | None], chars: int = 4_000_000) -> Iterator[bytes]:
         """As batch, by bounded pieces of the list."""
         at = 0
         while at < len(texts):

@@ -97,6 +97,37 @@ def test_pieces_are_the_whole_text(encoder, library, text):
     assert list(encoder.stream([text])) == [struct.pack(f"<{len(ids)}H", *ids)]
 
 
+class Counted(dict):
+    """Counts what is asked of it."""
+
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_a_piece_is_looked_up_once_a_batch(library):
+    encode, text = T.Encoder(tokenizer_path(), 2), "some words, and more of them!\n" * 500
+    encode.later = Counted()
+    ids = library.encode(text[:-1], add_special_tokens=False).ids + [2]
+    assert list(encode.stream([text[:-1]] * 3)) == [struct.pack(f"<{len(ids)}H", *ids)] * 3
+    assert encode.later.asked < 20  # 9,000 words
+
+
+def test_texts_of_a_batch_keep_apart(library):
+    texts = ["a b.\nc", None, "", "a  b", "<|endoftext|> a", "\n", " a", "a ", "tab\tin it", "a b.\nc", "Don't!? it's... o'.", "é&&& %%% «x», ...", "\na\n\nb", "x" * 50, None, "漢字. ɐb, ſ;"]
+    want = [(library.encode(t, add_special_tokens=False).ids if t else []) + [2] for t in texts]
+    want = [struct.pack(f"<{len(ids)}H", *ids) for ids in want]
+    for most, chars in ((800_000, 4_000_000), (3, 20), (0, 1)):
+        encode = T.Encoder(tokenizer_path(), 2, most)
+        assert list(encode.stream(texts, chars)) == want and list(encode.stream(texts[::-1], chars)) == want[::-1]
+
+
 def test_token_files(spark, docs, edge_texts, library, tmp_path):
     rows = [(7, "a <|endoftext|> b", "en", "s")] + [(10 * i, t, "en", "s") for i, t in enumerate(edge_texts)] + [(None, "null id", "en", "s"), (30, "a again", "en", "s")]
     files = T.write(docs(rows, extra=True), f"file://{tmp_path}/t", tokenizer_path)
