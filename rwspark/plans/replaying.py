@@ -43,7 +43,7 @@ def stream(length: int = 48) -> Column:
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    tokens = sources.token_pairs(spark, d)
+    tokens = sources.short_pairs(spark, d)
     return tokens.select("id", "n", "m", F.posexplode("s").alias("p", "w")).withColumn("i", F.col("p") + 1).withColumn("fires", latency.policy("wait_k", k=3))
 
 
@@ -68,7 +68,7 @@ def recorded(target: Column, i: Column, n: Column, m: Column, length: int = 48)
 @query(_RECORDED)
 def stream_writes(spark: SparkSession, d: str) -> DataFrame:
     """Reads and writes of wait-3 as a stream with keyed state, over recorded ids."""
-    reads = sources.token_pairs(spark, d).select("id", "n", "m", "t", F.posexplode("s").alias("p", "w")).withColumn("i", F.col("p") + 1)
+    reads = sources.short_pairs(spark, d).select("id", "n", "m", "t", F.posexplode("s").alias("p", "w")).withColumn("i", F.col("p") + 1)
     reads = reads.select("id", "n", "i", latency.policy("wait_k", k=3).alias("fires"), recorded(F.col("t"), F.col("i"), F.col("n"), F.col("m")).alias("ids"), writes.arrival().alias("ts"))
     return writes.replayed(reads).select("id", "at", "commit", F.size("ids").alias("n_ids"), "ended", "cap_hit", "timed_out")
 
@@ -89,7 +89,7 @@ def policy_empty_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(o.TOKENS + " SELECT id, '<|medium-latency|> ' || array_to_string(s, ' ') || ' <|end-of-read|>' AS prompt, 1 AS chunks, list_sum(list_transform(range(0, m), lambda i: n))::BIGINT AS sum_lag, n::DOUBLE AS al, round(n - (m - 1) / 2e0 * n / m, 6) AS laal FROM tokens")
 def offline(spark: SparkSession, d: str) -> DataFrame:
-    tokens = sources.token_pairs(spark, d).withColumn("prompt", replay.offline_prompt(F.lit("medium"), F.array_join("s", " ")))
+    tokens = sources.short_pairs(spark, d).withColumn("prompt", replay.offline_prompt(F.lit("medium"), F.array_join("s", " ")))
     rows, n, m = replay.offline(tokens, "prompt"), F.col("n"), F.col("m")
     total = F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.select("id", "prompt", "chunks", total.alias("sum_lag"), latency.average_lagging(F.col("g"), n, m).alias("al"), F.round(latency.length_adaptive(F.col("g"), n, m), 6).alias("laal"))
@@ -134,7 +134,7 @@ _LONG = "long AS (" + " UNION ALL ".join(f"SELECT bin, '{name}' AS name, {name}
 @query(_REPORT + _LONG + " SELECT bin, name, count(v) AS n, round(avg(v), 6) AS mean, round(list_sort(list(v) FILTER (v IS NOT NULL))[1 + count(v) // 2], 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max FROM long GROUP BY bin, name")
 def bin_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Six figures of each bin: chunks of the reference and of the matched trace, their difference, both Pearson coefficients, and the threshold."""
-    tokens = sources.token_pairs(spark, d)
+    tokens = sources.short_pairs(spark, d)
     best = _nearest(tokens)
     bins = _bins(tokens).select("id", F.col("pearson").alias("ref_pearson"), "bin").filter("bin <> 'undefined'")
     values = {"ref_chunks": F.col("want"), "chunks": F.col("chunks"), "delta": F.col("delta"), "ref_pearson": F.col("ref_pearson"), "pearson": F.col("pearson"), "tau": F.col("tau")}
@@ -147,5 +147,5 @@ def bin_summaries(spark: SparkSession, d: str) -> DataFrame:
 )
 def skip_counters(spark: SparkSession, d: str) -> DataFrame:
     """Pairs by what becomes of them in the bin report: missing (too long for a reference), undefined, or used."""
-    bins = _bins(sources.token_pairs(spark, d)).select("id", "bin")
+    bins = _bins(sources.short_pairs(spark, d)).select("id", "bin")
     return commit.skipped(sources.pairs(spark, d), bins).groupBy("reason").agg(F.count("*").alias("n"))
