@@ -15,7 +15,7 @@ from tests.oracle import TABLES, of_frame, of_sql
 
 SIZES = [(3, 5), (80, 20), (81, 30), (200, 25), (450, 40)]
 #: Those without SQL last.
-NAMES = ["chunk_count", "annotate_transport"]
+NAMES = ["chunk_count", "chunks_from_commit", "annotate_transport"]
 
 
 @pytest.fixture(scope="module")
