@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from rwspark import plans, sources
-from rwspark.operators import annotate
+from rwspark.operators import annotate, within
 from tests.oracle import TABLES, of_frame, of_sql
 
 SIZES = [(3, 5), (80, 20), (81, 30), (200, 25), (450, 40)]
 #: Those without SQL last.
-NAMES = ["chunk_count", "chunks_from_commit", "annotate_transport"]
+NAMES = ["chunk_count", "chunks_from_commit", "commit_chunks", "annotate_transport"]
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,12 @@ def test_transport_of_a_long_source_is_made_in_stretches(spark):
     rows = spark.createDataFrame([(k, [f"w{i * i % 97}" for i in range(n)], n) for k, n in enumerate((1, 30, 7, 90))], "id long, s array<string>, n int").coalesce(1)
     (one, two) = ({r.id: r.ot for r in annotate.with_transport(rows, most=most).collect()} for most in (1024, 16))
     assert all(len(one[k]) == n and np.allclose(one[k], two[k], atol=1e-7) for k, n in enumerate((1, 30, 7, 90)))
+
+
+def test_summaries_of_very_long_pairs(spark):
+    """Squares of the sums are beyond a long."""
+    size, found = 100_000, [(10_000 * (k + 1), 10_000 * k, 10_000 * (k + 1) - 1) for k in range(10)]
+    rows = spark.createDataFrame([(size, size, found)], "n int, m int, runs array<struct<commit: int, first: int, last: int>>")
+    got = rows.select(within.summary(F.col("runs")).alias("s")).first().s
+    want = np.corrcoef(np.repeat([c for c, _, _ in found], 10_000), np.arange(size))[0, 1]
+    assert got.chunks == 10 and got.sum_commit == 10_000 * sum(c for c, _, _ in found) and abs(got.pearson - want) < 1e-9
