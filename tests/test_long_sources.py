@@ -16,7 +16,7 @@ from tests.oracle import TABLES, of_frame, of_sql
 
 SIZES = [(60, 25), (80, 20), (81, 30), (200, 25), (450, 40)]
 #: Those without SQL last.
-NAMES = ["chunk_count", "chunks_from_commit", "commit_chunks", "commit_first_fire", "commit_stride_nan", "entropy_commit", "fired_divergence", "lowest_pearson_topk", "matched_count", "annotate_transport"]
+NAMES = ["chunk_count", "chunks_from_commit", "commit_chunks", "commit_first_fire", "commit_stride_nan", "entropy_commit", "fired_divergence", "lowest_pearson_topk", "matched_count", "tau_ladder", "annotate_transport"]
 
 
 @pytest.fixture(scope="module")
